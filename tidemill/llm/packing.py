@@ -23,37 +23,84 @@ from tidemill.llm.common import cut, tasks
 MEMO = 300_000
 
 
+#: A word's ASCII signs at its end are a piece of their own for the tokenizer; an apostrophe may not be.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters-only words that are encoded as one text.
+TOGETHER = 512
+
+
+class WordTokenizer:
+    """A tokenizer that lower-cases, drops white space and marks the end of each piece: words are encoded once and
+    remembered as bytes. Words of letters alone, which are one piece each, go through it many in one text."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> None:
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def _together(self, words: list[str]) -> None:
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.own.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):  # some letter became several pieces
+                self._each(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(group, (stops * 4).tolist(), strict=True):
+                self.memo[w] = data[at:stop]
+                at = stop
+
+    def learn(self, new: set[str]) -> None:
+        letters, other, joined = set(), set(), []
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if not (stem.isalpha() and stem.lower().isalpha()):
+                other.add(w)
+            elif stem == w:
+                letters.add(w)
+            else:
+                signs = w[len(stem) :]
+                joined.append((w, stem, signs))
+                if stem not in self.memo:
+                    letters.add(stem)
+                if signs not in self.memo:
+                    other.add(signs)
+        self._each(list(other))
+        self._together(list(letters))
+        for w, stem, signs in joined:
+            self.memo[w] = self.memo[stem] + self.memo[signs]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Nothing joins across a space or a line end, so the text is cut there."""
+        words = [x.replace("\n", " ").split(" ") for x in texts]
+        found = set().union(*words)
+        if len(self.memo) > MEMO:  # what is still in use comes back from the older half
+            self.older, self.memo = self.memo, {}
+        new = found.difference(self.memo)
+        known = new.intersection(self.older)
+        self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self.learn(new.difference(known))
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), "<u4") for ws in words]
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t, {}
-
-
-def encode(path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text. For a tokenizer that drops white space and never joins across it: each stretch
-    between spaces or line ends is encoded once and remembered."""
-    t, memo = _tokenizer(path)
-    words = [x.replace("\n", " ").split(" ") for x in texts]
-    new = list({w for ws in words for w in ws if w not in memo})
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list({w for ws in words for w in ws})
-    for i in range(0, len(new), 50_000):
-        part = new[i : i + 50_000]
-        memo.update(zip(part, (e.ids for e in t.encode_batch(part, add_special_tokens=False)), strict=True))
-    out = []
-    for ws in words:
-        ids: list[int] = []
-        for w in ws:
-            ids += memo[w]
-        out.append(np.array(ids, dtype="<u4"))
-    return out
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
                     size += len(texts[-1]) + 1
                     at += 1
                 rows = []
-                for key, ids in zip(keys, encode(tokenizer_path, texts), strict=True):
+                for key, ids in zip(keys, word_tokenizer(tokenizer_path).encode(texts), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     rows += [(key, k, s, len(p := ids[s : s + capacity]), zlib.crc32(p.tobytes())) for k, s in enumerate(range(0, len(ids), capacity))]
                 types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
