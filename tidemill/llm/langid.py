@@ -149,10 +149,10 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     centres = [np.frombuffer(r["_centres"], np.float32).reshape(-1, DIMS) for r in fitted]
     langs = [r["_lang"] for r, c in zip(fitted, centres, strict=True) for _ in c]
     worst = np.max([r["_worst"] for r in fitted], axis=0) if fitted else np.full(CLASSES, -1.0)
-    # shorter texts lie farther off; a tenth of the way from the farthest labelled text to nothing in common is allowed besides
+    # shorter texts lie farther off; a third of the way from the farthest labelled text to nothing in common is allowed besides
     worst = np.maximum.accumulate(worst[::-1])[::-1]
     farthest = np.where(worst < 0, worst.max() if len(worst) else 1.0, worst)
-    return Model(langs, np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), idf, farthest + (1 - farthest) * 0.1)
+    return Model(langs, np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), idf, farthest + (1 - farthest) / 3)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
