@@ -152,6 +152,11 @@ def test_tables_are_repaired():
     assert tablefix.fix_row("| Revenue | $ 1 | 96 | (241) |") == "| Revenue | $ 1.96 | ($ 241) |  |  |"
     assert tablefix.fix_row("| 12 | 13 |") == "" and tablefix.fix_row("| Assets |") == "| **Assets** |"
     assert tablefix.fix_row("| **Assets** |") == "| **Assets** |"
+    assert tablefix.fix_row("| Total revenue | nan | nan |") == "| **Total revenue** |"
+    assert tablefix.fix_row("| GROSS PROFIT | n/a | |") == "| **GROSS PROFIT** |"
+    assert tablefix.fix_row("| Margin | 7 | 56.5 | 1,234 |") == "| Margin | 56.5 % | $ 1,234 |  |  |"
+    assert tablefix.fix_row("| Diluted shares | 914.2 | 120,000 |") == "| Diluted shares | 914.2 | $ 120,000 |  |  |"
+    assert tablefix.fix_row("| Net sales | 914.2 |") == "| Net sales | $ 914.2 |  |  |  |"
     assert tablefix.fix_text("short | text") == "short | text" and tablefix.fix_text(None) is None
     assert tablefix.is_separator("|---|:--:|") and not tablefix.is_separator("| a | b |")
 

@@ -15,6 +15,10 @@ SHORT = 100
 WIDTH = 4
 #: Words of a table's head.
 DATE_WORDS = ("months ended", "year ended", "quarter", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words in the first cell of a section row.
+SECTION_WORDS = ("revenue", "gross profit", "expense", "income", "earnings", "shares outstanding", "discontinued operations", "cash flow", "balance sheet", "assets", "liabilities", "equity")
+#: Words of a label whose decimals from 100 to 50,000 count shares.
+SHARE_WORDS = frozenset(("shares", "outstanding", "weighted", "dilution", "basic", "common"))
 #: Most specific first: what a crammed cell may hold.
 NUMBERS = [re.compile(p) for p in (r"\(\$\s*[\d,]+(?:\.\d+)?\)", r"\$\s*[\d,]+(?:\.\d+)?", r"\([\d,]+(?:\.\d+)?\)", r"\d+(?:\.\d+)?\s*%", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", r"\d+\.\d+", r"\d{2,}", r"\d")]
 
@@ -54,6 +58,27 @@ def join_decimals(values: list[str]) -> list[str]:
     return out
 
 
+def is_section(label: str, values: list[str]) -> bool:
+    """A label alone (values empty or nan), or one of section words in capitals of any kind that has no number beside it."""
+    if all(not v or v.lower() == "nan" for v in values):
+        return True
+    known = any(w in label.lower() for w in SECTION_WORDS)
+    return known and (label.isupper() or label.istitle()) and not any(re.search(r"\d", v) for v in values)
+
+
+def clean_value(v: str, label: str) -> str | None:
+    """Single digits are fragments (None); a plain decimal between 0 and 100 is a share in per cent; shares of stock stay; else money."""
+    if re.fullmatch(r"\d", v):
+        return None
+    if re.fullmatch(r"\d+\.\d+", v):
+        n = float(v)
+        if 0 < n < 100:
+            return f"{v} %"
+        if 100 <= n <= 50_000 and SHARE_WORDS & set(label.lower().split()):
+            return v
+    return money(v)
+
+
 def money(v: str) -> str:
     if "$" in v or "%" in v:
         return v
@@ -79,9 +104,9 @@ def fix_row(line: str) -> str:
     if not cells or not re.search(r"[^\W\d_]", cells[0]):
         return ""
     label, values = cells[0], [v for c in cells[1:] for v in (split_numbers(c) if len(split_numbers(c)) > 1 else [c]) if v]
-    if not values:
+    if is_section(label, values):
         return f"| {label if label.startswith('**') else f'**{label}**'} |"
-    values = [money(v) for v in join_decimals(values)][:WIDTH]
+    values = [c for v in join_decimals(values) if (c := clean_value(v, label)) is not None][:WIDTH]
     return "| " + " | ".join([label, *values, *[""] * (WIDTH - len(values))]) + " |"
 
 
