@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a queries table that are sent to every task at most; longer tables go block by block.
 QUERIES_AT_ONCE = 10_000
+#: Different words of texts that a task remembers at most.
+REMEMBERED = 200_000
 
 
 def check_size(queries: DataFrame) -> DataFrame:
@@ -42,13 +44,47 @@ def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float =
     return top(v.join(q).select("query_id", "id", score.alias("score")).where(F.col("score") >= threshold), "query_id", k)
 
 
+def finder(terms: list[str]):
+    """A function of a text column: for each term, whether it is in the text. A term has no white space, so it lies
+    within a word; what a word has is remembered."""
+    places = {t.encode(): i for i, t in enumerate(terms)}
+    sizes = sorted({len(t) for t in places})
+
+    def within(word: bytes) -> list[int]:
+        parts = {word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}
+        return [places[x] for x in parts.intersection(places)]
+
+    @F.pandas_udf("array<boolean>")
+    def has(texts: pd.Series) -> pd.Series:
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for text in texts:
+            row = np.zeros(len(places), bool)
+            for word in set((text or "").encode().split()):  # at ASCII white space, as the terms are
+                if (at := known.get(word)) is None:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    at = known[word] = within(word)
+                row[at] = True
+            out.append(row)
+        return pd.Series(out)
+
+    return has
+
+
 def keyword(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the share of a query's words (repeats count) that occur in the text, as parts of words too."""
-    q = check_size(queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "").alias("_terms")).where("size(_terms) > 0"))
-    low = texts.select("id", F.lower("text").alias("_text"))
-    hits = F.size(F.filter("_terms", lambda t: F.col("_text").contains(t)))
-    found = low.join(q).select("query_id", "id", F.round(hits / F.size("_terms"), 6).alias("score")).where("score > 0")
-    return top(found, "query_id", k)
+    """(query_id, id, score, rank): the share of a query's words (repeats count) that occur in the text, as parts of words too.
+
+    Each text is searched once for the words of all queries; a query then looks its own up by their places.
+    """
+    q = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "").alias("_terms")).where("size(_terms) > 0")
+    check_size(q)
+    every = q.select(F.explode("_terms").alias("t")).agg(F.sort_array(F.collect_set("t")).alias("_all"))
+    terms = every.first()["_all"]  # bounded as the queries are
+    q = q.join(F.broadcast(every)).select("query_id", F.transform("_terms", lambda t: F.array_position("_all", t).cast("int") - 1).alias("_at"))
+    found = texts.select("id", finder(terms)(F.lower("text")).alias("_has"))
+    score = F.round(F.size(F.filter("_at", lambda i: F.get("_has", i))) / F.size("_at"), 6)
+    return top(found.join(F.broadcast(q)).select("query_id", "id", score.alias("score")).where("score > 0"), "query_id", k)
 
 
 def hybrid(semantic_hits: DataFrame, keyword_hits: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:
