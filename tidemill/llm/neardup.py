@@ -47,11 +47,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Words whose hashes a Python worker remembers at most, about 200 bytes each.
+REMEMBERED = 100_000
+
+
 class Words(dict):
     """Hash of each word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
