@@ -205,6 +205,41 @@ def test_trust_and_distrust_follow_links(spark):
     assert got == {"bad.com": "block", "good.org": "allow", "friend.io": "allow", "spam.io": "block", "lone.io": "allow", "www.bad.com.io": "allow"}
 
 
+def test_distrust_does_not_depend_on_how_many_link(spark):
+    rules = {"net/": "block", "example.net/en/": "allow", "good.org/": "allow", "part.com/de/": "block"}
+    ten = "".join(f'<a href="http://bad{k}.net">' for k in range(10))  # blocked by a host-wide rule, not crawled
+    rows = [(f"http://farm{i}.io/", ten) for i in range(100)]
+    rows += [("http://crawled.net/1", ""), ("http://one.io/", "<a href=//crawled.net/>"), ("http://two.io/", "<a href=//crawled.net/>")]
+    rows += [("http://mixed.io/", "<a href=//crawled.net/><a href=//good.org/><a href=//other.io/>"), ("http://rule.io/", "<a href='http://example.net/en/x'>")]
+    rows += [("http://path.io/", "<a href='http://part.com/de/x'>"), ("http://path2.io/", "<a href='http://part2.com/de/x'>")]
+    rows += [("http://good.org/1", '<a href="http://friend.io/">'), ("http://friend.io/", "<a href=//crawled.net/>")]
+    chain = ["http://c0.io/", *(f"http://c{k}.io/" for k in range(1, 6)), "http://crawled.net/"]  # 0.85 ** 4 is above 0.5, ** 5 is not
+    rows += [(u, f"<a href='{v}'>") for u, v in itertools.pairwise(chain)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in urlgraph.judge(pages, rules).collect()}
+    want = {f"farm{i}.io": "block" for i in range(100)} | {"crawled.net": "block", "one.io": "block", "two.io": "block", "mixed.io": "allow", "rule.io": "allow"}
+    want |= {"path.io": "block", "path2.io": "allow", "good.org": "allow", "friend.io": "allow"} | {f"c{k}.io": "allow" if k < 2 else "block" for k in range(6)}
+    assert got == want
+
+
+def test_host_scores_settle_as_a_plain_loop_does(spark):
+    rng = random.Random(8)
+    names = [f"h{i}.io" for i in range(60)]
+    ruled = {h: ("allow" if i % 2 else "block") for i, h in enumerate(names[:12])}
+    pairs = [(a, b) for a in names for b in rng.sample(names, 4) if a != b]
+    pages = spark.createDataFrame([(i, f"http://{a}/", f"<a href='http://{b}/'>") for i, (a, b) in enumerate(pairs)], "page_id long, url string, html string")
+    named = pages.select(*(c.alias(n) for c, n in zip(urlgraph.parts(F.col("url")), ("host", "path"), strict=True)), "html")
+    rules = {f"{h}/": v for h, v in ruled.items()}
+    links = urlgraph.edges(named, "host", "html", rules)
+    counts = [(h, 1, int(ruled.get(h) == "allow"), int(ruled.get(h) == "block")) for h in names]
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urlgraph.host_scores(spark.createDataFrame(counts, "host string, n long, allowed long, blocked long"), links).collect()}
+    for k, kind, ends in ((0, "allow", lambda h: [a for a, b in pairs if b == h]), (1, "block", lambda h: [b for a, b in pairs if a == h])):
+        s = dict.fromkeys(names, 0.0)
+        for _ in range(300):
+            s = {h: float(ruled[h] == kind) if h in ruled else 0.85 * (np.mean([s[x] for x in ends(h)]) if ends(h) else 0) for h in names}
+        assert max(abs(got[h][k] - s[h]) for h in names) < 1e-5
+
+
 def brute_duplicates(texts, k, num, den):
     def grams(t):
         w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]

@@ -1,11 +1,12 @@
 """URL filters: rules by host and path, and for the rest trust and distrust over the graph of hosts.
 
-Trust is personalised PageRank from hosts by the share of their pages that rules allow, along links.
-Distrust is the same from the share of pages that rules block, against the direction of links: who links
-to bad hosts is not trusted either. Hosts link where a page has an absolute link to another host,
-and, in both directions, where one is the parent domain of the other. A host that links nowhere keeps
-its score. Everything is joins and sums of DataFrames; scores are in shares of pages, so they do not
-shrink as the graph grows.
+A host that rules decide has its share of allowed pages as trust and of blocked pages as distrust; a host
+that is only linked to has the shares of the links to it, by the rules for their targets. As far as rules
+leave a host open, its distrust is DAMPING of the mean distrust of the hosts it links to (who links to bad
+hosts is not trusted either) and its trust DAMPING of the mean trust of the hosts that link to it. Hosts
+link where a page has an absolute link to another host, and, in both directions, where one is the parent
+domain of the other. Means do not depend on how many other hosts link to the same one, so scores do not
+shrink as the graph grows. Everything is joins and sums of DataFrames, repeated until scores stay.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut
 
-#: Absolute or protocol-relative link targets; the group is the host.
-LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^"'/?#\s>]*)"""
+HREF = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//"""
+#: Absolute or protocol-relative link targets; the group is the host, of TARGET host and the rest.
+LINK = HREF + r"""([^"'/?#\s>]*)"""
+TARGET = HREF + r"""([^"'\s>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
+#: Rounds between two looks at the change, and the change up to which scores count as settled.
 ROUNDS = 8
+TOLERANCE = 1e-6
 #: A host is blocked where its distrust is this or more, and more than its trust.
 DISTRUST = 0.5
 
@@ -43,41 +48,54 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.lit(None).cast("string") if found is None else found
 
 
-def edges(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """(src, dst, w): links between different hosts, with the number of pages' links, and parent domains."""
-    links = (
+def ruling(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
+    """Whether rules allow, and whether they block; an empty path is the root."""
+    rule = rule_of(host, F.when(path == "", "/").otherwise(path), rules)
+    allowed = rule.isin([r for r, v in rules.items() if v == "allow"])
+    return F.coalesce(allowed, F.lit(False)), F.coalesce(~allowed, F.lit(False))
+
+
+def edges(pages: DataFrame, host: str, html: str, rules: dict[str, str]) -> DataFrame:
+    """(src, dst, w, n, allowed, blocked): links between different hosts, with the number of pages' links and of those
+    to targets that rules allow or block, and parent domains, which add to w only."""
+    found = (
         pages.where(F.col(html).contains("//") & (F.col(host) != ""))
-        .select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), F.lit(1))).alias("dst"))
-        .select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("dst != '' and src != dst")
-        .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        .select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(TARGET), F.lit(1))).alias("to"))
+        .select("src", *(c.alias(n) for c, n in zip(parts(F.concat(F.lit("://"), "to")), ("dst", "path"), strict=True))).where("dst != '' and src != dst")
     )
+    allowed, blocked = ruling(F.col("dst"), F.col("path"), rules)
+    links = found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_if(allowed).alias("allowed"), F.count_if(blocked).alias("blocked"))
     names = pages.where(F.col(host) != "").select(F.col(host).alias("h")).distinct()
     up = names.select("h", F.regexp_replace("h", r"^[^.]*\.", "").alias("p")).where("p != h")
     family = up.join(names.select(F.col("h").alias("p")), "p", "left_semi")
-    both = family.select(F.col("h").alias("src"), F.col("p").alias("dst")).union(family.select("p", "h")).withColumn("w", F.lit(1.0))
-    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    both = family.select(F.col("h").alias("src"), F.col("p").alias("dst")).union(family.select("p", "h"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("n", "allowed", "blocked")]
+    every = links.withColumn("w", F.col("n").cast("double")).unionByName(both.select("src", "dst", F.lit(1.0).alias("w"), *none))
+    return every.groupBy("src", "dst").agg(*(F.sum(c).alias(c) for c in ("w", "n", "allowed", "blocked")))
 
 
 def host_scores(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """(host, trust, distrust). pages: (host, n, allowed, blocked); links: (src, dst, w)."""
-    ahead = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.lit("trust").alias("kind"))
-    back = links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "w", F.lit("distrust").alias("kind"))
-    moves = ahead.union(back)
-    total = moves.groupBy("a", "kind").agg(F.sum("w").alias("all"))
+    """(host, trust, distrust). pages: (host, n, allowed, blocked); links: (src, dst, w, n, allowed, blocked)."""
+    targets = links.where("n > 0").groupBy(F.col("dst").alias("host")).agg(*(F.sum(c).alias(c) for c in ("n", "allowed", "blocked")))
+    judged = pages.select("host", "n", "allowed", "blocked").unionByName(targets.join(pages, "host", "left_anti"))
     known = links.select(F.col("dst").alias("host")).union(links.select("src")).distinct()
-    hosts = pages.select("host", (F.col("allowed") / F.col("n")).alias("trust"), (F.col("blocked") / F.col("n")).alias("distrust"))
+    hosts = judged.select("host", (F.col("allowed") / F.col("n")).alias("trust"), (F.col("blocked") / F.col("n")).alias("distrust"))
     hosts = hosts.join(known, "host", "full").na.fill(0.0, ["trust", "distrust"])
-    seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed"))
-    # each host's moves; without any it keeps its score
-    stay = seeds.join(total.select(F.col("a").alias("host"), "kind"), ["host", "kind"], "left_anti")
-    shares = moves.join(total, ["a", "kind"]).select("a", "b", "kind", (F.col("w") / F.col("all")).alias("share")).unionByName(stay.select(F.col("host").alias("a"), F.col("host").alias("b"), "kind", F.lit(1.0).alias("share")))
-    shares, seeds = cut(shares, "shares"), cut(seeds, "seeds")
-    score = seeds.withColumn("s", F.col("seed"))
-    for k in range(ROUNDS):
-        moved = shares.join(score.select(F.col("host").alias("a"), "kind", "s"), ["a", "kind"]).groupBy(F.col("b").alias("host"), "kind").agg(F.sum(F.col("s") * F.col("share")).alias("in"))
-        score = seeds.join(moved, ["host", "kind"], "left").select("host", "kind", "seed", (F.col("seed") * (1 - DAMPING) + F.coalesce("in", F.lit(0.0)) * DAMPING).alias("s"))
-        if k % 4 == 3:
-            score = cut(score, "scores")
+    seeds = cut(hosts.select("host", F.lit(1) - F.col("trust") - F.col("distrust"), F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust"))).toDF("host", "open", "kind", "seed"), "seeds")
+    # the weight that each host takes from the score of another: distrust from where it links to, trust from where links come from
+    takes = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.lit("distrust").alias("kind")).union(links.select("dst", "src", "w", F.lit("trust")))
+    total = takes.groupBy("a", "kind").agg(F.sum("w").alias("all"))
+    shares = cut(takes.join(total, ["a", "kind"]).select("a", "b", "kind", (F.col("w") / F.col("all")).alias("share")), "shares")
+    score = seeds.select("host", "kind", F.col("seed").alias("s"))
+    moving = not shares.isEmpty()
+    while moving:
+        before = score
+        for _ in range(ROUNDS):
+            mean = shares.join(score.select(F.col("host").alias("b"), "kind", "s"), ["b", "kind"]).groupBy(F.col("a").alias("host"), "kind").agg(F.sum(F.col("s") * F.col("share")).alias("mean"))
+            score = seeds.join(mean, ["host", "kind"], "left").select("host", "kind", (F.col("seed") + F.col("open") * DAMPING * F.coalesce("mean", F.lit(0.0))).alias("s"))
+        score = cut(score, "scores")
+        change = score.join(before.withColumnRenamed("s", "_s"), ["host", "kind"]).agg(F.max(F.abs(F.col("s") - F.col("_s")))).first()[0]
+        moving = change > TOLERANCE  # each round leaves DAMPING of the change at most
     s = F.round("s", 9)  # sums come in any order
     return score.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", s)).alias("trust"), F.max(F.when(F.col("kind") == "distrust", s)).alias("distrust"))
 
@@ -92,10 +110,9 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     named = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("_html"))
     ruled = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allow = [r for r, v in rules.items() if v == "allow"]
-    counted = ruled.where("host != ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule").isin(allow)).alias("allowed"), F.count_if(F.col("rule").isNotNull() & ~F.col("rule").isin(allow)).alias("blocked")
-    )
-    scores = host_scores(cut(counted, "hosts"), cut(edges(named, "host", "_html"), "links"))
+    allowed, blocked = ruling(F.col("host"), F.col("path"), rules)
+    counted = ruled.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(allowed).alias("allowed"), F.count_if(blocked).alias("blocked"))
+    scores = host_scores(cut(counted, "hosts"), cut(edges(named, "host", "_html", rules), "links"))
     bad = cut(scores.where((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("_bad")), "bad")
     out = ruled.drop("_html").join(bad, "host", "left")
     by_rule = F.when(F.col("rule").isin(allow), "allow").when(F.col("rule").isNotNull(), "block")
