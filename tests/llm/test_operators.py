@@ -118,6 +118,39 @@ def test_licenses(spark):
                 assert any(m[0] == at and abs(m[2] - plain) < 1e-12 for m in s.scan(r["text"]))
 
 
+def test_licences_across_lines_several_a_line_and_whole(spark):
+    apache, mit = licenses.full_texts()["Apache-2.0"], licenses.full_texts()["MIT"]
+    rows = [
+        (1, "Intro.\nLicensed under the Apache License,\nVersion 2.0.\nmore"),
+        (2, "Released under the MIT License. All rights reserved. Licensed under CC BY-NC 4.0. All rights reserved."),
+        (3, "some words before\n\n" + mit + "\nsome words after\nAll rights reserved."),
+        (4, "one line with " + " ".join(apache.split()) + " and then: Released under the MIT License."),
+        (5, "of the and of the " * 3000),
+        (6, mit.replace("sublicense", "rent").replace("Software", "Program", 3)),
+    ]
+    got = [(r["doc_id"], r["line"], r["licence"], r["score"]) for r in licenses.scan(table(spark, rows)).orderBy("doc_id").collect()]
+    assert [x for x in got if x[0] < 5] == [
+        (1, 1, "Apache-2.0", 1.0), (2, 0, "MIT", 1.0), (2, 0, "All-Rights-Reserved", 1.0), (2, 0, "CC-BY-NC-4.0", 1.0), (2, 0, "All-Rights-Reserved", 1.0),
+        (3, 2, "MIT", 1.0), (3, len(mit.split("\n")) + 3, "All-Rights-Reserved", 1.0), (4, 0, "Apache-2.0", 1.0), (4, 0, "MIT", 1.0),
+    ]
+    assert [(x[0], x[2]) for x in got if x[0] >= 5] == [(6, "MIT")] and 0.8 < got[-1][3] < 1
+    # each whole licence is found as itself
+    s = licenses.Scanner([*licenses.TEMPLATES.items(), *licenses.full_texts().items()], 0.8)
+    for name, text in licenses.full_texts().items():
+        assert [m[1:] for m in s.scan(text)] == [(name, 1.0)]
+    # the best stretch against all stretches
+    rng = random.Random(4)
+    s = licenses.Scanner({"x": "a b c d a b e", "y": "c d e"}, 0.8)
+    for _ in range(300):
+        w = [rng.choice("abcdef") for _ in range(14)]
+        plain = max(licenses.dice(licenses.bigrams(w[i:j]), b) for i in range(13) for j in range(i + 2, 15) for _, _, b in s.templates)
+        got = s.scan("\n".join(w))
+        assert bool(got) == (plain >= 0.8)
+    # a stretch that would be best with words of the next notice
+    s = licenses.Scanner({"x": "a b c d e f g", "y": "f h i j k l m n o p"}, 0.8)
+    assert [m[1] for m in s.scan("a b c d e f h i j k l m n o p")] == ["x", "y"]
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

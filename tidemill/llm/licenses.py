@@ -1,10 +1,17 @@
-"""License scans: lines of normalised text against licence templates by Dice coefficient over word bigrams."""
+"""License scans: stretches of normalised text against licence templates by Dice coefficient over word bigrams.
+
+A text is one sequence of words, whatever its lines. Templates are short notices and whole licences."""
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect, bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from importlib import resources
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +30,17 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "All-Rights-Reserved": "All rights reserved.",
 }
+#: Templates of so many bigrams or more are searched from each end in turn, shorter ones by all stretches.
+LONG = 100
 WORD = re.compile(r"[^\W_]+")
 
 
+@cache
+def full_texts() -> dict[str, str]:
+    """Whole licences, by the same names, without their copyright lines where those differ."""
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in resources.files("tidemill.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")}
+
+
 def normal(text: str) -> list[str]:
     """Lower-case words of letters and digits."""
     return WORD.findall(text.lower())
@@ -42,62 +57,112 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], least: float):
+    def __init__(self, templates: dict[str, str] | Iterable[tuple[str, str]], least: float):
         self.least = least
-        self.templates = sorted((n, len(w), bigrams(w)) for n, t in templates.items() if (w := normal(t)))
-        self.vocabulary = {w for _, _, b in self.templates for pair in b for w in pair}
+        pairs = templates.items() if isinstance(templates, dict) else templates
+        self.templates = sorted(((n, len(w), bigrams(w)) for n, t in pairs if (w := normal(t))), key=lambda t: t[:2])
         self.holders: dict[tuple[str, str], list[int]] = {}
         for i, (_, _, b) in enumerate(self.templates):
             for pair in b:
                 self.holders.setdefault(pair, []).append(i)
-        sizes = [b.total() for _, _, b in self.templates]
-        # Dice is at most 2 min(a, b) / (a + b), so only sizes from r b to b / r can reach least
+        # Dice is at most 2 min(a, b) / (a + b), so a stretch has from r b to b / r bigrams, and shares r b at least
         self.ratio = least / (2 - least)
-        self.smallest = min(sizes, default=0) * self.ratio
-
-    def compare(self, words: list[str], among: set[int]) -> tuple[float, str] | None:
-        """The best of the templates whose size may reach the threshold; of equal ones the first name."""
-        b, best = bigrams(words), None
-        n = b.total()
-        for i in sorted(among):
-            name, _, t = self.templates[i]
-            size = t.total()
-            if size * self.ratio <= n <= size / self.ratio and (s := dice(b, t)) >= self.least and (best is None or s > best[0]):
-                best = s, name
-        return best
 
-    def scan(self, text: str) -> list[tuple[int, str, float]]:
-        """(line, licence, score): for each line of the text its best licence. In a line longer than a
-        template, each stretch of the template's length that starts at one of its bigrams is compared."""
-        out = []
-        for at, line in enumerate(text.split("\n")):
-            words = normal(line)
-            if len(words) - 1 < self.smallest and len(words) != 1:
+    def starts(self, at: list[int], pairs: list[tuple[str, str]], own: Counter) -> list[int]:
+        """The places in at from which some stretch may share enough: repeats count as often as the template has them."""
+        size = own.total()
+        need, most = math.ceil(size * self.ratio - 1e-9), math.floor(size / self.ratio + 1e-9)
+        if len(at) < need or not any(b - a < most for a, b in zip(at, islice(at, max(need - 1, 0), None), strict=False)):
+            return []
+        found, seen, shared, end = [], Counter(), 0, 0
+        for k, a in enumerate(at):
+            while end < len(at) and at[end] - a < most:
+                p = pairs[at[end]]
+                seen[p] += 1
+                shared += seen[p] <= own[p]
+                end += 1
+            if shared >= need:
+                found.append(k)
+            shared -= seen[pairs[a]] <= own[pairs[a]]
+            seen[pairs[a]] -= 1
+        return found
+
+    def best(self, at: list[int], pairs: list[tuple[str, str]], own: Counter, k: int, step: int) -> tuple[float, int, int]:
+        """(Dice, shared, other end): the best stretch from place k onwards (step 1) or backwards (-1); of equal ones the shortest."""
+        size, seen, shared, top = own.total(), Counter(), 0, (0.0, 0, k)
+        most = math.floor(size / self.ratio + 1e-9)
+        j = k
+        while 0 <= j < len(at) and abs(at[j] - at[k]) < most:
+            p = pairs[at[j]]
+            seen[p] += 1
+            shared += seen[p] <= own[p]
+            score = 2 * shared / (abs(at[j] - at[k]) + 1 + size)
+            if score > top[0]:
+                top = score, shared, j
+            j += step
+        return top
+
+    def found(self, i: int, at: list[int], pairs: list[tuple[str, str]]) -> Iterator[tuple[float, float, str, int, int]]:
+        """(shared times Dice, Dice, licence, first word, last word) of stretches like template i."""
+        name, _, own = self.templates[i]
+        after = -1
+        for k in self.starts(at, pairs, own):
+            if k <= after:
                 continue
-            pairs = [(i, p) for i, p in enumerate(zip(words, words[1:], strict=False)) if p[0] in self.vocabulary and p in self.holders] if len(words) > 1 else [(0, (words[0], ""))] if words and (words[0], "") in self.holders else []
-            if not pairs:
+            score, shared, j = self.best(at, pairs, own, k, 1)
+            if score < self.least:
                 continue
-            best = self.compare(words, {k for _, p in pairs for k in self.holders[p]})
-            if best is None:
-                tries = {(i, k) for i, p in pairs for k in self.holders[p] if len(words) > self.templates[k][1]}
-                found = [x for i, k in tries if (x := self.compare(words[i : i + self.templates[k][1]], {k}))]
-                best = max(found, key=lambda x: (x[0], x[1])) if found else None
-            if best:
-                out.append((at, best[1], best[0]))
-        return out
+            if own.total() >= LONG:
+                # the best start for this end; what begins within is not looked at again
+                score, shared, k = self.best(at, pairs, own, j, -1)
+                after = j
+            yield shared * score, score, name, at[k], at[j] + 1
+
+    def scan(self, text: str) -> list[tuple[int, str, float]]:
+        """(line, licence, score): the stretches of the text, across lines, that are like a template, and the lines that
+        they begin in. Of stretches that overlap the one that shares most, times its score, counts."""
+        words = WORD.findall(text.lower())
+        pairs = list(zip(words, islice(words, 1, None), strict=False))
+        places: dict[int, list[int]] = {}
+        for at, held in enumerate(map(self.holders.get, pairs)):
+            if held:
+                for i in held:
+                    places.setdefault(i, []).append(at)
+        every = [x for i, at in places.items() for x in self.found(i, at, pairs)]
+        alone = [(self.templates[i][0], w) for i, t in enumerate(self.templates) if t[1] == 1 for w, _ in t[2]]
+        if not every and not alone:
+            return []
+        before = [0, *accumulate(len(normal(line)) for line in text.split("\n"))]  # words before each line
+        every += [(1.0, 1.0, n, a, a) for n, w in alone for a, b in zip(before, before[1:], strict=False) if b - a == 1 and words[a] == w]
+        spans, out = [], []  # spans: of words, in order, without overlap
+        while every:
+            left = []
+            for _, score, name, a, b in sorted(every, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+                k = bisect_left(spans, (a, a))
+                if (k == len(spans) or spans[k][0] > b) and (k == 0 or spans[k - 1][1] < a):
+                    spans.insert(k, (a, b))
+                    out.append((a, bisect(before, a) - 1, name, score))
+                else:
+                    left.append((a, b))
+            # a stretch that reached into another: what is free of it may still be like a template
+            edges = [(-1, -1), *spans, (len(words), len(words))]
+            free = {(edges[k][1] + 1, edges[k + 1][0]) for a, b in left for k in range(max(bisect(edges, (a, -1)) - 1, 0), bisect(edges, (b, len(words))))}
+            every = [x for lo, hi in free if hi - lo > 1 for i, at in places.items() for x in self.found(i, at[bisect_left(at, lo) : bisect_left(at, hi - 1)], pairs)]
+        return [x[1:] for x in sorted(out)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, licence, score) for every line of every whole text that is like a template, score >= least.
+    """(id, line, licence, score) for every stretch of every whole text that is like a template, score >= least.
 
-    Null and empty texts have no lines that match. Repeated rows give their matches each. Of equal
-    scores over whole lines the first licence name wins. Lines count from 0. No shuffle; the templates
-    go out with the task.
+    Stretches go across lines and do not overlap; line is where they begin, from 0. Without templates of
+    one's own both the short notices and the whole licences count. Null and empty texts have none. Repeated
+    rows give their matches each. A template of one word is only met by a line of that word. No shuffle;
+    the templates go out with the task.
     """
-    templates = TEMPLATES if templates is None else templates
+    pairs = [*TEMPLATES.items(), *full_texts().items()] if templates is None else [*templates.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scanner(templates, least)
+        s = Scanner(pairs, least)
         for batch in batches:
             rows = [(key.as_py(), *m) for key, t in zip(batch.column(0), batch.column(1), strict=True) if (x := t.as_py()) for m in s.scan(x)]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
