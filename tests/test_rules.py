@@ -116,6 +116,27 @@ def test_hybrid_extremes(spark):
     assert ids(1.0)[:2] == [10, 11] and ids(0.0)[:2] == [11, 12]
 
 
+def test_long_query_tables_go_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 8)).round(3)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<double>")
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choice(words, 12))) for i in range(50)]
+    asked = [(i, " ".join(rng.choice(words, 3))) for i in range(40)]
+    t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    postings = index.postings(t.withColumnRenamed("id", "doc_id"))
+    run = lambda: [sorted(map(tuple, df.collect())) for df in (retrieve.semantic(v.withColumnRenamed("id", "query_id"), v, 5, 0.1), retrieve.keyword(q, t, 4), retrieve.bm25(q, postings, 4))]
+    whole = run()
+    monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 9)
+    assert run() == whole and all(whole)
+    s = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)
+    want = {(i, int(j)) for i in range(60) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.1}
+    assert {r[:2] for r in whole[0]} == want
+    for i, query in asked:
+        share = sorted(((-round(sum(w in text for w in query.split()) / 3, 6), j) for j, text in texts))
+        assert [(r[1], r[2]) for r in sorted(whole[1], key=lambda r: r[3]) if r[0] == i] == [(j, -n) for n, j in share[:4] if n]
+
+
 def test_lsh_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = {(r["query_id"], r["id"]): r["score"] for r in retrieve.similar_all(v, 5, 0.1, 64).collect()}

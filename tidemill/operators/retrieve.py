@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a queries table that are sent to every task at most; longer tables go block by block.
+from tidemill.storage import cut
+
+#: Rows of a queries table, about, that are sent to every task at once; longer tables go block by block.
 QUERIES_AT_ONCE = 10_000
 #: Different words of texts that a task remembers at most.
 REMEMBERED = 200_000
 
 
-def check_size(queries: DataFrame) -> DataFrame:
-    """The queries, to be sent to every task; more than QUERIES_AT_ONCE must be passed in blocks."""
-    n = queries.count()
-    if n > QUERIES_AT_ONCE:
-        raise ValueError(f"{n} queries; pass them in blocks of {QUERIES_AT_ONCE}")
-    return F.broadcast(queries)
+def by_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer(queries), whose argument is small enough to be sent to every task.
+
+    More than QUERIES_AT_ONCE rows are dealt into blocks by query_id and answered one after another; rows of a
+    query stay together, so each block's answers are whole.
+    """
+    blocks = -(-queries.count() // QUERIES_AT_ONCE)
+    if blocks <= 1:
+        return answer(queries)
+    dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    return reduce(DataFrame.unionByName, [cut(answer(dealt.where(F.col("_block") == i).drop("_block")), "answers") for i in range(blocks)])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,10 +48,10 @@ def top(df: DataFrame, key: str, k: Column | int, score: str = "score", tie: str
 
 def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
     """(query_id, id, score, rank): cosine of queries(query_id, vector) and vectors(id, vector), at least threshold."""
-    q = check_size(queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq")))
+    q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"))
     v = vectors.select("id", "vector", norm(F.col("vector")).alias("_nv"))
     score = F.round(F.try_divide(dot(F.col("_q"), F.col("vector")), F.col("_nq") * F.col("_nv")), 6)
-    return top(v.join(q).select("query_id", "id", score.alias("score")).where(F.col("score") >= threshold), "query_id", k)
+    return by_blocks(q, lambda block: top(v.join(F.broadcast(block)).select("query_id", "id", score.alias("score")).where(F.col("score") >= threshold), "query_id", k))
 
 
 def finder(terms: list[str]):
@@ -75,16 +85,19 @@ def finder(terms: list[str]):
 def keyword(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the share of a query's words (repeats count) that occur in the text, as parts of words too.
 
-    Each text is searched once for the words of all queries; a query then looks its own up by their places.
+    Each text is searched once for the words of all queries of a block; a query then looks its own up by their places.
     """
     q = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "").alias("_terms")).where("size(_terms) > 0")
-    check_size(q)
-    every = q.select(F.explode("_terms").alias("t")).agg(F.sort_array(F.collect_set("t")).alias("_all"))
-    terms = every.first()["_all"]  # bounded as the queries are
-    q = q.join(F.broadcast(every)).select("query_id", F.transform("_terms", lambda t: F.array_position("_all", t).cast("int") - 1).alias("_at"))
-    found = texts.select("id", finder(terms)(F.lower("text")).alias("_has"))
-    score = F.round(F.size(F.filter("_at", lambda i: F.get("_has", i))) / F.size("_at"), 6)
-    return top(found.join(F.broadcast(q)).select("query_id", "id", score.alias("score")).where("score > 0"), "query_id", k)
+
+    def answer(block: DataFrame) -> DataFrame:
+        every = block.select(F.explode("_terms").alias("t")).agg(F.sort_array(F.collect_set("t")).alias("_all"))
+        terms = every.first()["_all"]  # bounded as the block is
+        asked = block.join(F.broadcast(every)).select("query_id", F.transform("_terms", lambda t: F.array_position("_all", t).cast("int") - 1).alias("_at"))
+        found = texts.select("id", finder(terms)(F.lower("text")).alias("_has"))
+        score = F.round(F.size(F.filter("_at", lambda i: F.get("_has", i))) / F.size("_at"), 6)
+        return top(found.join(F.broadcast(asked)).select("query_id", "id", score.alias("score")).where("score > 0"), "query_id", k)
+
+    return by_blocks(q, answer)
 
 
 def hybrid(semantic_hits: DataFrame, keyword_hits: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:
@@ -103,15 +116,19 @@ def rerank(hits: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over postings(token, doc_id, tf). Only postings of query words are joined."""
-    terms = check_size(queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))).alias("token")))
-    lengths = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))).alias("token"))
+    lengths = cut(postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "lengths")
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    hit = postings.join(terms, "token")
-    df = postings.join(F.broadcast(terms.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = hit.join(F.broadcast(df), "token").join(lengths, "doc_id").join(F.broadcast(totals)).groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 5).alias("score"))
-    return top(scored, "query_id", k)
+
+    def answer(terms: DataFrame) -> DataFrame:
+        hit = postings.join(F.broadcast(terms), "token")
+        df = postings.join(F.broadcast(terms.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        scored = hit.join(F.broadcast(df), "token").join(lengths, "doc_id").join(F.broadcast(totals)).groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 5).alias("score"))
+        return top(scored, "query_id", k)
+
+    return by_blocks(asked, answer)
 
 
 def planes(dims: int, tables: int, bits: int, seed: int = 3) -> list[list[list[float]]]:
