@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import cleaning, formats, tablefix
 from tidemill.operators import changes, documents, geo, index, metrics, retrieve, sessions
+from tidemill.plans import tables
 from tidemill.sources import files
 from tidemill.storage import work_folder
 from tidemill.streaming import feeds
@@ -137,6 +138,24 @@ def test_long_query_tables_go_block_by_block(spark, monkeypatch):
         assert [(r[1], r[2]) for r in sorted(whole[1], key=lambda r: r[3]) if r[0] == i] == [(j, -n) for n, j in share[:4] if n]
 
 
+def test_text_files_are_of_bounded_size(spark, monkeypatch):
+    rows = [("hot" if i % 10 else "cold", f"{i:099d}" if i % 3 else "same" * 24 + "abc") for i in range(3000)]
+    path = work_folder(spark, "texts")
+    files.write_texts(spark.createDataFrame(rows, "doc string, value string"), path, "doc", 10_000)
+    good, bad = files.read_texts(spark, f"{path}/doc=*/*")
+    texts = [r["text"] for r in good.collect()]
+    assert bad.count() == 0 and max(map(len, texts)) < 20_000 and len(texts) > 20
+    assert sorted(x for t in texts for x in t.splitlines()) == sorted(v for _, v in rows)
+    # the query's own files
+    seen, plain = [], files.read_texts
+    monkeypatch.setattr(files, "read_texts", lambda s, folder: (seen.append(folder), plain(s, folder))[1])
+    monkeypatch.setattr(tables, "FILE_BYTES", 20_000, raising=False)
+    got = {r["doc_id"]: r["n_docs"] for r in tables.text_dir_ingest(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert got == {f"d{r['d']}": r["count"] for r in docs.groupBy((F.col("doc_id") % 8).alias("d")).count().collect()}
+    assert plain(spark, seen[0])[0].count() > 8
+
+
 def test_lsh_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = {(r["query_id"], r["id"]): r["score"] for r in retrieve.similar_all(v, 5, 0.1, 64).collect()}

@@ -11,6 +11,8 @@ from tidemill.operators import documents
 from tidemill.sources import files, jdbc
 from tidemill.storage import table, work_folder
 
+#: Bytes of a text file, about, as each is one row when it is read.
+FILE_BYTES = 4 << 20
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -72,11 +74,11 @@ def jsonl_roundtrip(spark, sf_dir):
 
 @query("SELECT 'd' || (doc_id % 8) AS doc_id, count(*)::BIGINT AS n_docs FROM documents GROUP BY 1")
 def text_dir_ingest(spark, sf_dir):
-    """Documents written as text files of a folder per group, read back with the file's name kept."""
+    """Documents written as text files of bounded size in a folder per group, read back with the file's name kept."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id") % 8).alias("doc"), F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
     path = work_folder(spark, "texts")
-    docs.repartition("doc").write.partitionBy("doc").text(path)
-    good, _ = files.read_texts(spark, f"{path}/doc=*")
+    files.write_texts(docs, path, "doc", FILE_BYTES)
+    good, _ = files.read_texts(spark, f"{path}/doc=*/*")
     named = good.select("text", F.input_file_name().alias("p"))
     lines = named.select(F.regexp_extract("p", "doc=([^/]+)/", 1).alias("doc_id"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("n"))
     return lines.groupBy("doc_id").agg(F.sum("n").alias("n_docs"))

@@ -17,6 +17,17 @@ def read_texts(spark: SparkSession, folder: str, extension: str = ".txt") -> tup
     return named.where(valid), named.where(~valid).select("doc_id", F.lit("not UTF-8").alias("error"))
 
 
+def write_texts(lines: DataFrame, path: str, by: str, file_bytes: int) -> None:
+    """Write lines(by, value) as text, a folder for each by, in files of about file_bytes (a longer line is one file at least).
+
+    Each group's bytes give the number of its files; lines are dealt at random, so equal lines spread as others do.
+    """
+    size = F.coalesce(F.octet_length("value"), F.lit(0)) + 1
+    files = lines.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.sum(size) / file_bytes).alias("_files"))
+    dealt = lines.join(F.broadcast(files), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_file", F.floor(F.rand(7) * F.col("_files"))).select(by, "_file", "value")
+    dealt.repartition(by, "_file").write.partitionBy(by, "_file").text(path)
+
+
 def intake(name: Column, size: Column, head: Column, extensions: list[str], office: list[str], limit: int) -> Column:
     """What is wrong with a file that came in, else null; the first fault counts. head: its first two bytes."""
     ext = F.lower(F.regexp_extract(name, r"(\.[^./]*)$", 1))
