@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips and held-out accuracy; nulls, empty and long texts, repeats."""
 
+import datetime
 import hashlib
 import itertools
 import random
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import bpe, fingerprints, langid, licenses, neardup, packing, quality, shards, urlgraph, warc
+from tidemill.llm import bpe, common, fingerprints, langid, licenses, neardup, packing, quality, shards, urlgraph, warc
 from tidemill.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -352,6 +353,69 @@ def test_components(spark):
     assert {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == want
 
 
+@pytest.mark.parametrize("order", ["ascending", "random", "star"])
+def test_components_take_logarithmic_rounds(spark, monkeypatch, order):
+    n = 5000
+    at = list(range(n))
+    if order == "random":
+        random.Random(6).shuffle(at)
+    pairs = [(0, i) for i in range(1, n)] if order == "star" else list(itertools.pairwise(at))
+    steps, plain = [], common.Scratch.cut
+    monkeypatch.setattr(common.Scratch, "cut", lambda self, df, what="cut": (steps.append(what), plain(self, df, what))[1])
+    got = components(spark.createDataFrame(pairs, "a long, b long"))
+    assert got.count() == n and got.where("label != 0").count() == 0
+    assert steps.count("down") <= 2 * 13  # steps along pointers: 2 log2 n
+
+
+def test_near_duplicates_of_any_ids_and_very_long_texts(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:-50]), " ".join(long[:40_000])] + chain(rng, 12) + ["Same text of words", None, "", "same text of WORDS"]
+    rows = list(enumerate(texts))
+    want = brute_duplicates(rows, 3, 85, 100)
+    for kind in ("int", "string", "date"):
+        name = {"int": lambda i: i, "string": lambda i: f"d{i:03d}", "date": lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(i)}[kind]
+        df = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 3, 0.85).collect()}
+        assert got == {name(i): (n, name(c), c == i) for i, (n, c) in want.items()}
+        assert {r["doc_id"] for r in neardup.distinct_documents(df, 3, 0.85).collect()} == {name(c) for _, c in want.values()}
+    more = spark.createDataFrame([("x", "one of two texts"), ("x", "one of two texts"), (None, "no id here"), ("y", "One of TWO texts")], "doc_id string, text string")
+    got = sorted(map(tuple, neardup.near_duplicates(more, 3, 0.85).collect()), key=repr)
+    assert got == sorted([("x", 2, "x", True)] * 2 + [("y", 2, "x", False), (None, 1, None, True)], key=repr)
+
+
+def test_near_duplicates_leave_other_columns_alone(spark):
+    names = ["kept_id", "__kept", "bucket", "rep", "hub", "label", "size", "_text", "n", "_set", "_part"]
+    df = spark.createDataFrame([(1, "a b c d", "x"), (2, "A b c d", "y"), (3, "other words are here", "z")], "doc_id long, text string, v string")
+    df = df.select("doc_id", "text", *[F.col("v").alias(n) for n in names])
+    kept = neardup.distinct_documents(df, 3, 0.85)
+    assert kept.columns == df.columns and {(r["doc_id"], r["rep"]) for r in kept.collect()} == {(1, "x"), (3, "z")}
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "COLD_ROWS", 10)
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    got = common.join_groups(rows, groups, "key", "id", 1000)
+    assert sorted((r["id"], r["key"], r["n"], r["least"]) for r in got.collect()) == [(i, 0 if i % 3 == 0 else i, 334 if i % 3 == 0 else 1, 0 if i % 3 == 0 else i) for i in range(1000)]
+
+
+def test_sketches_of_pairs_at_the_threshold_pass_the_bound():
+    rng = np.random.default_rng(7)
+    for threshold in (0.8, 0.85):
+        t = neardup.bands(threshold) * neardup.BAND
+        least, misses, apart = neardup.least_equal(t, threshold), 0, 0
+        for _ in range(300):
+            x = rng.integers(0, 2**63, 1200, dtype=np.uint64)
+            both = round(600 * 2 * threshold / (1 + threshold))
+            a, b = np.unique(x[:600]), np.unique(x[600 - both : 1200 - both])
+            same = (np.frombuffer(neardup.short(a, t), "<u2") == np.frombuffer(neardup.short(b, t), "<u2")).sum()
+            misses += same < least
+            c = np.unique(x[400:1000])
+            apart += (np.frombuffer(neardup.short(a, t), "<u2") == np.frombuffer(neardup.short(c, t), "<u2")).sum() < least
+        assert (misses, apart) == (0, 300)
+
+
 def test_sketch_estimates_the_similarity():
     rng = np.random.default_rng(2)
     for size, both in ((3, 2), (40, 30), (400, 300), (4000, 1000)):
