@@ -40,7 +40,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        # texts with the string of a special token, which the library takes for that token, go through it whole
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -86,8 +87,10 @@ class WordTokenizer:
             self.memo[w] = self.memo[stem] + self.memo[signs]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Nothing joins across a space or a line end, so the text is cut there."""
-        words = [x.replace("\n", " ").split(" ") for x in texts]
+        """Ids of each text, as the library gives them without special tokens added. Nothing joins across a space or a
+        line end, so the text is cut there."""
+        whole = [any(t in x for t in self.special) for x in texts]
+        words = [[] if w else x.replace("\n", " ").split(" ") for x, w in zip(texts, whole, strict=True)]
         found = set().union(*words)
         if len(self.memo) > MEMO:  # what is still in use comes back from the older half
             self.older, self.memo = self.memo, {}
@@ -95,7 +98,8 @@ class WordTokenizer:
         known = new.intersection(self.older)
         self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
         self.learn(new.difference(known))
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), "<u4") for ws in words]
+        by_word = [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), "<u4") for ws in words]
+        return [np.array(self.own.encode(x, add_special_tokens=False).ids, "<u4") if w else ids for x, w, ids in zip(texts, whole, by_word, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -104,7 +108,10 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every whole text with end_id after it; null counts as empty, so it is one token."""
+    """(id, piece, start, length, ids_crc32) of every whole text with end_id after it; null counts as empty, so it is one token.
+
+    Ids are those of tokenizers.Tokenizer.encode(text, add_special_tokens=False): the string of a special token in a text is that token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,13 +181,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every piece's place; offsets are gapless from 0.
 
-    Null and empty texts are one piece of end_id alone. Repeated rows are packed each. The empty table
-    gives no rows.
+    Null and empty texts are one piece of end_id alone. Repeated rows are packed each, also those without an id. Very
+    long texts are cut into many pieces. Further columns, whatever their names, do not matter. The empty table gives no rows.
     """
     spark = docs.sparkSession
+    docs, id_name, id_col = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), id_col, "_id"
+    text_col = "_text"
     salts = tasks(spark)
-    made = cut(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")), "pieces")
-    # a length that a third of all pieces share is ranked in as many parts as there are salts
+    made = cut(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")), "pieces")
+    # a length that a third of all pieces share is ranked in as many parts as there are salts, rows that repeat one id too
     sums = cut(made.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -192,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     placed = ranked.join(F.broadcast(segments), (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_n")))
     step = F.col("_at") - F.col("_rank")
     return placed.select(
-        id_col, "piece", "start", "length", "ids_crc32",
+        F.col(id_col).alias(id_name), "piece", "start", "length", "ids_crc32",
         (F.col("_bin") + F.floor(step / F.col("_each"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + F.pmod(step, F.col("_each")) * F.col("length")).cast("long").alias("offset"),
     )
