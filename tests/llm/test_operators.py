@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -92,6 +93,30 @@ def test_fingerprints_against_a_plain_loop(spark):
     assert fingerprints.against_next(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["smallint", "int", "string"])
+def test_fingerprints_of_other_ids_and_of_many_rows_with_one(spark, kind):
+    rng = random.Random(4)
+    name = (lambda i: None if i is None else f"k{i:05d}") if kind == "string" else lambda i: i
+    ids = [None] * 300 + [7] * 300 + list(range(20, 120))
+    rows = [(name(i), None if n % 97 == 0 else " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n % 40)), "x") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, fingerprint string").repartition(3)
+    got = fingerprints.against_next(df)
+    assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    order = sorted(((r["doc_id"] is not None, r["doc_id"], r["h"], r["t"]) for r in hashed), key=lambda r: (r[0], r[1] or 0 if kind != "string" else r[1] or "", *r[2:]))
+    want = []
+    for k, (_, i, _, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][3]
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.show(fingerprints.fingerprint(t)), fingerprints.show(fingerprints.fingerprint(e))))
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=repr) == sorted(want, key=repr)
+    # no run is much longer than others, though two ids hold most rows
+    if kind == "int":
+        sizes = [r["count"] for r in fingerprints.in_order(df, "doc_id", "text").where("not _ahead").groupBy("_run").count().collect()]
+        assert max(sizes) < 150
+
+
 def test_chunk_boundaries_move_little_after_an_edit():
     rng = random.Random(3)
     a = bytes(rng.randrange(97, 123) for _ in range(20_000))
@@ -152,11 +177,20 @@ def test_licences_across_lines_several_a_line_and_whole(spark):
     assert [m[1] for m in s.scan("a b c d e f h i j k l m n o p")] == ["x", "y"]
 
 
+FOREIGN = {
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza. Ad ogni individuo spettano tutti i diritti e tutte le libertà enunciate nella presente Dichiarazione, senza distinzione alcuna",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. Todos os seres humanos podem invocar os direitos e as liberdades proclamados na presente Declaração, sem distinção alguma",
+    "nl": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Zij zijn begiftigd met verstand en geweten, en behoren zich jegens elkander in een geest van broederschap te gedragen. Een ieder heeft aanspraak op alle rechten en vrijheden, in deze Verklaring opgesomd, zonder enig onderscheid",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin",
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej Deklaracji",
+}
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = langid.fit(docs, ~held)
-    assert set(model.langs) == {"en", "fr", "de", "es"} and len(model.langs) == 4 * langid.CENTROIDS
+    assert set(model.langs) == {"en", "fr", "de", "es"} and 4 <= len(model.langs) <= 4 * langid.CENTROIDS
     got = langid.predict(docs, model).join(docs.select("doc_id", "lang", held.alias("h"), "n_chars"), "doc_id").where("h").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got if r["n_chars"] > 200]) > 0.98
     assert np.mean([r["rejected"] for r in got]) < 0.02
@@ -165,21 +199,67 @@ def test_language_held_out(spark):
         assert (odd[i]["lang_pred"], odd[i]["score"], odd[i]["rejected"]) == ("und", 0.0, True)
     assert odd[len(ODD) + 1]["rejected"] and odd[3]["lang_pred"] != "und"
     assert langid.fit(docs.limit(0)).predict("text") == ("und", 0.0, True)
+    assert langid.predict(docs.limit(0), model).count() == 0
     kept = langid.accepted(docs, model)
     assert kept.columns == docs.columns and kept.count() > 950
 
 
+def test_language_is_that_of_the_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("lang_pred", F.lit("clash")).withColumn("_lang", F.lit(1))
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in langid.predict(docs, model).collect()}
+    for r in docs.collect():
+        # counts in a plain loop, cosines without the operator's functions
+        letters = "".join(chr(b) if b >= 128 or chr(b).isalpha() else " " for b in r["text"].lower().encode())
+        b = (" " + " ".join(letters.split(" ")) + " ").encode("latin-1")
+        b = b" " + b" ".join(b.split()) + b" "
+        c = np.zeros(langid.DIMS)
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            c[(((x << 16 | y << 8 | z) * 2654435761) % 2**32) >> 20] += 1
+        v = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * model.idf
+        cos = [float(np.dot(v, k) / np.sqrt(np.dot(v, v)) / np.sqrt(np.dot(k, k))) for k in model.centroids.astype(float)]
+        lang, score, rejected = got[r["doc_id"]]
+        assert abs(score - max(cos)) < 1e-4 and max(s for s, n in zip(cos, model.langs, strict=True) if n == lang) > max(cos) - 1e-5
+        assert rejected == (1 - score > model.farthest[lang][min(langid.CLASSES - 1, int(np.log2(c.sum() + 1)))])
+
+
+def test_language_is_learned_whatever_the_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    for df in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.union(docs).union(docs).withColumn("doc_id", F.lit(7).cast("long"))):
+        model = langid.fit(df, sample=50)
+        assert set(model.langs) == {"en", "fr", "de", "es"}
+        got = langid.predict(docs, model).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("n > 200").collect()
+        assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
+
+
+def test_language_rejects_what_is_in_none(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    good = quality.accepted(docs)
+    rng = random.Random(2)
+    odd = [*FOREIGN.values(), " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(80))]
+    odd += ["for (int i = 0; i < n; i++) { if (buf[i] == 0xff) { ptr->next = malloc(sizeof(struct node)); memset(ptr, 0, sizeof(*ptr)); } } " * 4, "你好世界" * 100]
+    # one row with a wrong label changes nothing
+    for df in (good, good.union(spark.createDataFrame([(10**9, FOREIGN["it"], "es")], docs.schema))):
+        model = langid.fit(df)
+        assert all(model.predict(t)[2] for t in odd)
+        assert langid.accepted(good, model).count() >= 0.995 * good.count()
+
+
 def test_packing_places_all_pieces(spark):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    docs = documents(spark).select("doc_id", "text").unionByName(table(spark, [(10**6 + i, x) for i, x in enumerate(ODD)] + [(5, "twice"), (5, "twice")]).select("doc_id", "text"))
+    special = ["hello <|startoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|STARTOFTEXT|>", "<|endoftext|> " + "word " * 5000]
+    own = [(10**6 + i, x) for i, x in enumerate(ODD + special)] + [(5, "twice"), (5, "twice"), (None, "no id"), (None, "no id")]
+    docs = documents(spark).select("doc_id", "text").unionByName(table(spark, own).select("doc_id", "text")).withColumn("_salt", F.lit("clash")).withColumn("length", F.lit(-1)).withColumn("_at", F.lit(0))
     rows = packing.pack(docs, path).collect()
-    lengths = sorted(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    by = defaultdict(int)
-    for r in rows:
-        by[r["doc_id"], r["piece"], r["start"]] += r["length"]
-    assert sum(r["length"] for r in rows) == sum(lengths)
-    assert len(rows) == sum(-(-n // 2048) for n in lengths)
+    # every piece: where it starts, how long it is, which ids it has
+    want = Counter()
+    for r in docs.collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            part = ids[s : s + 2048]
+            want[r["doc_id"], k, s, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     seqs = defaultdict(list)
     for r in rows:
         seqs[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -189,7 +269,7 @@ def test_packing_places_all_pieces(spark):
             assert offset == at
             at += n
         assert at <= 2048
-    assert len(seqs) <= -(-sum(lengths) // 2048) + 2
+    assert len(seqs) <= -(-sum(r["length"] for r in rows) // 2048) + 2
     assert packing.pack(docs.limit(0), path).count() == 0
 
 

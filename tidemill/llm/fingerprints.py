@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import tasks
+from tidemill.llm.common import numbered, tasks, whole_numbers
 
 #: Bytes: no chunk but the last is shorter than SMALLEST or longer than LARGEST; most are near USUAL.
 SMALLEST, USUAL, LARGEST = 16, 64, 512
@@ -98,41 +99,55 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_run, _ahead, id, text): the documents cut into runs of ascending ids, one after another.
+    """(_run, _ahead, _id, _hash, _text): the documents cut into runs of ascending ids, one after another; ids are whole numbers.
 
-    Cuts are quantiles of the ids, about four runs a task. The first document of each run appears in the
-    run before it once more, with _ahead set (the first run comes after the last), so each run has all
-    that its documents' successors need, and only run numbers and ids ever reach the driver. Texts
-    move once.
+    Cuts are quantiles of the ids, about four runs a task. A run of one id alone that is longer than others (nulls are
+    such a run) is cut again, by hashes of texts. The first document of each run appears in the run before it once
+    more, with _ahead set (the first run comes after the last), so each run has all that its documents' successors
+    need, and only run numbers, ids and hashes of their first rows ever reach the driver. Texts move once.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     wanted = 4 * tasks(spark)
     cuts = base.where("_id is not null").select(F.col("_id").cast("double").alias("_x")).approxQuantile("_x", [k / wanted for k in range(1, wanted)], 1 / (8 * wanted)) if wanted > 1 else []
-    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
-    at = Bucketizer(splits=splits, inputCol="_x", outputCol="_run", handleInvalid="keep")
+    # an id at which several cuts fall is a run by itself
+    cuts = sorted({*cuts, *(float(np.nextafter(a, np.inf)) for a, b in pairwise(sorted(cuts)) if a == b)})
+    at = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_x", outputCol="_run", handleInvalid="keep")
     # nulls come first, before the smallest id, in a run of their own
-    runs = at.transform(base.withColumn("_x", F.col("_id").cast("double"))).withColumn("_run", F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.col("_run").cast("int"))).drop("_x")
-    heads = sorted(runs.groupBy("_run").agg(F.min("_id").alias("first")).collect(), key=lambda r: r["_run"])
+    runs = at.transform(base.withColumn("_x", F.col("_id").cast("double"))).withColumn("_run", F.when(F.col("_id").isNull(), F.lit(-1)).otherwise(F.col("_run").cast("long"))).drop("_x")
+    sizes = runs.groupBy("_run").agg(F.count(F.lit(1)).alias("n"), F.min("_id").eqNullSafe(F.max("_id")).alias("one")).collect()  # twice wanted at most
+    most = max(1, sum(r["n"] for r in sizes) // wanted)
+    parts = F.lit(1)
+    for r in sizes:
+        if r["one"] and r["n"] > 2 * most:
+            parts = F.when(F.col("_run") == r["_run"], -(-r["n"] // most)).otherwise(parts)
+    part = F.floor((F.call_function("shiftright", F.col("_hash"), F.lit(32)) + (1 << 31)) * parts / float(1 << 32))
+    runs = runs.withColumn("_hash", F.xxhash64("_text")).withColumn("_run", F.col("_run") * (1 << 20) + part.cast("long"))
+    heads = sorted(runs.groupBy("_run").agg(F.min(F.struct("_id", "_hash")).alias("h")).select("_run", "h.*").collect(), key=lambda r: r["_run"])
     # the head of each run also goes to the run before; one row a run, so the table that is sent out is bounded by wanted
-    before = spark.createDataFrame([(r["first"], heads[i - 1]["_run"]) for i, r in enumerate(heads)], runs.select(F.col("_id").alias("_head"), F.col("_run").alias("_before")).schema)
-    both = runs.join(F.broadcast(before), F.col("_id").eqNullSafe(F.col("_head")), "left")
+    before = spark.createDataFrame([(r["_id"], r["_hash"], heads[i - 1]["_run"]) for i, r in enumerate(heads)], "_head long, _head_hash long, _before long")
+    both = runs.join(F.broadcast(before), F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_hash") == F.col("_head_hash")), "left")
     here, there = F.struct("_run", F.lit(False).alias("_ahead")), F.struct(F.col("_before").alias("_run"), F.lit(True).alias("_ahead"))
-    out = both.select(F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_at"), "_id", "_text").select("_at.*", "_id", "_text")
-    return out.select("_run", "_ahead", "_id", "_text")
+    out = both.select(F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("_at"), "_id", "_hash", "_text")
+    return out.select("_at.*", "_id", "_hash", "_text")
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
-    Next: by ascending id (nulls first), after the last the first; rows with one id follow each other by
-    text. A single row is its own next. Edited: the last half (rounded down) of the code points
-    replaced by as many of the next document's first ones, or by all if it has fewer. Null texts are
-    empty. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Next: by ascending id (nulls first), after the last the first; rows with one id follow each other by a hash of
+    the text, then the text. A single row is its own next. Edited: the last half (rounded down) of the code points
+    replaced by as many of the next document's first ones, or by all if it has fewer. Null texts are empty. Ids
+    may be of any type that can be sorted; further columns do not matter. The empty table gives no rows.
+    Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    runs = in_order(docs, id_col, text_col).repartition(tasks(docs.sparkSession), "_run").sortWithinPartitions("_run", "_ahead", "_id", "_text")
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = (docs.schema[id_col].dataType.simpleString(), "long", "string", "string", "string", "double", "double")
+    if not whole_numbers(docs, id_col):
+        inner, ids = numbered(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")), "_key")
+        got = against_next(inner, "_key", "_text").join(ids, F.col("_key") == F.col("_n"), "left")
+        return got.select(F.col("_id").alias(id_col), *got.columns[1:7])
+    runs = in_order(docs, id_col, text_col).repartition(tasks(docs.sparkSession), "_run").sortWithinPartitions("_run", "_ahead", "_id", "_hash", "_text")
+    names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -146,9 +161,12 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             e = fingerprint(edited)
             rows.append((key, len(mine), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(e), containment(own, e), containment(own, f)))
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         done = None  # the run whose end has been reached
         for batch in batches:
-            for k, ahead, key, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for k, ahead, key, _, text in zip(*(batch.column(i) for i in range(5)), strict=True):
                 k, ahead, text = k.as_py(), ahead.as_py(), text.as_py()
                 if ahead and k == done:
                     continue
@@ -158,15 +176,10 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     size += len(text)
                 held, done = (None, k) if ahead else ((k, key.as_py(), text, f), done)
                 if size > 4_000_000 or len(rows) > 2000:
-                    yield _batch(rows, names, id_type)
+                    yield batch_of(rows)
                     rows, size = [], 0
         if rows:
-            yield _batch(rows, names, id_type)
-
-    id_type = pa.int64() if kinds[0] == "bigint" else pa.int32()
-    return runs.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
-
+            yield batch_of(rows)
 
-def _batch(rows: list[tuple], names: list[str], id_type: pa.DataType) -> pa.RecordBatch:
-    types = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    made = runs.mapInArrow(run, "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return made.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
