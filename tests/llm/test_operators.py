@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemill.llm import bpe, common, fingerprints, langid, licenses, neardup, packing, quality, shards, urlgraph, warc
+from tidemill.llm import bpe, common, fingerprints, langid, licenses, neardup, packing, quality, queries, shards, sql, urlgraph, warc
 from tidemill.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -72,6 +72,23 @@ def test_shards_fit_and_split_only_where_needed(spark, limit):
     assert shards.assign(docs.limit(0), limit).count() == 0
 
 
+@pytest.mark.parametrize("send", [shards.SEND, 0])
+def test_shards_are_written_as_they_are_assigned(spark, monkeypatch, send):
+    monkeypatch.setattr(shards, "SEND", send)
+    monkeypatch.setattr(common, "COLD_ROWS", 20)
+    docs = documents(spark).unionByName(table(spark, [(None, None), (None, "null id")] + [(7, f"row {i} of one id") for i in range(100)]), allowMissingColumns=True)
+    docs = docs.withColumn("_row", F.lit("clash")).withColumn("_h", F.lit(1)).withColumn("shard", F.lit("replaced")).withColumn("_at", F.lit(None).cast("string"))
+    path = common.new_folder(spark, "test")
+    shards.write(docs, path, 30_000)
+    back = spark.read.parquet(path)
+    rest = [c for c in docs.columns if c != "shard"]
+    assert sorted(map(repr, back.select(rest).collect())) == sorted(map(repr, docs.select(rest).collect()))
+    got = shards.read(spark, path, docs.schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, shards.assign(docs.drop("shard"), 30_000).select(got.columns).collect()))
+    assert all(r["shard_bytes"] <= 30_000 or r["depth"] == shards.BITS for r in got.collect()) and got.select("shard").distinct().count() > 10
+    shards.write(docs.limit(0), common.new_folder(spark, "test"), 30_000)
+
+
 def test_fingerprints_against_a_plain_loop(spark):
     docs = documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(-5, None), (-4, ""), (-3, "short"), (-3, "short"), (10**6, "x" * 5000)], "doc_id long, text string"))
     got = sorted(fingerprints.against_next(docs).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
@@ -336,6 +353,26 @@ def test_distrust_does_not_depend_on_how_many_link(spark):
     assert got == want
 
 
+def test_urls_by_sql(spark):
+    """The query's SQL over a linked graph: cycles, several links, hosts without links out, parent domains, uncrawled targets."""
+    import duckdb
+
+    rng = random.Random(10)
+    hosts = [f"{a}{i}.{b}" for i in range(8) for a, b in (("h", "io"), ("b", "net"), ("o", "org"), ("e", "example.com"))] + ["io", "x.h1.io", "example.com", "www.example.net"]
+    rows = []
+    for i in range(300):
+        links = "".join(f"<a href={q}{s}//{rng.choice(hosts + ['far.net', 'far.io'])}{rng.choice(['', '/', '/fr/x', '/de/', '/en/y?z'])}{q}>" for q, s in [(rng.choice("\"'"), rng.choice(["", "http:", "HTTPS:"])) for _ in range(rng.randrange(4))])
+        rows.append((i, f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/fr/', '/de/a', '/en/'])}", None if i % 50 == 0 else links))
+    rows += [(1000, None, "x"), (1001, "no scheme", None), (1000, None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = sorted(map(repr, (tuple(r) for r in urlgraph.judge(pages, queries.URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect())))
+    assert got == sorted(map(repr, con.execute(sql.urls()).fetchall()))
+    assert len({r["host"] for r in urlgraph.judge(pages, queries.URL_RULES).where("rule is null and verdict = 'block'").collect()}) >= 1
+    assert urlgraph.judge(pages.limit(0), queries.URL_RULES).count() == 0
+
+
 def test_host_scores_settle_as_a_plain_loop_does(spark):
     rng = random.Random(8)
     names = [f"h{i}.io" for i in range(60)]

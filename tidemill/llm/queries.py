@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import bpe, fingerprints, langid, licenses, neardup, packing, quality, shards, urlgraph, warc
-from tidemill.llm.common import table
+from tidemill.llm.common import new_folder, table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 64 << 20
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    docs = table(spark, sf_dir, "documents")
+    path = new_folder(spark, "shards")
+    shards.write(docs, path, SHARD_BYTES)
+    return shards.read(spark, path, docs.schema)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,15 @@ the end of the window goes on to the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemill.llm.common import cut
+from tidemill.llm.common import cut, join_groups, tasks
 
 BITS = 60  # of the hash
 WINDOW = 12  # bits that one pass looks at
+SEND = 1_000_000  # shards whose directory is sent to all tasks at most, some 40 bytes each
 
 
 def hash60(key: Column) -> Column:
@@ -27,49 +29,89 @@ def prefix(h: Column, depth: Column) -> Column:
     return F.call_function("shiftright", h, (F.lit(BITS) - depth).cast("int"))
 
 
-def assign(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, depth, shard, shard_bytes): shard is the bucket's hash prefix as a bit string of length depth.
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: those of its texts, eight for each other value; null texts have none."""
+    long = lambda f: f.dataType.simpleString() in ("string", "binary")
+    return sum((F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") if long(f) else F.lit(8).cast("long") for f in df.schema), F.lit(0).cast("long"))
 
-    Every shard has at most limit_bytes bytes, but for a bucket that no hash bit can split: one document
-    over the limit, or rows that repeat one id; such a bucket ends at the depth of all bits. Null texts
-    have 0 bytes. Null ids share one bucket. The empty table gives no rows.
-    """
-    rows = cut(docs.select(F.col(id_col).alias("_id"), hash60(F.col(id_col)).alias("_h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("_n")), "sizes")
+
+def directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
+    """(depth, p, shard_bytes, n) of every shard for rows(_h, _n): the first depth bits of the hashes, bytes, rows."""
     by_hash, start, leaves = rows, 0, None
     while start < BITS:
         end = min(start + WINDOW, BITS)
         # sums at the last depth of the window first; the sums above it come from these few rows
-        fine = by_hash.groupBy(prefix(F.col("_h"), F.lit(end)).alias("p")).agg(F.sum("_n").alias("n"))
+        fine = by_hash.groupBy(prefix(F.col("_h"), F.lit(end)).alias("p")).agg(F.sum("_n").alias("bytes"), F.count(F.lit(1)).alias("n"))
         levels = F.sequence(F.lit(start), F.lit(end))
         sums = (
-            fine.select(F.explode(levels).alias("depth"), "p", "n")
-            .select("depth", F.call_function("shiftright", "p", F.lit(end) - F.col("depth")).alias("p"), "n")
-            .groupBy("depth", "p").agg(F.sum("n").alias("n"))
+            fine.select(F.explode(levels).alias("depth"), "p", "bytes", "n")
+            .select("depth", F.call_function("shiftright", "p", F.lit(end) - F.col("depth")).alias("p"), "bytes", "n")
+            .groupBy("depth", "p").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
         )
         sums = cut(sums, "directory")
         # a bucket is a shard where its sum fits and that of the bucket it came from did not
-        parents = sums.where(F.col("n") > limit_bytes).select((F.col("depth") + 1).alias("depth"), F.col("p").alias("_up"), F.lit(True).alias("_split"))
+        parents = sums.where(F.col("bytes") > limit_bytes).select((F.col("depth") + 1).alias("depth"), F.col("p").alias("_up"), F.lit(True).alias("_split"))
         made = sums.withColumn("_up", F.call_function("shiftright", "p", F.lit(1))).join(parents, ["depth", "_up"], "left")
-        fits = (F.col("n") <= limit_bytes) | (F.col("depth") == BITS)
-        found = made.where(fits & (F.col("_split") | (F.col("depth") == 0)) if start == 0 else fits & F.col("_split")).select("depth", "p", F.col("n").alias("shard_bytes"))
+        fits = (F.col("bytes") <= limit_bytes) | (F.col("depth") == BITS)
+        found = made.where(fits & (F.col("_split") | (F.col("depth") == 0)) if start == 0 else fits & F.col("_split")).select("depth", "p", F.col("bytes").alias("shard_bytes"), "n")
         leaves = found if leaves is None else leaves.unionByName(found)
-        large = sums.where((F.col("depth") == end) & (F.col("n") > limit_bytes)).select(F.col("p").alias("_big"))
+        large = sums.where((F.col("depth") == end) & (F.col("bytes") > limit_bytes)).select(F.col("p").alias("_big"))
         if end == BITS or large.isEmpty():
             break
         by_hash = by_hash.join(large, prefix(F.col("_h"), F.lit(end)) == F.col("_big"), "left_semi")
         start = end
-    leaves = cut(leaves, "shards")
-    depths = [r["depth"] for r in leaves.select("depth").distinct().collect()]  # 61 at most
-    keyed = leaves.select("depth", F.col("p").alias("_p"), "shard_bytes")
-    # a document is in the one shard, among the depths in use, whose prefix it has
-    tries = rows.withColumn("depth", F.explode(F.array(*map(F.lit, sorted(depths))))) if depths else rows.withColumn("depth", F.lit(0))
-    placed = tries.withColumn("_p", prefix(F.col("_h"), F.col("depth"))).join(keyed, ["depth", "_p"])
-    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("right(lpad(bin(_p), 60, '0'), depth)"))
-    return placed.select(F.col("_id").alias(id_col), F.col("_n").alias("n_bytes"), "depth", name.alias("shard"), "shard_bytes")
-
-
-def write(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as Parquet, one folder a shard. A document's columns stay; a column named shard is replaced."""
-    ids = assign(docs, limit_bytes, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard")).distinct()
-    out = docs.drop("shard").join(ids, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id").withColumn("shard", F.concat(F.lit("b"), "_shard")).drop("_shard")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    return cut(leaves, "shards")
+
+
+def located(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rows (with _h) and their shard's _at (depth, p) and shard_bytes.
+
+    A row is in the one shard, among the depths in use, whose prefix it has. A directory of up to SEND shards is sent out, so rows
+    do not move; a larger one is joined, with the shards of many rows dealt in parts.
+    """
+    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # 61 at most
+    at = lambda depth, p: F.struct(depth.cast("int").alias("depth"), p.alias("p"))
+    tries = rows.withColumn("_at", F.explode(F.array(*[at(F.lit(d), prefix(F.col("_h"), F.lit(d))) for d in depths or [0]])))
+    keyed = leaves.select(at(F.col("depth"), F.col("p")).alias("_at"), "shard_bytes", "n")
+    if leaves.count() <= SEND:
+        return tries.join(F.broadcast(keyed.drop("n")), "_at")
+    return join_groups(tries, keyed, "_at", "_h", rows.count()).drop("n")
+
+
+def name(at: Column) -> Column:
+    """A shard's name: the prefix as a bit string of its depth."""
+    bits = F.lpad(F.bin(at["p"]), F.lit(BITS), F.lit("0"))
+    return F.when(at["depth"] == 0, F.lit("")).otherwise(F.right(bits, at["depth"]))
+
+
+def assign(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, depth, shard, shard_bytes): shard is the bucket's hash prefix as a bit string of length depth.
+
+    Every shard has at most limit_bytes bytes (row_bytes of whole rows), but for a bucket that no hash bit can split: one
+    document over the limit, or rows that repeat one id; such a bucket ends at the depth of all bits. Null ids share
+    one bucket. Further columns count by their bytes. The empty table gives no rows.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("_id"), hash60(F.col(id_col)).alias("_h"), row_bytes(docs).alias("_n")), "sizes")
+    placed = located(rows, directory(rows, limit_bytes))
+    return placed.select(F.col("_id").alias(id_col), F.col("_n").alias("n_bytes"), F.col("_at.depth").alias("depth"), name(F.col("_at")).alias("shard"), "shard_bytes")
+
+
+def write(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id") -> None:
+    """Write the documents as Parquet, one folder shard=b<prefix> a shard, one file in it. Columns stay as they are, but one named
+    shard is replaced. Documents move once; no task has more than shards of limit_bytes one after another."""
+    kept = docs.drop("shard")
+    sizes = kept.select(hash60(F.col(id_col)).alias("_h"), row_bytes(kept).alias("_n"))
+    leaves = directory(cut(sizes, "sizes"), limit_bytes)
+    whole = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), hash60(F.col(id_col)).alias("_h"))
+    out = located(whole, leaves).select("_row.*", F.concat(F.lit("b"), name(F.col("_at"))).alias("shard"))
+    out.repartition(tasks(docs.sparkSession), "shard").write.partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType | str, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, depth, shard, shard_bytes) of the documents that the shards under path hold, from the files."""
+    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    names = [f.name for f in schema if f.name != "shard"]
+    rows = spark.read.schema(StructType([f for f in schema if f.name != "shard"]).add("shard", "string")).parquet(path)
+    rows = rows.select(F.col(id_col), row_bytes(rows.select(*[f"`{n}`" for n in names])).alias("n_bytes"), F.substring("shard", 2, BITS).alias("shard"))
+    sums = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("n"))
+    return join_groups(rows, cut(sums, "read"), "shard", id_col, rows.count()).select(id_col, "n_bytes", F.length("shard").alias("depth"), "shard", "shard_bytes")

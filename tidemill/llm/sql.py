@@ -10,7 +10,7 @@ SEP = r"[ \t\n\x0b\f\r]"
 
 def shards() -> str:
     return f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, (16 + coalesce(strlen(text), 0) + coalesce(strlen(lang), 0) + coalesce(strlen(source), 0))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT t.depth, h >> (60 - t.depth)::INT AS p, sum(n_bytes)::BIGINT AS n FROM d, (SELECT unnest(range(0, 61))::INT AS depth) t GROUP BY ALL),
 leaf AS (SELECT a.* FROM s a LEFT JOIN s b ON b.depth = a.depth - 1 AND b.p = a.p >> 1
          WHERE (a.n <= {SHARD_BYTES} OR a.depth = 60) AND (a.depth = 0 OR b.n > {SHARD_BYTES}))
@@ -18,36 +18,45 @@ SELECT doc_id, n_bytes, depth, right(lpad(bin(p), 60, '0'), depth) AS shard, n A
 FROM d JOIN leaf ON d.h >> (60 - leaf.depth)::INT = leaf.p"""
 
 
+#: Rounds of the SQL for scores that have settled: 0.85 ** 96 is below 2e-7.
+SETTLED = 96
+
+
 def urls() -> str:
     rules = sorted(URL_RULES, key=lambda r: (-len(r), r))
-    fits = {r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))" for r in rules}
-    rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in rules) + " END"
+    fits = lambda host, path: {r: f"(({host} = '{r.partition('/')[0]}' OR ends_with({host}, '.{r.partition('/')[0]}')) AND starts_with({path}, '/{r.partition('/')[2]}'))" for r in rules}
+    rule = lambda host, path: "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, c in fits(host, path).items()) + " END"
+    root = "CASE WHEN path = '' THEN '/' ELSE path END"
     allow = ", ".join(f"'{r}'" for r in rules if URL_RULES[r] == "allow")
-    link = urlgraph.LINK.replace("'", "''")
+    link = urlgraph.TARGET.replace("'", "''")
     up, low, d = urlgraph.UPPER, urlgraph.LOWER, urlgraph.DAMPING
+    counts = f"count(*) AS n, count(*) FILTER (WHERE rr IN ({allow})) AS allowed, count(*) FILTER (WHERE rr IS NOT NULL AND rr NOT IN ({allow})) AS blocked"
     steps = "".join(
         f""",
-r{k + 1} AS (SELECT seed.host, seed.kind, seed.seed, seed.seed * (1 - {d}) + coalesce(m.v, 0) * {d} AS s FROM seed LEFT JOIN
-  (SELECT b AS host, shares.kind, sum(s * share) AS v FROM shares JOIN r{k} ON r{k}.host = a AND r{k}.kind = shares.kind GROUP BY ALL) m USING (host, kind))"""
-        for k in range(urlgraph.ROUNDS)
+r{k + 1} AS MATERIALIZED (SELECT seed.host, seed.kind, seed.seed + seed.open * {d} * coalesce(m.v, 0) AS s FROM seed LEFT JOIN
+  (SELECT a AS host, shares.kind, sum(s * share) AS v FROM shares JOIN r{k} ON r{k}.host = b AND r{k}.kind = shares.kind GROUP BY ALL) m USING (host, kind))"""
+        for k in range(SETTLED)
     )
     return f"""
 WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 v AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 w AS (SELECT page_id, html, translate(raw, '{up}', '{low}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM v),
-p AS (SELECT *, {rule} AS rule FROM w),
+p AS MATERIALIZED (SELECT *, {rule("host", "path")} AS rule, {rule("host", root)} AS rr FROM w),
 names AS (SELECT DISTINCT host FROM p WHERE host <> ''),
-links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{up}', '{low}') AS dst FROM p WHERE host <> ''),
+t AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS rest FROM p WHERE host <> ''),
+tv AS (SELECT src, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM t),
+tw AS (SELECT src, translate(raw, '{up}', '{low}') AS dst, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM tv),
+links AS (SELECT src, dst, {rule("dst", root)} AS rr FROM tw WHERE dst <> '' AND dst <> src),
 fam AS (SELECT host AS h, regexp_replace(host, '^[^.]*\\.', '') AS q FROM names WHERE regexp_replace(host, '^[^.]*\\.', '') IN (SELECT host FROM names) AND regexp_replace(host, '^[^.]*\\.', '') <> host),
-edges AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1 AS w FROM links WHERE dst <> '' AND dst <> src UNION ALL SELECT h, q, 1 FROM fam UNION ALL SELECT q, h, 1 FROM fam) GROUP BY ALL),
-hosts AS (SELECT host, count(*) FILTER (WHERE rule IN ({allow})) / count(*) AS trust, count(*) FILTER (WHERE rule IS NOT NULL AND rule NOT IN ({allow})) / count(*) AS distrust FROM p WHERE host <> '' GROUP BY host),
-every AS (SELECT coalesce(hosts.host, e.host) AS host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM hosts FULL JOIN (SELECT src AS host FROM edges UNION SELECT dst FROM edges) e ON e.host = hosts.host),
-seed AS (SELECT host, 'trust' AS kind, trust AS seed FROM every UNION ALL SELECT host, 'distrust', distrust FROM every),
-moves AS (SELECT src AS a, dst AS b, w, 'trust' AS kind FROM edges UNION ALL SELECT dst, src, w, 'distrust' FROM edges),
-shares AS (SELECT a, b, kind, w / sum(w) OVER (PARTITION BY a, kind) AS share FROM moves
-           UNION ALL SELECT host, host, kind, 1.0 FROM seed WHERE NOT EXISTS (SELECT 1 FROM moves WHERE a = host AND moves.kind = seed.kind)),
-r0 AS (SELECT host, kind, seed, seed AS s FROM seed){steps},
-bad AS (SELECT t.host FROM r{urlgraph.ROUNDS} t JOIN r{urlgraph.ROUNDS} x ON t.host = x.host AND t.kind = 'trust' AND x.kind = 'distrust' WHERE round(x.s, 9) >= {urlgraph.DISTRUST} AND round(x.s, 9) > round(t.s, 9))
+edges AS (SELECT src, dst, sum(w)::DOUBLE AS w FROM (SELECT src, dst, 1 AS w FROM links UNION ALL SELECT h, q, 1 FROM fam UNION ALL SELECT q, h, 1 FROM fam) GROUP BY ALL),
+own AS (SELECT host, {counts} FROM p WHERE host <> '' GROUP BY host),
+known AS (SELECT * FROM own UNION ALL SELECT dst, {counts} FROM links WHERE dst NOT IN (SELECT host FROM own) GROUP BY dst),
+hosts AS (SELECT coalesce(known.host, e.host) AS host, coalesce(allowed / n, 0) AS trust, coalesce(blocked / n, 0) AS distrust FROM known FULL JOIN (SELECT src AS host FROM edges UNION SELECT dst FROM edges) e ON e.host = known.host),
+seed AS MATERIALIZED (SELECT host, 'trust' AS kind, trust AS seed, 1 - trust - distrust AS open FROM hosts UNION ALL SELECT host, 'distrust', distrust, 1 - trust - distrust FROM hosts),
+takes AS (SELECT src AS a, dst AS b, w, 'distrust' AS kind FROM edges UNION ALL SELECT dst, src, w, 'trust' FROM edges),
+shares AS MATERIALIZED (SELECT a, b, kind, w / sum(w) OVER (PARTITION BY a, kind) AS share FROM takes),
+r0 AS (SELECT host, kind, seed AS s FROM seed){steps},
+bad AS (SELECT t.host FROM r{SETTLED} t JOIN r{SETTLED} x ON t.host = x.host AND t.kind = 'trust' AND x.kind = 'distrust' WHERE round(x.s, 9) >= {urlgraph.DISTRUST} AND round(x.s, 9) > round(t.s, 9))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({allow}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM p"""
 
 

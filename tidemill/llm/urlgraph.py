@@ -3,7 +3,9 @@
 A host that rules decide has its share of allowed pages as trust and of blocked pages as distrust; a host
 that is only linked to has the shares of the links to it, by the rules for their targets. As far as rules
 leave a host open, its distrust is DAMPING of the mean distrust of the hosts it links to (who links to bad
-hosts is not trusted either) and its trust DAMPING of the mean trust of the hosts that link to it. Hosts
+hosts is not trusted either) and its trust DAMPING of the mean trust of the hosts that link to it. So distrust is what a
+surfer who starts at the host, follows links and gives up with 1 - DAMPING at each step finds of blocked hosts: the host's own
+personalised PageRank, ended at and summed over the blocked seeds; trust is the same against the links, for trusted seeds. Hosts
 link where a page has an absolute link to another host, and, in both directions, where one is the parent
 domain of the other. Means do not depend on how many other hosts link to the same one, so scores do not
 shrink as the graph grows. Everything is joins and sums of DataFrames, repeated until scores stay.
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut
+from tidemill.llm.common import cut, join_groups
 
 HREF = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//"""
 #: Absolute or protocol-relative link targets; the group is the host, of TARGET host and the rest.
@@ -55,9 +57,9 @@ def ruling(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, C
     return F.coalesce(allowed, F.lit(False)), F.coalesce(~allowed, F.lit(False))
 
 
-def edges(pages: DataFrame, host: str, html: str, rules: dict[str, str]) -> DataFrame:
+def edges(pages: DataFrame, host: str, html: str, rules: dict[str, str], names: DataFrame | None = None) -> DataFrame:
     """(src, dst, w, n, allowed, blocked): links between different hosts, with the number of pages' links and of those
-    to targets that rules allow or block, and parent domains, which add to w only."""
+    to targets that rules allow or block, and parent domains, which add to w only. names(h): the pages' hosts, if known."""
     found = (
         pages.where(F.col(html).contains("//") & (F.col(host) != ""))
         .select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(html, F.lit(TARGET), F.lit(1))).alias("to"))
@@ -65,7 +67,7 @@ def edges(pages: DataFrame, host: str, html: str, rules: dict[str, str]) -> Data
     )
     allowed, blocked = ruling(F.col("dst"), F.col("path"), rules)
     links = found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_if(allowed).alias("allowed"), F.count_if(blocked).alias("blocked"))
-    names = pages.where(F.col(host) != "").select(F.col(host).alias("h")).distinct()
+    names = pages.where(F.col(host) != "").select(F.col(host).alias("h")).distinct() if names is None else names
     up = names.select("h", F.regexp_replace("h", r"^[^.]*\.", "").alias("p")).where("p != h")
     family = up.join(names.select(F.col("h").alias("p")), "p", "left_semi")
     both = family.select(F.col("h").alias("src"), F.col("p").alias("dst")).union(family.select("p", "h"))
@@ -107,13 +109,19 @@ def judge(pages: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_
     allow. Null URLs and those without :// have no host; they are allowed. Null pages have no links.
     """
     host, path = parts(F.col(url_col))
-    named = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("_html"))
-    ruled = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    named = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
+    # one pass over the URLs, and one over the pages for links; what follows reads these small tables
+    ruled = cut(named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)), "ruled")
     allow = [r for r, v in rules.items() if v == "allow"]
     allowed, blocked = ruling(F.col("host"), F.col("path"), rules)
     counted = ruled.where("host != ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(allowed).alias("allowed"), F.count_if(blocked).alias("blocked"))
-    scores = host_scores(cut(counted, "hosts"), cut(edges(named, "host", "_html", rules), "links"))
-    bad = cut(scores.where((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("_bad")), "bad")
-    out = ruled.drop("_html").join(bad, "host", "left")
+    counted = cut(counted, "hosts")
+    links = edges(pages.select(host.alias("host"), F.col(html_col).alias("_html")), "host", "_html", rules, counted.select(F.col("host").alias("h")))
+    scores = host_scores(counted, cut(links, "links"))
+    bad = scores.where((F.col("distrust") >= DISTRUST) & (F.col("distrust") > F.col("trust"))).select("host", F.lit(True).alias("_bad"))
+    # hosts with their pages' counts, so that one with a third of all pages is dealt in parts; rows without a host need none
+    judged = cut(counted.join(bad, "host", "left").select("host", "n", "_bad"), "judged")
+    some = join_groups(ruled.where("host != ''"), judged, "host", "_id", ruled.count()).drop("n")
+    out = some.unionByName(ruled.where("host = ''").withColumn("_bad", F.lit(None).cast("boolean")))
     by_rule = F.when(F.col("rule").isin(allow), "allow").when(F.col("rule").isNotNull(), "block")
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("_bad"), "block"), F.lit("allow")).alias("verdict"))
