@@ -125,10 +125,11 @@ def test_long_query_tables_go_block_by_block(spark, monkeypatch):
     texts = [(i, " ".join(rng.choice(words, 12))) for i in range(50)]
     asked = [(i, " ".join(rng.choice(words, 3))) for i in range(40)]
     t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
-    postings = index.postings(t.withColumnRenamed("id", "doc_id"))
+    postings = index.postings(t.withColumnRenamed("id", "doc_id"), lengths=True)
     run = lambda: [sorted(map(tuple, df.collect())) for df in (retrieve.semantic(v.withColumnRenamed("id", "query_id"), v, 5, 0.1), retrieve.keyword(q, t, 4), retrieve.bm25(q, postings, 4))]
     whole = run()
     monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 9)
+    monkeypatch.setattr(retrieve, "TEXTS_AT_ONCE", 9)
     assert run() == whole and all(whole)
     s = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)
     want = {(i, int(j)) for i in range(60) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.1}
@@ -310,3 +311,31 @@ def test_events_sent_again_count_once(spark):
         spark.createDataFrame(rows[: 5 - k], "id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{path}/w={k}")
     feeds.drain(feeds.once(feeds.folder_stream(spark, f"{path}/*", "id long, ts timestamp_ntz", 1), ["id"], "ts", "1 hour"), path=out)
     assert sorted(map(tuple, spark.read.schema("id long, ts timestamp_ntz").parquet(out).collect())) == rows
+
+
+def test_postings_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a a c; a"), (2, "xx yy xx"), (3, ""), (4, None), (2, "xx")], "doc_id long, text string")
+    got = index.postings(docs, lengths=True)
+    assert sorted(map(tuple, got.collect())) == [("xx", 2, 1, 1, True), ("xx", 2, 2, 3, True), ("yy", 2, 1, 3, False)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_are_checked(spark):
+    rows = [(1, "semantic", 10, 0.0, 0.7), (2, "other", 0, 0.0, 0.7), (3, "keyword", 0, 0.0, 0.7), (4, "hybrid", 101, 2.0, 0.7), (5, "hybrid", 100, 1.5, 3.0), (6, "hybrid", 1, 1.0, -0.1), (7, None, 1, 0.0, 0.0), (8, "hybrid", None, 0.0, 0.0)]
+    got = {r["query_id"]: r["error"] for r in retrieve.checked(spark.createDataFrame(rows, "query_id long, method string, limit int, threshold double, alpha double")).collect()}
+    limit = "limit is not from 1 to 100"
+    assert got == {1: None, 2: "unknown method", 3: limit, 4: limit, 5: "threshold is not from 0 to 1", 6: "alpha is not from 0 to 1", 7: "unknown method", 8: limit}
+
+
+def test_terms_are_found_within_words_of_any_length(spark):
+    find = retrieve.Finder(["ab", "b", "long", "é"])
+    assert set(find("xaby longé")) == {0, 1, 2, 3} and set(find("")) == set() and set(find("a b")) == {1}
+    assert set(find("x" * 1_000_000 + "long")) == {2} and not find.known.keys() & {b"x" * 1_000_000 + b"long"}
+
+
+def test_searches_have_no_nested_loops_over_data(spark):
+    from tidemill import registry
+
+    for name in ("semantic_search", "keyword_search", "hybrid_search", "rerank"):
+        text = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text, name

@@ -100,8 +100,16 @@ def points(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("id", F.sha2(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")), 256))
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, doc_id, tf): lower-cased word tokens of 2 to 15 characters. Counted within each row, so nothing is shuffled."""
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15))
-    runs = docs.select("doc_id", F.explode(tokens).alias("token"))
-    return runs.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, text: str = "text", lengths: bool = False) -> DataFrame:
+    """(token, doc_id, tf): lower-cased word tokens of 2 to 15 characters. Counted within each row, so nothing is shuffled.
+
+    With lengths also dl, the tokens of the row, and first, which holds for one posting of each row. Rows that share an id have
+    postings each. Texts without a token, and null ones, have none.
+    """
+    tokens = F.array_sort(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))
+    one = docs.select("doc_id", tokens.alias("_t")).where("size(_t) > 0")
+    # equal tokens stand together: each run from its start to that of the next
+    two = one.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", F.greatest(i - 1, F.lit(0))))))
+    runs = F.transform("_at", lambda i, j: F.struct(F.get("_t", i).alias("token"), (F.coalesce(F.get("_at", j + 1), F.size("_t")) - i).cast("long").alias("tf"), (i == 0).alias("first")))
+    out = two.select("doc_id", F.size("_t").cast("long").alias("dl"), F.inline(runs))
+    return out.select("token", "doc_id", "tf", *(["dl", "first"] if lengths else []))

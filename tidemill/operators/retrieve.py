@@ -1,12 +1,18 @@
-"""Batch retrieval: a table of queries against a table of chunks or vectors."""
+"""Batch retrieval: a table of queries against a table of chunks or vectors.
+
+Queries are taken in blocks of bounded size, which are sent to every task; a task goes over its rows once and only keeps the k best
+rows of each query, so neither pairs of queries and rows nor all scores of a query ever meet anywhere.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,90 +20,191 @@ from pyspark.sql.window import Window
 from tidemill.storage import cut
 
 #: Rows of a queries table, about, that are sent to every task at once; longer tables go block by block.
-QUERIES_AT_ONCE = 10_000
-#: Different words of texts that a task remembers at most.
-REMEMBERED = 200_000
+QUERIES_AT_ONCE = 4096
+#: Queries by words whose word counts are sent to every task at once.
+TEXTS_AT_ONCE = 512
+#: Different words of texts that a task remembers at most, and the length up to which it does.
+REMEMBERED, LONGEST = 200_000, 60
+#: Bounds of a search request.
+METHODS, MOST_HITS = ("semantic", "keyword", "hybrid"), 100
 
 
-def by_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def by_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], at_once: int | None = None) -> DataFrame:
     """answer(queries), whose argument is small enough to be sent to every task.
 
-    More than QUERIES_AT_ONCE rows are dealt into blocks by query_id and answered one after another; rows of a
+    More than at_once rows are dealt into blocks by query_id and answered one after another; rows of a
     query stay together, so each block's answers are whole.
     """
-    blocks = -(-queries.count() // QUERIES_AT_ONCE)
+    blocks = -(-queries.count() // (at_once or QUERIES_AT_ONCE))
     if blocks <= 1:
         return answer(queries)
     dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
     return reduce(DataFrame.unionByName, [cut(answer(dealt.where(F.col("_block") == i).drop("_block")), "answers") for i in range(blocks)])
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
 def top(df: DataFrame, key: str, k: Column | int, score: str = "score", tie: str = "id") -> DataFrame:
     """The k best rows of each key, ties by id, with their rank. Each task keeps its own k best before the shuffle."""
     w = Window.partitionBy(key).orderBy(F.desc(score), F.col(tie))
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best (score, id) of each of n queries so far; ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, least: float) -> None:
+        """scores: a row for each id, a column for each query; those below least do not count."""
+        if len(ids) > self.k:
+            kth = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
+            least = np.maximum(least, np.where(np.isnan(kth), -np.inf, kth))
+        row, q = np.nonzero(scores >= least)
+        q, at, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids[row]]), np.concatenate([self.score, scores[row, q]])
+        order = np.lexsort((at, -score, q))
+        q, at, score = q[order], at[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.q, self.id, self.score = (x[place < self.k] for x in (q, at, score))
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names[self.q], pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score, pa.float64())], ["query_id", "id", "score"])
+
+
+def _scan(rows: DataFrame, names: np.ndarray, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], least: float) -> DataFrame:
+    """The k best of each query over all rows: each task's best first, then those of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(names), k)
+        for batch in batches:
+            for ids, scores in score(batch):
+                best.add(ids, scores, least)
+        yield best.batch(names)
+
+    return top(rows.mapInArrow(run, "query_id long, id long, score double"), "query_id", k)
+
+
 def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """(query_id, id, score, rank): cosine of queries(query_id, vector) and vectors(id, vector), at least threshold."""
-    q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"))
-    v = vectors.select("id", "vector", norm(F.col("vector")).alias("_nv"))
-    score = F.round(F.try_divide(dot(F.col("_q"), F.col("vector")), F.col("_nq") * F.col("_nv")), 6)
-    return by_blocks(q, lambda block: top(v.join(F.broadcast(block)).select("query_id", "id", score.alias("score")).where(F.col("score") >= threshold), "query_id", k))
-
-
-def finder(terms: list[str]):
-    """A function of a text column: for each term, whether it is in the text. A term has no white space, so it lies
-    within a word; what a word has is remembered."""
-    places = {t.encode(): i for i, t in enumerate(terms)}
-    sizes = sorted({len(t) for t in places})
-
-    def within(word: bytes) -> list[int]:
-        parts = {word[i : i + n] for n in sizes for i in range(len(word) - n + 1)}
-        return [places[x] for x in parts.intersection(places)]
-
-    @F.pandas_udf("array<boolean>")
-    def has(texts: pd.Series) -> pd.Series:
-        known: dict[bytes, list[int]] = {}
-        out = []
-        for text in texts:
-            row = np.zeros(len(places), bool)
-            for word in set((text or "").encode().split()):  # at ASCII white space, as the terms are
-                if (at := known.get(word)) is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    at = known[word] = within(word)
-                row[at] = True
-            out.append(row)
-        return pd.Series(out)
-
-    return has
+    """(query_id, id, score, rank): cosine of queries(query_id, vector) and vectors(id, vector), at least threshold.
+
+    Rows without a vector, and vectors of length 0, are like nothing.
+    """
+    q = queries.where("vector is not null").select(F.col("query_id").cast("long"), "vector")
+    v = vectors.where("vector is not null").select(F.col("id").cast("long"), "vector")
+
+    def unit(x: list) -> np.ndarray:
+        x = np.array(x, float)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n == 0, np.nan, n)
+
+    def answer(block: DataFrame) -> DataFrame:
+        asked = block.collect()  # at most about QUERIES_AT_ONCE rows
+        if not asked:
+            return top(v.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")), "query_id", k)
+        names, matrix = np.array([r["query_id"] for r in asked]), unit([r["vector"] for r in asked])
+        sent = v.sparkSession.sparkContext.broadcast(matrix)
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            size = max(1, 4_000_000 // len(names))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield part.column(0).to_numpy(), np.round(unit(part.column(1).to_pylist()) @ sent.value.T, 6)
+
+        return _scan(v, names, k, score, threshold)
+
+    return by_blocks(q, answer)
+
+
+class Finder:
+    """Which of the terms are in a text. A term has no white space, so it lies within a word; what a word has is remembered."""
+
+    def __init__(self, terms: list[str]):
+        self.automaton = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            self.automaton.add_word(t, i)
+        self.automaton.make_automaton()
+        self.known: dict[bytes, list[int]] = {}
+
+    def within(self, word: bytes) -> list[int]:
+        return sorted({i for _, i in self.automaton.iter(word.decode())})
+
+    def __call__(self, text: str) -> np.ndarray:
+        found: set[int] = set()
+        for word in set(text.encode().split()):  # at ASCII white space, as the terms are
+            if (at := self.known.get(word)) is None:
+                at = self.within(word)
+                if len(word) <= LONGEST:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[word] = at
+            found.update(at)
+        return np.fromiter(found, np.int64, len(found))
 
 
 def keyword(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the share of a query's words (repeats count) that occur in the text, as parts of words too.
 
-    Each text is searched once for the words of all queries of a block; a query then looks its own up by their places.
+    Each text is searched once for the words of all queries of a block. Queries without a word have no hits, null texts neither.
     """
-    q = queries.select("query_id", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "").alias("_terms")).where("size(_terms) > 0")
+    q = queries.select(F.col("query_id").cast("long"), F.filter(F.split(F.lower("query"), r"\s+"), lambda x: x != "").alias("_terms")).where("size(_terms) > 0")
+    rows = texts.where("text is not null").select(F.col("id").cast("long"), F.lower("text").alias("text"))
 
     def answer(block: DataFrame) -> DataFrame:
-        every = block.select(F.explode("_terms").alias("t")).agg(F.sort_array(F.collect_set("t")).alias("_all"))
-        terms = every.first()["_all"]  # bounded as the block is
-        asked = block.join(F.broadcast(every)).select("query_id", F.transform("_terms", lambda t: F.array_position("_all", t).cast("int") - 1).alias("_at"))
-        found = texts.select("id", finder(terms)(F.lower("text")).alias("_has"))
-        score = F.round(F.size(F.filter("_at", lambda i: F.get("_has", i))) / F.size("_at"), 6)
-        return top(found.join(F.broadcast(asked)).select("query_id", "id", score.alias("score")).where("score > 0"), "query_id", k)
+        asked = block.collect()  # at most about TEXTS_AT_ONCE rows
+        terms = sorted({t for r in asked for t in r["_terms"]})
+        place = {t: i for i, t in enumerate(terms)}
+        names, counts = np.array([r["query_id"] for r in asked], np.int64), np.zeros((len(terms), len(asked)), np.float32)
+        for j, r in enumerate(asked):
+            np.add.at(counts[:, j], [place[t] for t in r["_terms"]], 1)
+        sent = rows.sparkSession.sparkContext.broadcast((terms, counts, counts.sum(0).astype(float)))
+        finders: list[Finder] = []  # one a task
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            words, of, total = sent.value
+            if not finders:
+                finders.append(Finder(words))
+            size = max(1, 1_000_000 // len(names))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                hits = np.stack([of[finders[0](t.as_py())].sum(0, dtype=float) for t in part.column(1)])
+                yield part.column(0).to_numpy(), np.round(hits / total, 6)
+
+        return _scan(rows, names, k, score, np.nextafter(0, 1))
+
+    return by_blocks(q, answer, TEXTS_AT_ONCE)
+
+
+def checked(requests: DataFrame) -> DataFrame:
+    """Adds error: what is wrong with a search request (method, limit, threshold, alpha), else null; the first fault counts.
+
+    A limit is from 1 to MOST_HITS, threshold and alpha are from 0 to 1; null is no valid value.
+    """
+    within = lambda c, low, high: F.coalesce(F.col(c).between(low, high), F.lit(False))
+    return requests.withColumn(
+        "error",
+        F.when(~F.coalesce(F.col("method").isin(*METHODS), F.lit(False)), "unknown method").when(~within("limit", 1, MOST_HITS), f"limit is not from 1 to {MOST_HITS}")
+        .when(~within("threshold", 0, 1), "threshold is not from 0 to 1").when(~within("alpha", 0, 1), "alpha is not from 0 to 1"),
+    )
 
-    return by_blocks(q, answer)
+
+def search(requests: DataFrame, vectors: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, method, id, score, rank, error): each of requests(query_id, vector, query, method, limit, threshold, alpha) by its own method.
+
+    A request with a fault is one row with its error; one without hits is one row without id. Hybrid search blends the MOST_HITS best of
+    either side. The threshold holds for the final score.
+    """
+    asked = cut(checked(requests), "requests")
+    good = asked.where("error is null")
+    of = lambda *names: good.where(F.col("method").isin(*names))
+    s = cut(semantic(of("semantic", "hybrid"), vectors, MOST_HITS), "semantic")
+    w = cut(keyword(of("keyword", "hybrid"), texts, MOST_HITS), "keyword")
+    mode = good.select("query_id", "method", "alpha")
+    parts = s.select("query_id", "id", "score", F.lit("semantic").alias("_side")).unionByName(w.select("query_id", "id", "score", F.lit("keyword").alias("_side")))
+    share = F.when(F.col("method") != "hybrid", 1.0).when(F.col("_side") == "semantic", F.col("alpha")).otherwise(1 - F.col("alpha"))
+    blended = parts.join(mode, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(F.col("score") * share), 9).alias("score"))
+    limits = good.select("query_id", "limit", "threshold")
+    hits = top(blended.join(limits, "query_id").where("score >= threshold"), "query_id", F.col("limit")).select("query_id", "id", "score", "rank")
+    return asked.select("query_id", "method", "error").join(hits, "query_id", "left").select("query_id", "method", "id", "score", "rank", "error")
 
 
 def hybrid(semantic_hits: DataFrame, keyword_hits: DataFrame, k: int, alpha: float = 0.7) -> DataFrame:
@@ -115,20 +222,24 @@ def rerank(hits: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over postings(token, doc_id, tf). Only postings of query words are joined."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))).alias("token"))
-    lengths = cut(postings.groupBy("doc_id").agg(F.sum("tf").alias("dl")), "lengths")
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
+    """(query_id, id, score, rank) by BM25 over postings(token, doc_id, tf, dl), dl the tokens of the document.
+
+    Only postings of query words move, once for the sum by query and document; number and mean length of documents come from
+    the first posting of each.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))).alias("token"))
+    totals = postings.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
 
     def answer(terms: DataFrame) -> DataFrame:
-        hit = postings.join(F.broadcast(terms), "token")
-        df = postings.join(F.broadcast(terms.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        scored = hit.join(F.broadcast(df), "token").join(lengths, "doc_id").join(F.broadcast(totals)).groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 5).alias("score"))
+        words = F.broadcast(terms.select("token").distinct())
+        df = postings.join(words, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        known = terms.join(df, "token").join(F.broadcast(totals))  # as many rows as terms
+        scored = postings.join(F.broadcast(known), "token").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 5).alias("score"))
         return top(scored, "query_id", k)
 
-    return by_blocks(asked, answer)
+    return by_blocks(asked, answer, 16 * QUERIES_AT_ONCE)
 
 
 def planes(dims: int, tables: int, bits: int, seed: int = 3) -> list[list[list[float]]]:

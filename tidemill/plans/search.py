@@ -63,11 +63,11 @@ def inverted_index(spark, sf_dir):
 
 
 def _questions(spark, sf_dir) -> DataFrame:
-    """The first words of the benchmark's items, as queries."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    """The benchmark's items, whole, as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
 
 
-_Q = "q AS (SELECT item_id::BIGINT AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark)"
+_Q = "q AS (SELECT item_id::BIGINT AS query_id, text AS query FROM benchmark)"
 _V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vector FROM embeddings), qv AS (SELECT id AS query_id, vector FROM v WHERE id % 50 = 0)"
 _COS = "round(list_cosine_similarity(qv.vector, v.vector), 6)"
 
@@ -107,7 +107,7 @@ def _hybrid(spark, sf_dir) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
     item = q.join(F.broadcast(n)).select("query_id", (F.col("query_id") % F.col("_n")).alias("item"))
-    asked = _questions(spark, sf_dir).withColumnRenamed("query_id", "item").join(F.broadcast(item), "item").select("query_id", "query")
+    asked = _questions(spark, sf_dir).withColumnRenamed("query_id", "item").join(item, "item").select("query_id", "query")
     return retrieve.hybrid(retrieve.semantic(q, v, 20), retrieve.keyword(asked, texts, 10), 10), texts
 
 
@@ -142,25 +142,28 @@ t AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS token FROM
 s AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 5) AS score FROM t JOIN p USING (token) JOIN df USING (token) JOIN l USING (doc_id), n GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 10""")
 def text_search_bm25(spark, sf_dir):
-    return retrieve.bm25(_questions(spark, sf_dir), cut(index.postings(table(spark, sf_dir, "documents")), "postings"), 10)
+    return retrieve.bm25(_questions(spark, sf_dir), cut(index.postings(table(spark, sf_dir, "documents"), lengths=True), "postings"), 10)
 
 
-@query(f"""WITH {_HY}, m AS (SELECT query_id, CASE query_id // 50 % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' ELSE 'other' END AS method FROM qv)
-SELECT m.query_id, method, x.id, x.score, CASE WHEN method = 'other' THEN 'unknown method' END AS error FROM m LEFT JOIN (
- SELECT 'semantic' AS k, query_id, id, score FROM sr WHERE rank <= 10 UNION ALL SELECT 'keyword', query_id, id, score FROM kq UNION ALL SELECT 'hybrid', query_id, id, score FROM hr) x ON x.query_id = m.query_id AND k = method""")
+_REQUESTS = """rq AS (SELECT query_id, item, CASE query_id // 50 % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' ELSE 'other' END AS method, query_id // 50 % 13 * 9 AS lim, query_id // 50 % 7 / 10.0 AS threshold, query_id // 50 % 11 / 8.0 AS alpha FROM pairs),
+rc AS (SELECT *, CASE WHEN method = 'other' THEN 'unknown method' WHEN lim NOT BETWEEN 1 AND 100 THEN 'limit is not from 1 to 100' WHEN threshold > 1 THEN 'threshold is not from 0 to 1' WHEN alpha > 1 THEN 'alpha is not from 0 to 1' END AS error FROM rq)"""
+
+
+@query(f"""WITH {_Q}, {_V}, {_KW}, pairs AS (SELECT query_id, query_id % (SELECT count(*) FROM benchmark) AS item FROM qv), {_REQUESTS},
+sr AS (SELECT * FROM (SELECT query_id, id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, id) AS rank FROM v, qv WHERE {_COS} >= 0) WHERE rank <= 100),
+sides AS (SELECT query_id, id, score, 'semantic' AS side FROM sr UNION ALL SELECT pairs.query_id, id, score, 'keyword' FROM kr JOIN pairs ON kr.query_id = item WHERE rank <= 100),
+bl AS (SELECT rc.query_id, id, lim, threshold, round(sum(score * CASE WHEN method <> 'hybrid' THEN 1.0::DOUBLE WHEN side = 'semantic' THEN alpha::DOUBLE ELSE 1 - alpha::DOUBLE END), 9) AS score FROM sides JOIN rc ON rc.query_id = sides.query_id AND error IS NULL AND (method = 'hybrid' OR side = method) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bl WHERE score >= threshold)
+SELECT rc.query_id, method, rk.id, rk.score, rk.rank, error FROM rc LEFT JOIN rk ON rk.query_id = rc.query_id AND rank <= rk.lim""")
 def search_batch(spark, sf_dir):
-    """Each query by its own method; a query of an unknown method becomes an error row."""
+    """Each query by its own method, limit, threshold and weight; a request with a fault becomes an error row."""
     v, q = _vectors(spark, sf_dir)
-    turn = F.floor(F.col("query_id") / 50) % 4
-    m = q.select("query_id", F.when(turn == 0, "semantic").when(turn == 1, "keyword").when(turn == 2, "hybrid").otherwise("other").alias("method"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
-    item = q.join(F.broadcast(n)).select("query_id", (F.col("query_id") % F.col("_n")).alias("item"))
-    asked = _questions(spark, sf_dir).withColumnRenamed("query_id", "item").join(F.broadcast(item), "item").select("query_id", "query")
-    of = lambda df, *names: df.join(F.broadcast(m.where(F.col("method").isin(*names)).select("query_id")), "query_id", "left_semi")
-    s, k = cut(retrieve.semantic(of(q, "semantic", "hybrid"), v, 20), "semantic"), cut(retrieve.keyword(of(asked, "keyword", "hybrid"), texts, 10), "keyword")
-    hits = of(s.where("rank <= 10"), "semantic").unionByName(of(k, "keyword")).unionByName(retrieve.hybrid(of(s, "hybrid"), of(k, "hybrid"), 10)).drop("rank")
-    return m.join(hits, "query_id", "left").withColumn("error", F.when(F.col("method") == "other", "unknown method"))
+    item = q.join(F.broadcast(n)).select("query_id", "vector", (F.col("query_id") % F.col("_n")).alias("item"))
+    k = F.floor(F.col("query_id") / 50)
+    method = F.when(k % 4 == 0, "semantic").when(k % 4 == 1, "keyword").when(k % 4 == 2, "hybrid").otherwise("other")
+    asked = item.join(_questions(spark, sf_dir).withColumnRenamed("query_id", "item"), "item").select("query_id", "vector", "query", method.alias("method"), (k % 13 * 9).alias("limit"), (k % 7 / 10.0).alias("threshold"), (k % 11 / 8.0).alias("alpha"))
+    return retrieve.search(asked, v, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _LON, _LAT = "(-180 + (({0} * 37) % 360))::DOUBLE", "(-60 + (({0} * 17) % 120))::DOUBLE"
