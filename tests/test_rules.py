@@ -82,7 +82,7 @@ def test_changes_in_order(spark):
     assert {r["k"]: r["v"] for r in up.collect()} == {1: "z", 2: "b", 3: None, 9: "q"}
     assert {r["k"]: r["v"] for r in changes.upsert(up, inc, "k", "seq").collect()} == {r["k"]: r["v"] for r in up.collect()}
     assert changes.delete_many(t, F.col("v") == "a").count() == 2
-    assert tuple(changes.update_counts(t, F.col("k") <= 2, {"v": F.lit("a")}).first()) == (2, 1)
+    assert tuple(changes.update_counts(t, F.col("k") <= 2, {"v": F.lit("a")}).first()) == (2, 1, 0)
 
 
 def test_chunks(spark):
@@ -339,3 +339,117 @@ def test_searches_have_no_nested_loops_over_data(spark):
     for name in ("semantic_search", "keyword_search", "hybrid_search", "rerank"):
         text = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_computed_values(spark):
+    df = spark.sql("select 1 as k, 2.0D as a, 3.0D as b, cast(null as double) as n, timestamp_ntz'2024-03-05 06:07:08' as t, 'x' as s")
+    value = lambda e: df.select(documents.expression(e).alias("v")).first()["v"]
+    assert value({"$multiply": ["$a", "$b", 2]}) == 12 and value({"$add": ["$a", "$n"]}) is None and value({"$ifNull": ["$n", 7.0]}) == 7
+    assert value({"$dateToString": {"format": "%Y-%m-%dT%H:%M o'clock 100%%", "date": "$t"}}) == "2024-03-05T06:07 o'clock 100%"
+    assert value({"$cond": {"if": {"$gt": ["$a", "$b"]}, "then": "$a", "else": {"$subtract": ["$b", "$a"]}}}) == 1
+    assert value({"$concat": ["$s", "-", {"$toUpper": "$s"}]}) == "x-X" and value({"$literal": "$s"}) == "$s"
+    assert value({"p": "$a", "q": {"$eq": ["$n", None]}}).asDict() == {"p": 2.0, "q": True}
+    for bad in ({"$max": {"$nope": "$a"}}, {"$add": ["$a"], "$abs": "$a"}, {"$dateToString": {"format": "%q", "date": "$t"}}):
+        with pytest.raises(ValueError):
+            documents.expression(bad)
+    got = documents.pipeline(df, [{"$group": {"_id": None, "m": {"$max": {"$multiply": ["$a", "$b"]}}}}, {"$project": {"m": 1, "t": {"$add": ["$m", 1]}}}]).first()
+    assert (got["m"], got["t"]) == (6.0, 7.0)
+    with pytest.raises(ValueError):
+        documents.pipeline(df, [{"$group": {"_id": None, "m": {"$median": "$a"}}}])
+    assert documents.find(df, {"s": {"$not": {"$regex": "^y"}}}).count() == 1
+
+
+def test_many_changes_of_a_key_are_folded_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(changes, "SEQ_RANGE", 3)
+    rng = np.random.default_rng(11)
+    start = {k: f"s{k}" for k in range(6)}
+    ops = [(int(rng.integers(0, 12)) if n % 3 else 0, n, str(rng.choice(["insert", "update", "delete", "upsert", "none"])), f"v{n}") for n in range(200)]
+    now, n = dict(start), dict.fromkeys(changes.KINDS, 0)
+    for k, _, op, v in ops:
+        if op == "upsert" or (op == "insert" and k not in now) or (op == "update" and k in now):
+            now[k] = v
+        elif op == "delete" and k in now:
+            del now[k]
+        else:
+            continue
+        n[op] += 1
+    t, c = spark.createDataFrame(list(start.items()), "k int, v string"), spark.createDataFrame(ops, "k int, seq int, op string, v string")
+    assert {r["k"]: r["v"] for r in changes.apply_changes(t, c, "k").collect()} == now
+    assert changes.change_counts(t, c, "k").first().asDict() == {"inserted": n["insert"], "updated": n["update"], "deleted": n["delete"], "upserted": n["upsert"]}
+    assert changes.apply_changes(t, c.limit(0), "k").count() == 6 and changes.change_counts(t, c.limit(0), "k").first()["deleted"] == 0
+
+
+def test_update_that_matches_nothing_adds_a_row(spark):
+    t = spark.createDataFrame([(1, "a")], "k int, v string")
+    add = lambda k: sorted(map(tuple, changes.update_many(t, F.col("k") == k, {"v": F.lit("z")}, {"k": k, "v": "new"}).collect()))
+    assert add(1) == [(1, "z")] and add(2) == [(1, "a"), (2, "new")]
+    assert tuple(changes.delete_counts(t, F.col("k") > 0).first()) == (1, 0)
+
+
+def test_names_are_unique(spark):
+    rng = np.random.default_rng(3)
+    names = [str(rng.choice(["a.txt", "a_1.txt", "a_2.txt", "a_1_1.txt", "b", "b_1", "c.tar.gz", "a_0.txt", "_.x"])) for _ in range(120)]
+    got = [r["unique"] for r in changes.unique_names(spark.createDataFrame(list(enumerate(names)), "n long, name string"), "name", "n", spread=16).orderBy("n").collect()]
+    taken, want = set(names), []
+    seen = set()
+    for x in names:
+        if x in seen:
+            stem, dot, ext = x.rpartition(".")
+            stem, ext = (stem, dot + ext) if dot else (x, "")
+            k = 1
+            while f"{stem}_{k}{ext}" in taken:
+                k += 1
+            x = f"{stem}_{k}{ext}"
+            taken.add(x)
+        seen.add(x)
+        want.append(x)
+    assert got == want and len(set(got)) == len(got)
+
+
+def test_json_paths(spark):
+    df = spark.createDataFrame([('{"a": {"b": true, "c d": "x"}, "l": ["p", "q"]}',), ("broken",), (None,)], "j string")
+    hits = lambda c: [r["v"] for r in df.select(c.alias("v")).collect()]
+    assert hits(documents.json_equals("j", "$.a.b", True))[0] is True and hits(documents.json_equals("j", "a.c d", "x"))[0] is True
+    assert hits(documents.json_equals("j", "a.none", None)) == [True, True, True] and not hits(documents.json_equals("j", "$.a.b", "True"))[0]
+    assert hits(documents.json_has("j", "$.l", "q")) == [True, False, False] and hits(documents.json_has("j", "$", "l")) == [True, False, False] and not hits(documents.json_has("j", "$.a", "l"))[0]
+
+
+def test_values_are_bound(spark):
+    from tidemill.sources import statements
+
+    df = {"_t": spark.createDataFrame([(1, "it's"), (2, ":a $1 ?")], "k int, v string")}
+    run = lambda q, values: [tuple(r) for r in statements.run(spark, q, df, values).collect()]
+    assert run("select k from _t where v = :v", {"v": "it's"}) == run("select k from _t where v = %(v)s", {"v": "it's"}) == run("select k from _t where v = ?", ["it's"]) == [(1,)]
+    assert run("select k, ':a $1 ?' = v from _t where k = $2 and k > $1 -- $3", [1, 2]) == [(2, True)]
+
+
+def test_exports(spark):
+    df = spark.createDataFrame([(1, "tab\there", 1.5), (2, "line\nend \\t \\\\n \\", None), (None, None, 0.25), (3, "", 2.0)], "k int, s string, d double")
+    for form in ("text", "binary"):
+        path = work_folder(spark, "export")
+        files.export(df, path, form)
+        assert sorted(map(repr, files.exported(spark, path, form, df.schema).collect())) == sorted(map(repr, df.collect()))
+    with pytest.raises(ValueError):
+        files.export(df, work_folder(spark, "export"), "other")
+
+
+def test_compaction_keeps_rows_and_place(spark):
+    path = work_folder(spark, "table")
+    spark.range(1000).withColumn("p", F.col("id") % 2).repartition(8).write.partitionBy("p").parquet(path)
+    files_of = lambda p: spark.read.parquet(f"{path}/p={p}").select("_metadata.file_path").distinct().count()
+    files.compact(spark, path, 1, {"p": "1"})
+    assert (files_of(0) > 1, files_of(1)) == (True, 1) and spark.read.parquet(path).count() == 1000
+    files.compact(spark, path, 1)
+    assert files_of(0) == 1 and sorted(r["id"] for r in spark.read.parquet(path).where("p = 0").collect()) == list(range(0, 1000, 2))
+
+
+def test_metrics_are_registered_and_evaluated(spark):
+    now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    reg = spark.createDataFrame([("old", "SELECT 1 FROM t", "me")], "name string, formula string, created_by string").withColumn("created_at", now)
+    new = spark.createDataFrame([("old", "x", "you", 1), ("n", "first", "a", 1), ("n", "second", "b", 2)], "name string, formula string, created_by string, seq int")
+    got = metrics.register(reg, new, F.expr("timestamp_ntz'2024-02-02 00:00:00'"), "seq")
+    assert got.columns == reg.columns and {(r["name"], r["formula"], r["created_at"].month) for r in got.collect()} == {("old", "SELECT 1 FROM t", 1), ("n", "first", 2)}
+    assert metrics.by_name(got, "n").first()["created_by"] == "a"
+    t = spark.range(10).toDF("x")
+    values = metrics.evaluate({"t": t}, {"sum": "SELECT SUM(x) FROM t", "some": "select count(*) from t where x > 6", "part": "select extract(year from date'2020-01-01') from t limit 1"})
+    assert {r["name"]: r["value"] for r in values.collect()} == {"sum": 45.0, "some": 3.0, "part": 2020.0}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -27,17 +28,23 @@ def upsert(target: DataFrame, incoming: DataFrame, key: str, order: str) -> Data
     return target.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def update_many(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:
-    """Set columns where the condition holds; where it is null nothing changes."""
-    return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()})
+def update_many(df: DataFrame, where: Column, changes: dict[str, Column], otherwise: dict[str, object] | None = None) -> DataFrame:
+    """Set columns where the condition holds; where it is null nothing changes. Where no row matches, `otherwise` is added as a row, if given."""
+    out = df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in changes.items()})
+    if otherwise is None:
+        return out
+    row = df.sparkSession.range(1).select(*[F.lit(otherwise.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
+    matched = df.where(where).limit(1).select(F.lit(True).alias("_matched"))
+    return out.unionByName(row.join(F.broadcast(matched), F.col("_matched"), "left_anti"))
 
 
-def update_counts(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:
-    """(matched, modified) in one pass."""
+def update_counts(df: DataFrame, where: Column, changes: dict[str, Column], upsert: bool = False) -> DataFrame:
+    """(matched, modified, upserted) in one pass."""
     differs = F.lit(False)
     for c, v in changes.items():
         differs = differs | ~F.col(c).eqNullSafe(v)
-    return df.agg(F.count_if(where).alias("matched"), F.count_if(where & differs).alias("modified"))
+    got = df.agg(F.count_if(where).alias("matched"), F.count_if(where & differs).alias("modified"))
+    return got.withColumn("upserted", F.when(F.lit(upsert) & (F.col("matched") == 0), 1).otherwise(0).cast("long"))
 
 
 def delete_many(df: DataFrame, where: Column) -> DataFrame:
@@ -45,24 +52,85 @@ def delete_many(df: DataFrame, where: Column) -> DataFrame:
     return df.where(~F.coalesce(where, F.lit(False)))
 
 
+def delete_counts(df: DataFrame, where: Column) -> DataFrame:
+    """(deleted, left) in one pass."""
+    n = F.count_if(where)
+    return df.agg(n.alias("deleted"), (F.count(F.lit(1)) - n).alias("left"))
+
+
+#: Operations of one key that are folded as one list, by ranges of seq; the lists' results are folded after that.
+SEQ_RANGE = 1000
+KINDS = ("insert", "update", "delete", "upsert")
+
+
+def _folded(target: DataFrame, changes: DataFrame, key: str, seq: str, op: str) -> DataFrame:
+    """(key, _now, _s): each key's row before, and the state after: here, row, and how many operations of each kind took effect.
+
+    A range of operations is folded twice, for a key that is absent before it and for one that is there, so ranges of one key are
+    folded apart from each other and a hot key is many short lists.
+    """
+    cols = [c for c in target.columns if c != key]
+    kind = row_type(target, cols)
+    row = F.struct(*cols)
+    zero = F.lit(0).cast("long")
+    begin = lambda here: F.struct(here.alias("here"), F.lit(True).alias("same"), F.lit(None).cast(kind).alias("row"), *[zero.alias(k) for k in KINDS])
+
+    def step(s: Column, o: Column) -> Column:
+        does = {"insert": (o["op"] == "insert") & ~s["here"], "update": (o["op"] == "update") & s["here"], "delete": (o["op"] == "delete") & s["here"], "upsert": o["op"] == "upsert"}
+        writes = does["insert"] | does["update"] | does["upsert"]
+        return F.struct(
+            ((s["here"] & ~does["delete"]) | writes).alias("here"), (s["same"] & ~writes & ~does["delete"]).alias("same"),
+            F.when(writes, o["row"].cast(kind)).when(~does["delete"], s["row"]).alias("row"), *[(s[k] + does[k].cast("long")).alias(k) for k in KINDS],
+        )
+
+    ranges = changes.where(F.col(op).isin(*KINDS)).groupBy(key, F.floor(F.col(seq) / SEQ_RANGE).alias("_range")).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(op).alias("op"), row.alias("row")))).alias("_ops"))
+    both = ranges.select(key, F.struct("_range", F.aggregate("_ops", begin(F.lit(False)), step).alias("absent"), F.aggregate("_ops", begin(F.lit(True)), step).alias("there")).alias("_f"))
+    lists = both.groupBy(key).agg(F.sort_array(F.collect_list("_f")).alias("_fs"))
+
+    def after(s: Column, f: Column) -> Column:
+        g = F.when(s["here"], f["there"]).otherwise(f["absent"])
+        return F.struct(g["here"].alias("here"), (s["same"] & g["same"]).alias("same"), F.when(g["same"], s["row"]).otherwise(g["row"]).alias("row"), *[(s[k] + g[k]).alias(k) for k in KINDS])
+
+    joined = target.select(key, row.alias("_now")).join(lists, key, "full")
+    state = F.aggregate(F.coalesce("_fs", F.array().cast(lists.schema["_fs"].dataType)), begin(F.col("_now").isNotNull()), after)
+    return joined.select(key, F.col("_now").cast(kind).alias("_now"), state.alias("_s"))
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, key: str, seq: str = "seq", op: str = "op") -> DataFrame:
     """Insert, update, delete and upsert operations in order of seq, as the state after them.
 
     changes has the target's columns, op and seq. An insert takes effect where the key is absent at that
-    point, an update where it is present, a delete removes, an upsert always writes. All operations of a
+    point, an update where it is present, a delete removes, an upsert always writes; others do nothing. All operations of a
     key are folded in order; keys do not meet each other.
     """
-    cols = [c for c in target.columns if c != key]
-    row = F.struct(*cols)
-    kind = row_type(target, cols)
-    ops = changes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(op).alias("op"), row.alias("row")))).alias("_ops"))
-    now = target.select(key, row.alias("_now"))
-    both = now.join(ops, key, "full")
-    none = F.lit(None).cast(kind)
-    step = lambda s, o: F.when(o["op"] == "delete", none).when((o["op"] == "upsert") | ((o["op"] == "insert") & s.isNull()) | ((o["op"] == "update") & s.isNotNull()), o["row"].cast(kind)).otherwise(s)
-    state = F.when(F.col("_ops").isNull(), F.col("_now").cast(kind)).otherwise(F.aggregate("_ops", F.col("_now").cast(kind), step))
-    return both.select(key, state.alias("_s")).where("_s is not null").select(key, "_s.*")
+    s = F.col("_s")
+    return _folded(target, changes, key, seq, op).where(s["here"]).select(key, F.when(s["same"], F.col("_now")).otherwise(s["row"]).alias("_r")).select(key, "_r.*")
+
+
+def change_counts(target: DataFrame, changes: DataFrame, key: str, seq: str = "seq", op: str = "op") -> DataFrame:
+    """(inserted, updated, deleted, upserted): operations that took effect."""
+    got = _folded(target, changes, key, seq, op).select("_s.*")
+    return got.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(n) for k, n in zip(KINDS, ("inserted", "updated", "deleted", "upserted"), strict=True)])
 
 
 def row_type(df: DataFrame, cols: list[str]) -> str:
-    return "struct<" + ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in cols) + ">"
+    return "struct<" + ",".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in cols) + ">"
+
+
+def unique_names(files: DataFrame, name: str, order: str, spread: int = 4096) -> DataFrame:
+    """Adds unique: the name, or for a name that came before `stem_n.ext` with the smallest n, in order of arrival, that no file brought
+    with it. A hot name is numbered in parts of so many arrivals (order is a whole number): counts before, then within."""
+    part = F.floor(F.col(order) / spread)
+    sums = files.groupBy(name, part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select(F.col(name).alias("_name"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = files.withColumn("_part", part).withColumn("_own", F.row_number().over(Window.partitionBy(name, "_part").orderBy(order)))
+    n = own.join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_p"))).withColumn("_n", F.col("_before") + F.col("_own") - 1).drop("_part", "_p", "_own", "_before", "_name")
+    pattern = r"^(.*)_([1-9]\d{0,8})(\.[^.]*)?$"
+    brought = files.select(F.regexp_extract(name, pattern, 1).alias("_stem"), F.regexp_extract(name, pattern, 2).alias("_m"), F.regexp_extract(name, pattern, 3).alias("_ext")).where("_m != ''").distinct()
+    taken = brought.groupBy(F.concat("_stem", "_ext").alias("_of")).agg(F.sort_array(F.collect_set(F.col("_m").cast("long"))).alias("_taken"))
+    # of the numbers that files brought, each that is among the first n moves the n-th free one up by one
+    up = F.size(F.filter(F.transform("_taken", lambda m, i: m - i - 1), lambda f: f < F.col("_n")))
+    dot = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem = F.substring(name, 1, F.length(name) - F.length(dot))
+    numbered = F.concat(stem, F.lit("_"), F.col("_n") + F.when(F.col("_taken").isNull(), 0).otherwise(up), dot)
+    return n.join(taken, F.col(name) == F.col("_of"), "left").withColumn("unique", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).drop("_n", "_of", "_taken")

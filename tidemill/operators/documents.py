@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -19,6 +22,7 @@ _COMPARE = {
     "$in": lambda c, v: c.isin(list(v)),
     "$nin": lambda c, v: c.isNull() | ~c.isin(list(v)),
     "$exists": lambda c, v: c.isNotNull() if v else c.isNull(),
+    "$regex": lambda c, v: c.rlike(v),
 }
 
 
@@ -32,6 +36,9 @@ def condition(spec: dict[str, Any]) -> Column:
             parts.append(~F.coalesce(condition(want), F.lit(False)))
         elif isinstance(want, dict):
             for op, v in want.items():
+                if op == "$not":
+                    parts.append(~F.coalesce(condition({key: v}), F.lit(False)))
+                    continue
                 if op not in _COMPARE:
                     raise ValueError(f"unknown operator {op}")
                 parts.append(_COMPARE[op](F.col(key), v))
@@ -71,30 +78,86 @@ def page(df: DataFrame, number: int, size: int, sort: list[str]) -> DataFrame:
     return rows.join(F.broadcast(total)).withColumn("total_pages", pages).withColumn("has_next", F.lit(number) < pages).withColumn("has_previous", F.lit(number > 1))
 
 
-_GROUP = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$first": F.first, "$addToSet": lambda c: F.sort_array(F.collect_set(c)), "$push": lambda c: F.sort_array(F.collect_list(c))}
+_GROUP = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$first": F.first, "$last": F.last, "$addToSet": lambda c: F.sort_array(F.collect_set(c)), "$push": lambda c: F.sort_array(F.collect_list(c))}
 
+#: Signs of a time format, as pipelines write it and as Spark does.
+TIME_SIGNS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
 
-def _operand(v: Any) -> Column:
+
+def _time_text(arg: dict[str, Any]) -> Column:
+    pattern = arg.get("format", "%Y-%m-%dT%H:%M:%S")
+    parts = re.findall(r"%[^%]|(?:%%|[^%])+", pattern)
+    if bad := [p for p in parts if len(p) == 2 and p[0] == "%" and p[1] != "%" and p not in TIME_SIGNS]:
+        raise ValueError(f"unknown time sign {bad[0]}")
+    return F.date_format(expression(arg["date"]), "".join(TIME_SIGNS.get(p) or "'" + p.replace("%%", "%").replace("'", "''") + "'" for p in parts))
+
+
+def _choice(arg: Any) -> Column:
+    test, yes, no = (arg["if"], arg["then"], arg["else"]) if isinstance(arg, dict) else arg
+    return F.when(expression(test), expression(yes)).otherwise(expression(no))
+
+
+def _fold(f: Callable[[Column, Column], Column]) -> Callable[[Any], Column]:
+    return lambda arg: reduce(f, map(expression, arg))
+
+
+def _call(f: Callable[..., Column]) -> Callable[[Any], Column]:
+    return lambda arg: f(*map(expression, arg if isinstance(arg, list) else [arg]))
+
+
+#: Operators of computed values, by name. Arithmetic with null is null.
+_VALUE: dict[str, Callable[[Any], Column]] = {
+    "$add": _fold(lambda a, b: a + b), "$multiply": _fold(lambda a, b: a * b), "$subtract": _fold(lambda a, b: a - b), "$divide": _fold(lambda a, b: a / b), "$mod": _fold(lambda a, b: a % b),
+    "$abs": _call(F.abs), "$ceil": _call(F.ceil), "$floor": _call(F.floor), "$sqrt": _call(F.sqrt), "$pow": _call(F.pow),
+    "$round": lambda arg: F.bround(expression(arg[0]), arg[1] if len(arg) > 1 else 0) if isinstance(arg, list) else F.bround(expression(arg), 0),
+    "$concat": _call(F.concat), "$toLower": _call(F.lower), "$toUpper": _call(F.upper), "$strLenCP": _call(F.length), "$toString": lambda arg: expression(arg).cast("string"),
+    "$size": _call(F.size), "$ifNull": _call(F.coalesce), "$cond": _choice, "$literal": F.lit,
+    "$eq": _call(lambda a, b: a.eqNullSafe(b)), "$ne": _call(lambda a, b: ~a.eqNullSafe(b)), "$gt": _call(lambda a, b: a > b), "$gte": _call(lambda a, b: a >= b), "$lt": _call(lambda a, b: a < b), "$lte": _call(lambda a, b: a <= b),
+    "$and": _fold(lambda a, b: a & b), "$or": _fold(lambda a, b: a | b), "$not": _call(lambda a: ~a),
+    "$year": _call(F.year), "$month": _call(F.month), "$dayOfMonth": _call(F.dayofmonth), "$hour": _call(F.hour), "$dateToString": _time_text,
+}
+
+
+def expression(v: Any) -> Column:
+    """A computed value: `$field`, an operator with its operands, a document of values, or a literal. An unknown operator is an error."""
     if isinstance(v, str) and v.startswith("$"):
         return F.col(v[1:])
-    if isinstance(v, dict):
-        return F.struct(*[_operand(x).alias(k) for k, x in v.items()])
-    return F.lit(v)
+    if isinstance(v, list):
+        return F.array(*map(expression, v))
+    if not isinstance(v, dict):
+        return F.lit(v)
+    if any(k.startswith("$") for k in v):
+        if len(v) > 1:
+            raise ValueError(f"one operator a document: {', '.join(v)}")
+        ((op, arg),) = v.items()
+        if op not in _VALUE:
+            raise ValueError(f"unknown operator {op}")
+        return _VALUE[op](arg)
+    return F.struct(*[expression(x).alias(k) for k, x in v.items()])
+
+
+def _accumulator(spec: dict[str, Any]) -> Column:
+    if len(spec) != 1 or next(iter(spec)) not in _GROUP:
+        raise ValueError(f"unknown accumulator {', '.join(spec)}")
+    ((op, v),) = spec.items()
+    return _GROUP[op](expression(v))
 
 
 def pipeline(df: DataFrame, stages: list[dict[str, Any]], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """An aggregation pipeline: $match, $project, $group, $sort, $skip, $limit, $unwind, $lookup, $count."""
+    """An aggregation pipeline: $match, $project, $addFields, $group, $sort, $skip, $limit, $unwind, $lookup, $count."""
     for stage in stages:
         ((name, arg),) = stage.items()
         if name == "$match":
             df = df.where(condition(arg))
         elif name == "$project":
-            kept = [F.col(k) if v == 1 else _operand(v).alias(k) for k, v in arg.items() if v != 0]
+            kept = [F.col(k) if v is True or v == 1 else expression(v).alias(k) for k, v in arg.items() if v is not False and v != 0]
             df = df.select(*kept) if kept else df.drop(*arg)
+        elif name in ("$addFields", "$set"):
+            df = df.withColumns({k: expression(v) for k, v in arg.items()})
         elif name == "$group":
             key = arg["_id"]
-            keys = [F.lit(None).alias("_id")] if key is None else [_operand(key).alias("_id")]
-            df = df.groupBy(*keys).agg(*[_GROUP[op](_operand(v)).alias(k) for k, spec in arg.items() if k != "_id" for op, v in spec.items()])
+            keys = [F.lit(None).alias("_id")] if key is None else [expression(key).alias("_id")]
+            df = df.groupBy(*keys).agg(*[_accumulator(spec).alias(k) for k, spec in arg.items() if k != "_id"])
         elif name == "$sort":
             df = df.orderBy(*sort_columns([k if v > 0 else f"-{k}" for k, v in arg.items()]))
         elif name == "$skip":
@@ -133,3 +196,30 @@ def json_safe(df: DataFrame) -> DataFrame:
         return c
 
     return df.select(*[fix(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
+def json_at(column: str, path: str) -> Column:
+    """The value at a path (`$.a.b` or `a.b`) of a JSON column, as JSON writes it; keys may have any signs but dots."""
+    keys = [k for k in path.removeprefix("$").split(".") if k]
+    return F.get_json_object(column, "$" + "".join("['" + k.replace("'", "\\'") + "']" for k in keys))
+
+
+def json_equals(column: str, path: str, value: Any) -> Column:
+    """Whether the value at a path is this one: compared as JSON text, so True is `true`; None is a path that leads nowhere."""
+    got = json_at(column, path)
+    return got.isNull() if value is None else got == F.lit(json.dumps(value) if isinstance(value, (bool, int, float, list, dict)) else str(value))
+
+
+def json_has(column: str, path: str, value: Any) -> Column:
+    """Whether the JSON array of texts at a path has the value, or the JSON document there has it as a key."""
+    got = json_at(column, path) if path.strip("$.") else F.col(column)
+    listed = F.array_contains(F.from_json(got, "array<string>"), F.lit(str(value)))
+    return F.coalesce(listed, F.array_contains(F.json_object_keys(got), F.lit(str(value))), F.lit(False))
+
+
+def with_ids(df: DataFrame, key: str, ids: str | list | DataFrame) -> DataFrame:
+    """Rows of any of the ids: a list, a table's column of the same name, or a comma list (blanks and empty ones go)."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(key).distinct(), key, "left_semi")
+    wanted = [x.strip() for x in ids.split(",")] if isinstance(ids, str) else ids
+    return df.where(F.col(key).cast("string").isin([str(x) for x in wanted if str(x)]))

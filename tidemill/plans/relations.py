@@ -47,12 +47,14 @@ def session_read_through(spark, sf_dir):
     return sessions.read_through(hot, durable, "conv_id").select("conv_id", "origin", "turns")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 997 AS a, (o_custkey * 7 + o_orderkey) % 997 AS b FROM orders WHERE o_orderkey % 5 = 0),
-r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % (SELECT max(c_custkey) FROM customer) + 1 AS b FROM orders),
+r(node, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.node WHERE r.depth < 3) SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1""")
 def graph_lookup(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
-    edges = o.select((F.col("o_custkey") % 997).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 997).alias("b"))
-    return sessions.expand(edges, spark.range(1, 2).toDF("node"), 3)
+    """From every fiftieth customer along all orders, each of which leads to the customer that its key gives among all."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    most = c.agg(F.max("c_custkey").alias("most"))
+    edges = o.join(F.broadcast(most)).select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % F.col("most") + 1).alias("b"))
+    return sessions.expand(edges, c.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node")), 3)
 
 
 # ---- windows
@@ -63,17 +65,15 @@ def latest_per_key(spark, sf_dir):
     return changes.latest(table(spark, sf_dir, "events"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT doc_id, CASE WHEN r = 1 THEN source || '.txt' ELSE source || '_' || (r - 1) || '.txt' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)")
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN source || '_' || (doc_id % 11) || '.txt' ELSE source || '.txt' END AS name FROM documents),
+r AS (SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS n FROM f),
+t AS (SELECT DISTINCT regexp_extract(name, '^(.*)_([1-9][0-9]*)(\\.txt)$', 1) || '.txt' AS of_, regexp_extract(name, '_([1-9][0-9]*)\\.txt$', 1)::BIGINT AS m FROM f WHERE regexp_matches(name, '_[1-9][0-9]*\\.txt$')),
+u AS (SELECT of_, m - row_number() OVER (PARTITION BY of_ ORDER BY m) AS free FROM t)
+SELECT doc_id, CASE WHEN n = 0 THEN name ELSE replace(name, '.txt', '') || '_' || (n + (SELECT count(*) FROM u WHERE of_ = name AND free < n)) || '.txt' END AS name FROM r""")
 def dedupe_filenames(spark, sf_dir):
-    """Repeated names get _1, _2 and so on in order of arrival. A hot name is numbered in parts: counts before, then within."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    width = 4096
-    part = F.floor(F.col("doc_id") / width)
-    sums = d.groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = sums.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = d.withColumn("part", part).withColumn("own", F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")))
-    n = F.col("before") + F.col("own") - 1
-    return own.join(before, ["source", "part"]).select("doc_id", F.when(n == 0, F.concat("source", F.lit(".txt"))).otherwise(F.concat("source", F.lit("_"), n, F.lit(".txt"))).alias("name"))
+    """Repeated names get _1, _2 and so on in order of arrival, but for names that files brought with them."""
+    own = F.when(F.col("doc_id") % 100 == 7, F.concat("source", F.lit("_"), F.col("doc_id") % 11, F.lit(".txt"))).otherwise(F.concat("source", F.lit(".txt")))
+    return changes.unique_names(table(spark, sf_dir, "documents").select("doc_id", own.alias("name")), "name", "doc_id").select("doc_id", F.col("unique").alias("name"))
 
 
 @query("""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
@@ -129,17 +129,21 @@ def session_upsert(spark, sf_dir):
     return changes.upsert(t.where("last_turn = 0"), t.withColumn("seq", F.col("last_turn")), "conv_id", "seq")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'L' ELSE o_orderstatus END AS o_orderstatus, (SELECT count(*) FILTER (WHERE o_totalprice > 200000) FROM orders)::BIGINT AS matched FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, (SELECT count(*) FILTER (WHERE o_totalprice > 200000) FROM orders)::BIGINT AS matched, (SELECT count(*) FILTER (WHERE o_totalprice > 200000 AND o_orderstatus <> 'F') FROM orders)::BIGINT AS modified FROM orders UNION ALL SELECT -1, 'new', 0, 0")
 def update_many(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    where, new = F.col("o_totalprice") > 200_000, {"o_orderstatus": F.lit("L")}
-    counts = changes.update_counts(o, where, new).select("matched")
-    return changes.update_many(o, where, new).select("o_orderkey", "o_orderstatus").join(F.broadcast(counts))
+    where, new = F.col("o_totalprice") > 200_000, {"o_orderstatus": F.lit("F")}
+    some = changes.update_many(o, where, new).select("o_orderkey", "o_orderstatus").join(F.broadcast(changes.update_counts(o, where, new).drop("upserted")))
+    # no order has this key, so the row is added
+    none = changes.update_many(o, F.col("o_orderkey") == -1, new, {"o_orderkey": -1, "o_orderstatus": "new"}).where("o_orderkey = -1")
+    counts = changes.update_counts(o, F.col("o_orderkey") == -1, new, upsert=True).where("upserted = 1").drop("upserted")
+    return some.unionByName(none.select("o_orderkey", "o_orderstatus").join(F.broadcast(counts)))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT (o_totalprice < 50000)")
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_totalprice < 50000)::BIGINT AS deleted, (SELECT count(*) FROM orders WHERE NOT (o_totalprice < 50000))::BIGINT AS \"left\" FROM orders WHERE NOT (o_totalprice < 50000)")
 def delete_many(spark, sf_dir):
-    return changes.delete_many(table(spark, sf_dir, "orders"), F.col("o_totalprice") < 50_000).select("o_orderkey")
+    o, where = table(spark, sf_dir, "orders"), F.col("o_totalprice") < 50_000
+    return changes.delete_many(o, where).select("o_orderkey").join(F.broadcast(changes.delete_counts(o, where)))
 
 
 @query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 4 = 3
@@ -149,13 +153,23 @@ UNION ALL SELECT c_custkey + 10000000, c_name || ' up', c_acctbal FROM customer
 def bulk_apply(spark, sf_dir):
     """Updates, deletes, deletes with an insert after, ignored inserts and updates, upserts."""
     c = _customers(spark, sf_dir)
+    return changes.apply_changes(c, _operations(c), "c_custkey")
+
+
+@query("""SELECT count(*) FILTER (WHERE c_custkey % 4 = 2)::BIGINT AS inserted, count(*) FILTER (WHERE c_custkey % 4 = 0)::BIGINT AS updated, count(*) FILTER (WHERE c_custkey % 4 IN (1, 2))::BIGINT AS deleted, count(*) FILTER (WHERE c_custkey % 4 = 3)::BIGINT AS upserted FROM customer""")
+def bulk_counts(spark, sf_dir):
+    c = _customers(spark, sf_dir)
+    return changes.change_counts(c, _operations(c), "c_custkey")
+
+
+def _operations(c):
     m = F.col("c_custkey") % 4
     say = lambda cond, seq, op, suffix, shift=0: c.where(cond).select((F.col("c_custkey") + shift).alias("c_custkey"), F.concat("c_name", F.lit(suffix)).alias("c_name"), "c_acctbal", F.lit(seq).alias("seq"), F.lit(op).alias("op"))
     parts = [say(m == 0, 1, "insert", " lost"), say(m == 0, 2, "update", " u"), say(m == 1, 1, "delete", ""), say(m == 1, 2, "update", " lost"), say(m == 2, 1, "delete", ""), say(m == 2, 2, "insert", " again"), say(m == 3, 1, "upsert", " up", 10_000_000)]
     ops = parts[0]
     for p in parts[1:]:
         ops = ops.unionByName(p)
-    return changes.apply_changes(c, ops, "c_custkey")
+    return ops
 
 
 # ---- sessions and prompts
@@ -199,11 +213,15 @@ def kpi_validate(spark, sf_dir):
     return metrics.validate(k, {"sales": ["revenue", "sale_date", "customer_id"], "users": ["id", "name", "email"]}).select("c_custkey", "error")
 
 
-@query("SELECT c_mktsegment AS name, min(c_custkey) AS created_by FROM customer GROUP BY 1")
+@query("SELECT * FROM (SELECT c_mktsegment AS name, 'SELECT count(*) FROM customer WHERE c_nationkey = ' || arg_min(c_nationkey, c_custkey) AS formula, min(c_custkey)::VARCHAR AS created_by, TIMESTAMP '2024-05-06 07:08:09' AS created_at FROM customer GROUP BY 1) WHERE name <> 'BUILDING' UNION ALL SELECT 'BUILDING', 'SELECT 1 FROM customer', 'first', TIMESTAMP '2020-01-01'")
 def kpi_register(spark, sf_dir):
-    """One metric a name; the first to come stays."""
-    new = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("created_by"), F.col("c_custkey").alias("seq"))
-    return changes.insert_ignore(new.drop("seq").limit(0), new, "name", "seq")
+    """One metric a name: one is registered already, of the others the first to come stays."""
+    known = spark.range(1).select(F.lit("BUILDING").alias("name"), F.lit("SELECT 1 FROM customer").alias("formula"), F.lit("first").alias("created_by"), F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("created_at"))
+    formula = F.concat(F.lit("SELECT count(*) FROM customer WHERE c_nationkey = "), "c_nationkey")
+    new = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), formula.alias("formula"), F.col("c_custkey").cast("string").alias("created_by"), F.col("c_custkey").alias("seq"))
+    every = metrics.register(known, new, F.expr("timestamp_ntz'2024-05-06 07:08:09'"), "seq")
+    one = metrics.by_name(every, "BUILDING")
+    return one.unionByName(every.where("name <> 'BUILDING'"))
 
 
 @query("SELECT page_id, regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '[^/]*$') AS last, lower(regexp_extract(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '[^/]*$') || '.HTML', '\\.[^.]*$')) AS extension FROM pages")

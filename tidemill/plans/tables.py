@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions import formats
-from tidemill.operators import documents
-from tidemill.sources import files, jdbc
+from tidemill.operators import documents, metrics, profiles
+from tidemill.sources import files, jdbc, statements
 from tidemill.storage import table, work_folder
 
 #: Bytes of a text file, about, as each is one row when it is read.
@@ -39,13 +39,18 @@ def chunked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 150000 AND o_orderpriority = '1-URGENT' GROUP BY 1")
 def param_query(spark, sf_dir):
     """Values are bound, never pasted into the text."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
-    return spark.sql("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM _orders WHERE o_totalprice > :least AND o_orderpriority = :priority GROUP BY 1", args={"least": 150000, "priority": "1-URGENT"})
+    text = "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM _orders WHERE o_totalprice > {} AND o_orderpriority = {} GROUP BY 1"
+    o, values = {"_orders": table(spark, sf_dir, "orders")}, [150000, "1-URGENT"]
+    ways = ((":least", ":priority"), ("%(least)s", "%(priority)s"), ("$1", "$2"), ("?", "?"))
+    got = [statements.run(spark, text.format(*w), o, values if w[0][0] in "$?" else {"least": values[0], "priority": values[1]}) for w in ways]
+    return got[0].intersect(got[1]).intersect(got[2]).intersect(got[3])
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def bulk_append_roundtrip(spark, sf_dir):
     """Append to a database in batches over four connections, read back by ranges of the key."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the database of this query lives in one process; use sources.jdbc with the address of a server")
     url = f"jdbc:derby:memory:{work_folder(spark, 'db').rsplit('-', 1)[1]};create=true"
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -62,9 +67,15 @@ def copy_prepare(spark, sf_dir):
     return files.copy_ready(o.select("o_orderkey", "o_orderdate", F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust")).alias("info")))
 
 
-@query("SELECT * FROM nation")
+@query("SELECT 'csv' AS form, * FROM nation UNION ALL SELECT 'binary', * FROM nation UNION ALL SELECT 'text', * FROM nation")
 def export_csv_roundtrip(spark, sf_dir):
-    return files.by_csv(table(spark, sf_dir, "nation"))
+    """As CSV, as lines of text with tabs between, and as binary; read back."""
+    n, path = table(spark, sf_dir, "nation"), work_folder(spark, "export")
+    for form in files.FORMS:
+        files.export(n, f"{path}/{form}", form)
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [files.exported(spark, f"{path}/{form}", form, n.schema).select(F.lit(form).alias("form"), "*") for form in files.FORMS])
 
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
@@ -125,17 +136,24 @@ def points_upsert(spark, sf_dir):
     return upsert(e, both, "vec_id", "seq").select("vec_id", "label", F.size("embedding").alias("dims"))
 
 
-@query("SELECT 'doc' || doc_id || '.txt' AS file, substr(text, 1, 300) AS text_preview, length(text)::BIGINT AS n FROM documents")
+@query("SELECT 'doc' || doc_id || '.txt' AS file, text, '# doc' || doc_id || '.txt' || chr(10) || text AS markdown, substr(text, 1, 300) AS text_preview FROM documents")
 def parse_output_preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file"), F.substring("text", 1, 300).alias("text_preview"), F.length("text").cast("long").alias("n"))
+    """Text and markdown of each parsed file, written by its full name, with a preview."""
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("file"), "text")
+    path = work_folder(spark, "parsed")
+    files.write_parsed(d.withColumn("markdown", F.concat(F.lit("# "), "file", F.lit("\n"), "text")), path)
+    return spark.read.parquet(path)
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_type, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids, min(ts) AS first, round(sum(value), 4) AS total, event_type IN ('click', 'view') AS few FROM events GROUP BY 1")
 def compact_table(spark, sf_dir):
-    a, b = work_folder(spark, "many"), work_folder(spark, "few")
-    table(spark, sf_dir, "events").select("event_id", "event_type").repartition(16).write.parquet(a)
-    files.compact(spark, a, b, 2)
-    return spark.read.parquet(b)
+    """A table of many files; two of its partitions are compacted in place."""
+    path = work_folder(spark, "many")
+    table(spark, sf_dir, "events").repartition(16, F.rand(3)).withColumn("_file", F.spark_partition_id()).repartition(16, "_file").drop("_file").write.partitionBy("event_type").parquet(path)
+    for kind in ("click", "view"):
+        files.compact(spark, path, 2, {"event_type": kind})
+    e = spark.read.parquet(path)
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.min("ts").alias("first"), F.round(F.sum("value"), 4).alias("total"), (F.count_distinct("_metadata.file_path") <= 2).alias("few"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y%m') AS month, count(*)::BIGINT AS n, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
@@ -148,28 +166,48 @@ def monthly_partitioned_write(spark, sf_dir):
 # ---- profiles
 
 
-@query("""SELECT * FROM (
-SELECT 'c_custkey' AS name, 'bigint' AS type, 1 AS position, count(*)::BIGINT AS n_rows, (count(*) - count(c_custkey))::BIGINT AS n_null, min(c_custkey)::VARCHAR AS least, max(c_custkey)::VARCHAR AS most FROM customer
-UNION ALL SELECT 'c_name', 'string', 2, count(*), count(*) - count(c_name), min(c_name), max(c_name) FROM customer
-UNION ALL SELECT 'c_nationkey', 'int', 3, count(*), count(*) - count(c_nationkey), min(c_nationkey)::VARCHAR, max(c_nationkey)::VARCHAR FROM customer
-UNION ALL SELECT 'c_mktsegment', 'string', 4, count(*), count(*) - count(c_mktsegment), min(c_mktsegment), max(c_mktsegment) FROM customer)""")
+_PROFILED = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", None), ("o_orderdate", None), ("o_orderpriority", "string"))
+
+
+def _profile_sql() -> str:
+    one = "SELECT '{0}' AS name, {1} AS type, true AS nullable, {2} AS position, count(*)::BIGINT AS n_rows, (count(*) - count({0}))::BIGINT AS n_null, {3} AS least, {4} AS most FROM orders"
+    types = {"o_totalprice": "double", "o_orderdate": "timestamp_ntz"}
+    # numbers and times are written by each engine in its own way
+    shown = {"o_totalprice": ("round(min({0}) * 100)::BIGINT::VARCHAR", "round(max({0}) * 100)::BIGINT::VARCHAR"), "o_orderdate": ("strftime(min({0}), '%Y-%m-%d %H:%M:%S')", "strftime(max({0}), '%Y-%m-%d %H:%M:%S')")}
+    parts = []
+    for k, (c, t) in enumerate(_PROFILED, 1):
+        low, high = (x.format(c) for x in shown.get(c, ("min({0})::VARCHAR", "max({0})::VARCHAR")))
+        parts.append(one.format(c, f"'{t or types[c]}'", k, low, high))
+    return " UNION ALL ".join(parts)
+
+
+@query(_profile_sql())
 def table_profile(spark, sf_dir):
-    """Name, type, position, rows, nulls, least and most value of each column, in one pass."""
-    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    facts = []
-    for k, f in enumerate(df.schema, 1):
-        facts.append(F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(k).alias("position"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(f.name).isNull()).alias("n_null"), F.min(f.name).cast("string").alias("least"), F.max(f.name).cast("string").alias("most")))
-    return df.agg(F.array(*facts).alias("x")).select(F.inline("x"))
+    """Name, type, nullable, position, rows, nulls, least and most value of each column, in one pass."""
+    got = profiles.table_profile(table(spark, sf_dir, "orders").select(*[c for c, _ in _PROFILED]))
+    shown = lambda c: F.when(F.col("name") == "o_totalprice", F.round(F.expr(f"try_cast({c} as double)") * 100).cast("long").cast("string")).otherwise(F.col(c))
+    return got.withColumn("least", shown("least")).withColumn("most", shown("most"))
 
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::BIGINT AS n_rows FROM {t}" for t in _TABLES))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::BIGINT AS n_rows, 1::BIGINT AS n_files, true AS has_bytes FROM {t}" for t in _TABLES))
 def db_profile(spark, sf_dir):
+    """Rows, files and bytes of each table."""
+    got = profiles.database_profile(spark, {t: f"{sf_dir}/{t}.parquet" for t in _TABLES})
+    return got.select("name", "n_rows", "n_files", (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
+@query(f"SELECT {len(_TABLES)}::BIGINT AS n_tables, " + " + ".join(f"(SELECT count(*) FROM {t})" for t in _TABLES) + " AS n_rows, true AS same_bytes")
+def db_totals(spark, sf_dir):
+    """Tables, rows and megabytes of a database; the bytes are held against those of the files."""
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in _TABLES}
+    got = profiles.database_totals(profiles.database_profile(spark, paths))
     from functools import reduce
 
-    return reduce(DataFrame.unionByName, [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n_rows")) for t in _TABLES])
+    files_ = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").load(p).select("length") for p in paths.values()]).agg(F.sum("length").alias("bytes"))
+    return got.join(F.broadcast(files_)).select("n_tables", "n_rows", ((F.col("n_bytes") == F.col("bytes")) & (F.abs(F.col("megabytes") - F.col("bytes") / (1 << 20)) < 0.01)).alias("same_bytes"))
 
 
 @query("SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE event_type = 'click')::BIGINT AS clicks, count(*) FILTER (WHERE event_type = 'error')::BIGINT AS errors, count(*) FILTER (WHERE value > 50)::BIGINT AS large FROM events")
@@ -214,10 +252,13 @@ def format_duration(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", formats.duration_text(F.floor(F.col("value") * F.col("value") * 10) / 8).alias("shown"))
 
 
-@query("SELECT event_type AS query, count(*)::BIGINT AS runs, round(avg(value), 4) AS mean_s, max(value) AS max_s FROM events GROUP BY 1")
+@query("""SELECT event_type AS query, count(*)::BIGINT AS runs, min(floor(epoch(ts))::BIGINT)::BIGINT AS first_start, max(floor(epoch(ts))::BIGINT + floor(value)::BIGINT)::BIGINT AS last_end, round(avg(floor(value)), 4) AS mean_s, max(floor(value))::BIGINT AS max_s,
+quantile_cont(floor(value), 0.5) AS p50_s, quantile_cont(floor(value), 0.95) AS p95_s FROM events GROUP BY 1""")
 def query_profile(spark, sf_dir):
-    """Events as a log: value is how long a query took."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("query")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("value"), 4).alias("mean_s"), F.max("value").alias("max_s"))
+    """Events as a log: ts is when a query began, value how many seconds it took."""
+    start = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    log = table(spark, sf_dir, "events").select("event_type", start.alias("start"), (start + F.floor("value")).alias("end"))
+    return profiles.query_profile(log, "event_type", "start", "end", exact=True)
 
 
 _LOG = """CASE o_orderkey % 6 WHEN 0 THEN 'select * from t order by a' WHEN 1 THEN 'SELECT a FROM t GROUP BY a' WHEN 2 THEN 'select a from t join u' WHEN 3 THEN 'select distinct a from t' WHEN 4 THEN 'select a from t order by a limit 5' ELSE 'select 1' END"""
@@ -258,13 +299,17 @@ def doc_count(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
 def json_path_filter(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k") == "7").select("event_id")
+    return table(spark, sf_dir, "events").where(documents.json_equals("props", "$.k", 7)).select("event_id")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, json_extract_string(props, '$.k')::BIGINT IN (1, 2, 3) AS in_set FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type IN ('click', 'view') AS listed, user_id % 2 = 0 AS has_key FROM events")
 def json_extract(spark, sf_dir):
+    """A number out of a JSON column, and whether a JSON array has a text, a JSON document a key."""
     k = F.from_json("props", "k long")["k"]
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.array_contains(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long")), k).alias("in_set"))
+    tags = F.when(F.col("event_type").isin("click", "view"), F.lit('{"a": {"tags": ["x", "seen"]}}')).otherwise(F.lit('{"a": {"tags": ["seen by none"], "seen": 1}}'))
+    keys = F.when(F.col("user_id") % 2 == 0, F.lit('{"seen": null, "y": 2}')).otherwise(F.lit('{"y": "seen"}'))
+    e = table(spark, sf_dir, "events").withColumn("tags", tags).withColumn("doc", keys)
+    return e.select("event_id", k.alias("k"), documents.json_has("tags", "$.a.tags", "seen").alias("listed"), documents.json_has("doc", "$", "seen").alias("has_key"))
 
 
 @query("""SELECT o_orderkey, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS doc FROM orders""")
@@ -272,10 +317,12 @@ def json_build(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))).alias("doc"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("SELECT doc_id, lang, 'table' AS by FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT doc_id, lang, 'list' FROM documents WHERE doc_id IN (3, 14, 159)")
 def doc_id_filter(spark, sf_dir):
-    """Any of the ids of a table."""
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang")
+    """Any of the ids of a table, or of a comma list."""
+    d = table(spark, sf_dir, "documents")
+    some = documents.with_ids(d, "doc_id", table(spark, sf_dir, "labels").where("quality = 1")).select("doc_id", "lang", F.lit("table").alias("by"))
+    return some.unionByName(documents.with_ids(d, "doc_id", " 3,14, ,159,").select("doc_id", "lang", F.lit("list").alias("by")))
 
 
 @query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-20'")
@@ -376,16 +423,28 @@ def session_last_used(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("last_used"))
 
 
-@query("SELECT 'revenue' AS name, round(sum(l_extendedprice), 2) AS value FROM lineitem UNION ALL SELECT 'lines', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'mean_discount', round(avg(l_discount), 6) FROM lineitem")
+@query("""SELECT 'revenue' AS name, round(sum(l_extendedprice), 2) AS value FROM lineitem UNION ALL SELECT 'lines', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'mean_discount', round(avg(l_discount), 6) FROM lineitem
+UNION ALL SELECT 'orders', count(*)::DOUBLE FROM orders UNION ALL SELECT 'returned', count(*)::DOUBLE FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'urgent', count(*)::DOUBLE FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'""")
 def kpi_evaluate(spark, sf_dir):
-    """Registered formulas over one table run as one aggregate."""
-    formulas = {"revenue": "round(sum(l_extendedprice), 2)", "lines": "cast(count(1) as double)", "mean_discount": "round(avg(l_discount), 6)"}
-    one = table(spark, sf_dir, "lineitem").agg(*[F.expr(f).alias(n) for n, f in formulas.items()])
-    return one.unpivot([], list(formulas), "name", "value")
+    """Registered formulas, each with its own text; those over one table run as one aggregate."""
+    formulas = {
+        "revenue": "SELECT round(sum(l_extendedprice), 2) FROM lineitem", "lines": "select count(*) from lineitem", "mean_discount": "SELECT round(avg(l_discount), 6) FROM lineitem", "orders": "SELECT count(1) FROM orders",
+        "returned": "SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'", "urgent": "SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'",
+    }
+    return metrics.evaluate({t: table(spark, sf_dir, t) for t in ("lineitem", "orders")}, formulas)
 
 
 @query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(o_totalprice) AS s FROM orders GROUP BY 1) SELECT month, round(s, 2) AS total, round((s - lag(s) OVER (ORDER BY month)) / lag(s) OVER (ORDER BY month), 6) AS growth FROM m")
 def kpi_mom_growth(spark, sf_dir):
-    m = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("s"))
-    before = F.lag("s").over(Window.orderBy("month"))  # one row a month
-    return m.select("month", F.round("s", 2).alias("total"), F.round((F.col("s") - before) / before, 6).alias("growth"))
+    return metrics.growth(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+
+
+@query("""SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS flag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(max(l_quantity * l_extendedprice), 2) AS largest, count(*) FILTER (WHERE l_quantity > 25)::BIGINT AS large FROM lineitem GROUP BY 1, 2""")
+def agg_expressions(spark, sf_dir):
+    """Sums and groups over computed values: products, sums, a time as text, a choice."""
+    got = documents.pipeline(table(spark, sf_dir, "lineitem"), [
+        {"$addFields": {"net": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, "month": {"$dateToString": {"format": "%Y-%m", "date": "$l_shipdate"}}}},
+        {"$group": {"_id": {"month": "$month", "flag": "$l_returnflag"}, "revenue": {"$sum": "$net"}, "largest": {"$max": {"$multiply": ["$l_quantity", "$l_extendedprice"]}}, "large": {"$sum": {"$cond": [{"$gt": ["$l_quantity", 25]}, 1, 0]}}}},
+        {"$project": {"month": "$_id.month", "flag": "$_id.flag", "revenue": {"$round": ["$revenue", 2]}, "largest": {"$round": ["$largest", 2]}, "large": 1}},
+    ])
+    return got.select("month", "flag", F.round("revenue", 2).alias("revenue"), F.round("largest", 2).alias("largest"), F.col("large").cast("long").alias("large"))

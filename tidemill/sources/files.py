@@ -82,6 +82,58 @@ def rebuild(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
-    """The same rows in fewer files, beside the old ones; no shuffle."""
-    spark.read.parquet(path).coalesce(files).write.parquet(target)
+def compact(spark: SparkSession, path: str, files: int, partition: dict[str, str] | None = None) -> None:
+    """The same rows in `files` files, in the table's own place, for the whole table or one partition of it.
+
+    The rows are shuffled, so reading is as parallel as before and files are of one size. They are written beside the table and
+    take the old folder's place by renames when complete; a break between the two renames leaves the old rows in `<folder>.old`.
+    """
+    folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in (partition or {}).items())])
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f"{work_folder(spark, 'compact')}", f"{path.rstrip('/')}.old"
+    rows = spark.read.parquet(folder)
+    inner = [c for c in spark.read.parquet(path).columns if c not in (partition or {})]
+    nested = [s.getPath().getName().partition("=")[0] for s in fs.listStatus(at(folder)) if "=" in s.getPath().getName()]
+    dealt = rows.select(*inner).repartition(files)
+    (dealt.write.partitionBy(nested[0]) if nested else dealt.write).parquet(new)
+    fs.delete(at(old), True)
+    fs.rename(at(folder), at(old))
+    if not fs.rename(at(new), at(folder)):
+        fs.rename(at(old), at(folder))
+        raise OSError(f"{new} cannot take the place of {folder}")
+    fs.delete(at(old), True)
+
+
+FORMS = ("csv", "text", "binary")
+
+
+def export(df: DataFrame, path: str, form: str) -> None:
+    """As CSV with a head, as lines of text (columns between tabs; null is \\N; backslash, tab and line end escaped), or binary (Parquet)."""
+    if form == "csv":
+        df.write.option("header", True).csv(path)
+    elif form == "text":
+        plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+        ready = copy_ready(df)
+        ready.select(F.concat_ws("\t", *[F.coalesce(plain(F.col(f"`{c}`").cast("string")), F.lit("\\N")) for c in ready.columns]).alias("value")).write.text(path)
+    elif form == "binary":
+        df.write.parquet(path)
+    else:
+        raise ValueError(f"unknown form {form}")
+
+
+def exported(spark: SparkSession, path: str, form: str, schema: T.StructType) -> DataFrame:
+    """What export wrote, for columns of plain types."""
+    if form == "csv":
+        return spark.read.option("header", True).schema(schema).csv(path)
+    if form == "binary":
+        return spark.read.schema(schema).parquet(path)
+    cells = F.split("value", "\t")
+    sign = lambda c, a, b: F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\" + a, "$1" + b)
+    plain = lambda c: F.replace(sign(sign(sign(c, "t", "\t"), "n", "\n"), "r", "\r"), F.lit("\\\\"), F.lit("\\"))
+    return spark.read.text(path).select(*[F.when(F.get(cells, i) != "\\N", plain(F.get(cells, i))).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
+
+
+def write_parsed(rows: DataFrame, path: str, preview: int = 300) -> None:
+    """rows(file, text, markdown) with a preview, by full file name, so files that share a stem do not meet."""
+    rows.select("file", "text", "markdown", F.substring("text", 1, preview).alias("text_preview")).write.parquet(path)
