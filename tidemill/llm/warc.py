@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, new_folder
+from tidemill.llm.common import cut, join_groups, new_folder
 
 #: Fixed value: magic number of the skippable frame that holds the dictionary.
 FRAME = 0x184D2A5D
@@ -37,11 +37,17 @@ LEVEL = 3
 
 def roles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The rows (id, url if any, html, _digest, _first): _first is the smallest id among rows with the same payload of
-    LEAST_BYTES or more, where there are several rows of it; else null. Only digests that repeat are joined."""
+    LEAST_BYTES or more, where there are several rows of it; else null.
+
+    Only ids and digests meet by digest, one of many rows in parts; pages then meet the ids of repeated payloads by id.
+    """
     keyed = pages.withColumn("_digest", F.sha2(F.coalesce(html_col, F.lit("")).cast("binary"), 256))
     groups = keyed.where(F.octet_length(html_col) >= LEAST_BYTES).groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    repeated = cut(groups.where("_n > 1").select("_digest", "_first"), "repeated")
-    return keyed.join(repeated, "_digest", "left")
+    repeated = cut(groups.where("_n > 1").select("_digest", "_first", "_n"), "repeated")
+    long = keyed.where(F.octet_length(html_col) >= LEAST_BYTES).select(F.col(id_col).alias("_id"), F.col("_digest").alias("_same"), "_digest")
+    total = repeated.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    members = cut(join_groups(long, repeated, "_digest", "_id", total, "_n").select("_id", "_same", "_first").distinct(), "members")
+    return keyed.join(members, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_same")), "left").drop("_id", "_same")
 
 
 def urn(page_id) -> str:
