@@ -55,6 +55,30 @@ def test_bpe_is_what_the_library_gives(spark):
     assert {r["doc_id"]: bytes(r["data"]).decode() for r in bpe.decode(ids, path, P.PATTERN).collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
 
+def test_empty_tables_and_clashing_columns(spark):
+    """Every operator of one table: no row in, no row out; columns named as those that it makes itself do no harm."""
+    path, words = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
+    names = ["n_tokens", "ids", "data", "shard", "_h", "_n", "depth", "fingerprint", "_run", "line", "licence", "lang_pred", "score", "_use", "length", "_salt", "piece", "kept", "__text", "__row", "__words", "_text", "_id"]
+    docs = table(spark, [(1, "Released under the MIT License."), (2, None), (2, None), (3, "word " * 60), (3, "")])
+    more = docs.select("doc_id", "text", "lang", *[F.lit("clash").alias(n) for n in names])
+    model = langid.fit(more)
+    run = {
+        "bpe": lambda d: bpe.round_trip(d, path, P.PATTERN), "shards": lambda d: shards.assign(d, 100), "fingerprints": fingerprints.against_next, "licenses": licenses.scan,
+        "langid": lambda d: langid.predict(d, model), "packing": lambda d: packing.pack(d, words), "neardup": lambda d: neardup.near_duplicates(d, 3, 0.85), "quality": quality.judge,
+        "accepted language": lambda d: langid.accepted(d, model), "accepted quality": quality.accepted, "distinct": neardup.distinct_documents,
+    }
+    for name, f in run.items():
+        assert f(more.limit(0)).count() == 0, name
+        plain, got = f(docs.select("doc_id", "text")), f(more)
+        if name == "shards":  # whole rows count
+            assert got.count() == 5
+        elif name.startswith(("accepted", "distinct")):
+            assert got.columns == more.columns and got.count() == plain.count(), name
+        else:
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) or name == "packing", name
+    assert langid.fit(more.limit(0)).langs == []
+
+
 @pytest.mark.parametrize("limit", [1, 500, 20_000, 10**9])
 def test_shards_fit_and_split_only_where_needed(spark, limit):
     docs = documents(spark).unionByName(table(spark, [(10**6, None), (10**6 + 1, ""), (None, "null id")]), allowMissingColumns=True)
@@ -177,6 +201,15 @@ def test_licences_across_lines_several_a_line_and_whole(spark):
         (3, 2, "MIT", 1.0), (3, len(mit.split("\n")) + 3, "All-Rights-Reserved", 1.0), (4, 0, "Apache-2.0", 1.0), (4, 0, "MIT", 1.0),
     ]
     assert [(x[0], x[2]) for x in got if x[0] >= 5] == [(6, "MIT")] and 0.8 < got[-1][3] < 1
+    # on lines of words of short notices: what is found, against all stretches that are like a notice
+    notices = {"x": "a b c d", "y": "c d e f g", "z": "h i"}
+    s = licenses.Scanner(notices, 0.8)
+    rng = random.Random(9)
+    for _ in range(200):
+        w = [rng.choice("abcdefghi") for _ in range(rng.randrange(2, 16))]
+        found = s.scan("\n".join(w))
+        like = {(i, n): d for i in range(len(w)) for j in range(i + 2, len(w) + 1) for n, t in notices.items() if (d := licenses.dice(licenses.bigrams(w[i:j]), licenses.bigrams(t.split()))) >= 0.8}
+        assert bool(found) == bool(like) and all((line, n) in like and score >= 0.8 for line, n, score in found)
     # each whole licence is found as itself
     s = licenses.Scanner([*licenses.TEMPLATES.items(), *licenses.full_texts().items()], 0.8)
     for name, text in licenses.full_texts().items():
@@ -609,3 +642,23 @@ def test_pipeline_keeps_clean_documents(spark):
         now = after
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
     assert packed.select("doc_id").distinct().count() == now.count()
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns, and the empty table, through all stages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = docs.orderBy(F.desc(F.length("text"))).limit(1).select((F.col("doc_id") + 10**7).alias("doc_id"), F.repeat("text", 5).alias("text"), "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (None, "no id " * 5, "xx", "s", 1)], docs.schema)
+    every = docs.union(docs.limit(20)).union(odd).union(long)
+    for n in ("bands", "__kept", "kept_id", "__text", "__row", "_salt", "length", "label", "size", "hub"):
+        every = every.withColumn(n, F.lit("clash"))
+    (tmp_path / "some").mkdir()
+    every.write.parquet(str(tmp_path / "some/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    plain = corpus_pipeline.run(spark, SF)
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").distinct().collect()}
+    assert ids(got) - {r["doc_id"] for r in long.collect()} == ids(plain)
+    assert got.groupBy("doc_id", "piece").count().where("count > 1").count() == 0
+    (tmp_path / "none").mkdir()
+    every.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

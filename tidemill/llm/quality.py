@@ -115,7 +115,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The rows that judge() would keep, with all their columns; no shuffle and no join."""
+    """The rows that judge() would keep, with all their columns, whatever their names; no shuffle and no join.
+
+    Null and empty texts go; rows that repeat are judged each; the empty table gives no rows.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     # a filter would be moved below the projections, with their expressions copied into it; a column
     # that is not deterministic holds it above them
