@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import langid, neardup, packing, quality
-from tidemill.llm.common import cut, table
+from tidemill.llm.common import Scratch, cut, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+    with Scratch(spark) as s:
+        for name, stage in STAGES[:-1]:
+            made = s.cut(stage(spark, docs, sf_dir), name)
+            s.drop(docs)  # what the stage before wrote
+            docs = made
+        name, stage = STAGES[-1]
+        return cut(stage(spark, docs, sf_dir), name)
