@@ -35,6 +35,8 @@ MISS = 1e-6
 #: Members of one block, and shingles of all of them, about (a longer text is a block with others' shingles beside it).
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 22
+#: Partners that one copy of a hub's text meets: fewer than a block, since each copy costs one text alone.
+PARTNERS = 64
 #: Ids of documents to verify that may be sent to all executors (8 bytes each); more are joined by a shuffle.
 SEND = 1_000_000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -242,9 +244,9 @@ def _merged(s: Scratch, labels: DataFrame | None, links: DataFrame, total: int)
     return s.cut(moved.unionByName(still).unionByName(fresh), "labels")
 
 
-def _blocks(n: str, weight: str) -> Column:
-    """Blocks for n members with so many shingles in all."""
-    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(weight) / BLOCK_SHINGLES)).cast("long")
+def _blocks(n: str, weight: str, members: int) -> Column:
+    """Blocks of so many members for n with so many shingles in all."""
+    return F.ceil(F.greatest(F.col(n) / members, F.col(weight) / BLOCK_SHINGLES)).cast("long")
 
 
 def _stars(stars: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
@@ -252,7 +254,7 @@ def _stars(stars: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
     hubs = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).withColumn("hub_label", F.col("hub"))
     dealt = join_groups(stars, _relabel(hubs, "hub_label", labels), "hub", "rep", total)
     dealt = _relabel(dealt.withColumn("label", F.col("rep")), "label", labels).where("label != hub_label")
-    dealt = dealt.withColumn("g2", F.pmod(F.xxhash64("rep", F.lit(5)), _blocks("n", "weight")))
+    dealt = dealt.withColumn("g2", F.pmod(F.xxhash64("rep", F.lit(5)), _blocks("n", "weight", PARTNERS)))
     zero = F.lit(-1).cast("long").alias("g3")
     leaves = dealt.select(F.col("hub").alias("g1"), "g2", zero, F.lit(0).cast("long").alias("role"), F.col("rep").alias("id"), "label")
     heads = dealt.select(F.col("hub").alias("g1"), "g2", zero, F.lit(1).cast("long").alias("role"), F.col("hub").alias("id"), F.col("hub_label").alias("label")).distinct()
@@ -273,7 +275,7 @@ def _mixed(shared: DataFrame, labels: DataFrame, total: int, s: Scratch) -> Data
         F.count(F.lit(1)).alias("n"), of(1, F.col("in_main")).alias("n_main"), of(1, ~F.col("in_main")).alias("n_other"),
         of(F.col("size"), F.col("in_main")).alias("w_main"), of(F.col("size"), ~F.col("in_main")).alias("w_other"),
     )
-    counts = counts.select("bucket", "n", _blocks("n_main", "w_main").alias("mains"), _blocks("n_other", "w_other").alias("others"))
+    counts = counts.select("bucket", "n", _blocks("n_main", "w_main", BLOCK).alias("mains"), _blocks("n_other", "w_other", BLOCK).alias("others"))
     dealt = join_groups(inside.drop("n"), counts, "bucket", "rep", total)
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))))
     # g2: a block of others; g3: the block it meets, others from 0 up, of the main component from -1 down
