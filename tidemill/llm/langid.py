@@ -141,18 +141,21 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     if not sizes:
         return Model([], np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), {})
     each = max(8, min(sample, SAMPLE_ALL // len(sizes)))
-    # four times as many as are wanted are looked at, so that the last step, over a language's rows, is bounded and never short
-    share = F.broadcast(spark.createDataFrame([(k, min(1.0, 4 * each / n)) for k, n in sizes.items()], "_lang string, _share double"))
-    place = F.pmod(F.xxhash64(F.col("_id"), F.col("_text"), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
-    looked_at = labelled.withColumn("_place", place).join(share, "_lang").where("_place < _share")
-    first = Window.partitionBy("_lang").orderBy("_place", "_text")
-    taken = looked_at.withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= each)
+    # four times as many places as are wanted are looked at, so that ranking those of a language is bounded and never short;
+    # only places move for it, not texts
+    place = F.pmod(F.xxhash64(F.col("_id"), F.col("_text"), F.monotonically_increasing_id()), F.lit(1 << 50)) / float(1 << 50)
+    up_to = lambda ends: F.broadcast(spark.createDataFrame(ends, "_lang string, _end double"))
+    placed = labelled.withColumn("_place", place)
+    places = placed.join(up_to([(k, min(1.0, 4 * each / n)) for k, n in sizes.items()]), "_lang").where("_place <= _end").select("_lang", "_place")
+    ranked = places.withColumn("_row", F.row_number().over(Window.partitionBy("_lang").orderBy("_place"))).where(F.col("_row") <= each)
+    ends = [tuple(r) for r in ranked.groupBy("_lang").agg(F.max("_place")).collect()]  # one row a language
+    taken = placed.join(up_to(ends), "_lang").where("_place <= _end")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(k.as_py(), p.as_py(), c.tobytes()) for k, p, t in zip(*(batch.column(i) for i in range(3)), strict=True) if (c := counts(t.as_py())) is not None]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["_lang", "_row", "_counts"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.binary()), strict=True)], ["_lang", "_place", "_counts"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(DIMS, np.int64)
@@ -162,7 +165,7 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
         yield pa.record_batch([pa.array([n], pa.int64()), pa.array([df.tolist()], pa.list_(pa.int64()))], ["n", "df"])
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_row", kind="stable")
+        group = group.sort_values("_place", kind="stable")
         c = np.stack([np.frombuffer(b, np.float32) for b in group["_counts"]])
         x = np.stack([vector(row, idf) for row in c])
         held = np.arange(len(x)) % HELD == HELD - 1 if len(x) >= 2 * HELD else np.ones(len(x), bool)
@@ -173,7 +176,7 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
 
     with Scratch(spark) as s:
         # a few thousand rows of fixed size
-        made = s.cut(taken.select("_lang", "_row", "_text").mapInArrow(vectors, "_lang string, _row int, _counts binary"), "sample")
+        made = s.cut(taken.select("_lang", "_place", "_text").mapInArrow(vectors, "_lang string, _place double, _counts binary"), "sample")
         parts = made.select("_counts").mapInArrow(frequencies, "n long, df array<long>").select("n", F.posexplode("df").alias("i", "df")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
         df = np.zeros(DIMS)
         for r in parts:
