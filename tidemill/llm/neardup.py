@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, tasks, whole_numbers
+from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, short_batches, tasks, whole_numbers
 
 #: Coordinates of a band.
 BAND = 5
@@ -238,10 +238,8 @@ def _merged(s: Scratch, labels: DataFrame | None, links: DataFrame, total: int)
     again = components(_relabel(_relabel(links, "a", labels), "b", labels), s)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     new = again.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    moved = join_groups(labels, sizes.join(new, "label"), "label", "node", total).select("node", F.col("_to").alias("label"))
-    still = labels.join(new, "label", "left_anti").select("node", "label")
-    fresh = again.join(labels, "node", "left_anti")
-    return s.cut(moved.unionByName(still).unionByName(fresh), "labels")
+    moved = join_groups(labels, s.cut(sizes.join(new, "label", "left"), "sizes"), "label", "node", total).select("node", F.coalesce("_to", "label").alias("label"))
+    return s.cut(moved.unionByName(again.join(labels, "node", "left_anti")), "labels")
 
 
 def _blocks(n: str, weight: str, members: int) -> Column:
@@ -310,7 +308,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
         some = join_groups(got.where("_component_id is not null"), sizes, "_component_id", "_doc_id", got.count())
         none = got.where("_component_id is null").withColumn("component_id", F.lit(None).cast(ids.schema["_id"].dataType))
         return some.select("doc_id", "n_shingles", "component_id", "kept").unionByName(none.select("doc_id", "n_shingles", "component_id", "kept"))
-    with Scratch(docs.sparkSession) as s:
+    with Scratch(docs.sparkSession) as s, short_batches(docs.sparkSession):
         rows = s.cut(sketches(docs, k, threshold, id_col, text_col), "sketches")
         full = rows.where("n_shingles > 0")
         classes = s.cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
