@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +81,21 @@ class Scratch:
             remove(self.spark, path)
 
 
+_remembered: dict[str, Callable[[], object]] = {}
+
+
+def remember(what: str, forget: Callable[[], object]) -> None:
+    """Register what an operator remembers in a Python worker, with the function that lets it go."""
+    _remembered[what] = forget
+
+
+def only(what: str) -> None:
+    """At the start of an operator's task: a worker goes on from one operator to the next, so what others remember is let go."""
+    for name, forget in _remembered.items():
+        if name != what:
+            forget()
+
+
 @contextmanager
 def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Rows go to Python workers in batches of so many at most: texts of 10,000 rows would stand in memory several times over."""

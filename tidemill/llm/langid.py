@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.common import Scratch
+from tidemill.llm.common import Scratch, only
 
 DIMS = 4096
 #: Labelled rows of one language that the fit uses at most, taken at random.
@@ -152,6 +152,7 @@ def fit(docs: DataFrame, where: Column | None = None, id_col: str = "doc_id", te
     taken = placed.join(up_to(ends), "_lang").where("_place <= _end")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         for batch in batches:
             rows = [(k.as_py(), p.as_py(), c.tobytes()) for k, p, t in zip(*(batch.column(i) for i in range(3)), strict=True) if (c := counts(t.as_py())) is not None]
             cols = list(zip(*rows, strict=True)) or [[], [], []]
@@ -202,6 +203,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x DIMS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         m = sent.value
         for batch in batches:
             got = [m.predict(t.as_py()) for t in batch.column(1)]
@@ -220,6 +222,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("langid")
         m = sent.value
         for batch in batches:
             yield batch.filter(pa.array([not m.predict(t.as_py())[2] for t in batch.column(at)], pa.bool_()))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, short_batches, tasks, whole_numbers
+from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, only, remember, short_batches, tasks, whole_numbers
 
 #: Coordinates of a band.
 BAND = 5
@@ -73,6 +73,7 @@ class Words(dict):
 
 
 _words = Words()
+remember("words", _words.clear)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -114,6 +115,7 @@ def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id",
     t = bands(threshold) * BAND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         for batch in batches:
             n, one, two, made = [], [], [], []
             for x in batch.column(1):
@@ -138,6 +140,7 @@ def _groups(rows: DataFrame, schema: str, start: Callable, meet: Callable) -> Da
     width = len(schema.split(","))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         now, held, group = None, [], None
         for batch in batches:
             out: list[tuple] = []

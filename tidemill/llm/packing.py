@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, tasks
+from tidemill.llm.common import cut, only, remember, tasks
 
 MEMO = 300_000
 
@@ -107,6 +107,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+remember("packing", word_tokenizer.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every whole text with end_id after it; null counts as empty, so it is one token.
 
@@ -114,6 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         for batch in batches:
             at = 0
             while at < batch.num_rows:
