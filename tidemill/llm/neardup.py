@@ -349,8 +349,10 @@ def distinct_documents(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_c
     """
     key = free(docs, "kept_id")
     kept = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, threshold).where("kept")
-    counts = kept.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(kept.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_n")), "kept")
     once, more = (counts.where(cond).select(key) for cond in (f"_n = 1 or `{key}` is null", f"_n > 1 and `{key}` is not null"))
-    at = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids[key]), "left_semi")
-    # only rows whose id repeats meet again, so other texts are not shuffled for it
-    return at(once).unionByName(at(more).dropDuplicates([id_col]))
+    # texts only move where the ids that stay are too many to be sent out
+    small = counts.count() <= SEND
+    at = lambda ids: docs.join(F.broadcast(ids) if small else ids, docs[id_col].eqNullSafe(ids[key]), "left_semi")
+    # only rows whose id repeats meet again, if there are any
+    return at(once) if more.isEmpty() else at(once).unionByName(at(more).dropDuplicates([id_col]))
