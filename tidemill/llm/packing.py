@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, only, remember, tasks
+from tidemill.llm.common import cut, only, remember, short_batches, tasks
 
 MEMO = 300_000
 
@@ -192,7 +192,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     docs, id_name, id_col = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), id_col, "_id"
     text_col = "_text"
     salts = tasks(spark)
-    made = cut(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")), "pieces")
+    found = pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    with short_batches(spark):
+        made = cut(found, "pieces")
     # a length that a third of all pieces share is ranked in as many parts as there are salts, rows that repeat one id too
     sums = cut(made.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
