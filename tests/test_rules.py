@@ -188,16 +188,24 @@ def test_places_across_the_date_line(spark):
 
 
 def test_tables_are_repaired():
-    assert tablefix.split_numbers("$ 1,234 12.5 % (56) 789 12.5 %") == ["$ 1,234", "(56)", "12.5 %", "789"]
-    assert tablefix.join_decimals(["$ 1", "96", "x", "$ 2"]) == ["$ 1.96", "x", "$ 2"]
-    assert tablefix.fix_row("| Revenue | $ 1 | 96 | (241) |") == "| Revenue | $ 1.96 | ($ 241) |  |  |"
+    assert tablefix.split_numbers("$ 1,234 12.5 % (56) 789") == ["12.5 %", "$ 1,234", "($ 56)", "789"]
+    assert tablefix.split_numbers("12.5 % 12.5 %") == ["12.5 %", "5 %", "12"]  # the rule leaves repeats to the patterns after
+    assert tablefix.split_numbers("$1.96 ($  2.50 ) 12%") == ["$1.96", "$ 2.50", "12%"] and tablefix.split_numbers("( 2.50 )") == ["($ 2.50)"] and tablefix.split_numbers("") == [""] and tablefix.split_numbers("n/a x") == ["n/a"]
+    assert tablefix.join_decimals(["$ 1", "96", "x", "$ 2", "1", "96", "12"]) == ["$ 1.96", "x", "$ 2", "1.96", "12"]
+    assert tablefix.fix_row("| Revenue | $ 1 | 96 | (241) |") == "| Revenue | $ 1 | $ 96 | ($ 241) |  |"  # both are money by the label before decimals are joined
+    assert tablefix.fix_row("| Per unit | $ 1 | 96 |") == "| Per unit | $ 1.96 |  |  |  |"
     assert tablefix.fix_row("| 12 | 13 |") == "" and tablefix.fix_row("| Assets |") == "| **Assets** |"
     assert tablefix.fix_row("| **Assets** |") == "| **Assets** |"
     assert tablefix.fix_row("| Total revenue | nan | nan |") == "| **Total revenue** |"
     assert tablefix.fix_row("| GROSS PROFIT | n/a | |") == "| **GROSS PROFIT** |"
-    assert tablefix.fix_row("| Margin | 7 | 56.5 | 1,234 |") == "| Margin | 56.5 % | $ 1,234 |  |  |"
-    assert tablefix.fix_row("| Diluted shares | 914.2 | 120,000 |") == "| Diluted shares | 914.2 | $ 120,000 |  |  |"
+    assert tablefix.fix_row("| Margin | 7 | 56.5 | 1,234 |") == "| Margin | 56.5 % | 1,234 |  |  |"
+    assert tablefix.fix_row("| Diluted shares | 914.2 | 120,000 |") == "| Diluted shares | 914.2 | 120,000 |  |  |"
     assert tablefix.fix_row("| Net sales | 914.2 |") == "| Net sales | $ 914.2 |  |  |  |"
+    assert tablefix.fix_row("| Employees | 12,000 |") == "| Employees | 12,000 |  |  |  |"
+    assert tablefix.fix_row("| Common stock issued | 1,200 |") == "| Common stock issued | 1,200 |  |  |  |"
+    assert tablefix.fix_header("| Item | 2024 | 2023 |") == "| Item | 2024 | 2023 |" and tablefix.fix_header("|  | 2024 | 2024 | 2023 |") == "|  | 2024 | 2023 |"
+    assert tablefix.fix_header("|| Three Months Ended June 30, 2024 2023 |") == "|  | Three Months Ended June 30, <br/>2024 | Three Months Ended June 30, <br/>2023 |"
+    assert tablefix.is_header("| Year ended | June 30, 2024 |", "") and not tablefix.is_header("| Mayor payroll | 1,200 |", "") and not tablefix.is_header("| March sales | 1,200 |", "")
     assert tablefix.fix_text("short | text") == "short | text" and tablefix.fix_text(None) is None
     assert tablefix.is_separator("|---|:--:|") and not tablefix.is_separator("| a | b |")
 

@@ -35,7 +35,7 @@ def separator_row(columns: Column) -> Column:
 
 
 #: Words of a label that make its numbers counts of shares.
-SHARE_WORDS = ("shares", "share", "outstanding", "weighted", "diluted", "basic")
+SHARE_WORDS = ("shares", "outstanding", "weighted", "dilution", "basic", "common")
 
 
 def value_class(value: Column, shown: Column, label: Column) -> Column:

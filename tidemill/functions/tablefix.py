@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.cleaning import SHARE_WORDS
+
 #: Documents below this length stay as they are.
 SHORT = 100
 #: Values of a row.
@@ -17,22 +19,54 @@ WIDTH = 4
 DATE_WORDS = ("months ended", "year ended", "quarter", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Words in the first cell of a section row.
 SECTION_WORDS = ("revenue", "gross profit", "expense", "income", "earnings", "shares outstanding", "discontinued operations", "cash flow", "balance sheet", "assets", "liabilities", "equity")
-#: Words of a label whose decimals from 100 to 50,000 count shares.
-SHARE_WORDS = frozenset(("shares", "outstanding", "weighted", "dilution", "basic", "common"))
-#: Most specific first: what a crammed cell may hold.
-NUMBERS = [re.compile(p) for p in (r"\(\$\s*[\d,]+(?:\.\d+)?\)", r"\$\s*[\d,]+(?:\.\d+)?", r"\([\d,]+(?:\.\d+)?\)", r"\d+(?:\.\d+)?\s*%", r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", r"\d+\.\d+", r"\d{2,}", r"\d")]
+#: Words of a label whose numbers are no money.
+OTHER_WORDS = frozenset((
+    "shares", "outstanding", "weighted", "average", "dilution", "basic", "common", "preferred", "treasury", "issued", "authorized",
+    "margin", "rate", "ratio", "percentage", "%", "percent", "return", "yield", "growth", "change", "count", "number", "quantity", "units", "volume",
+    "multiple", "factor", "index", "score", "days", "months", "years", "quarters", "periods", "employees", "headcount", "locations", "stores",
+))
+#: Words of a label whose numbers are money.
+MONEY_WORDS = frozenset((
+    "revenue", "sales", "income", "earnings", "expense", "cost", "expenditure", "spending", "profit", "ebitda", "ebit", "software", "consulting", "infrastructure", "financing",
+    "hardware", "services", "products", "assets", "liabilities", "equity", "cash", "debt", "receivables", "inventory", "goodwill", "tax", "interest", "s,g&a", "r,d&e", "r&d",
+))
+#: Parts of a label whose row is one of money, and whose plain or grouped numbers are.
+ROW_PARTS = ("revenue", "income", "profit", "expense", "cost", "tax", "software", "consulting", "infrastructure", "financing", "other", "total", "gross", "net", "s,g&a", "r,d&e", "interest")
+PLAIN_PARTS = ("other", "revenue", "income", "expense")
+GROUPED_PARTS = ("revenue", "income", "expense", "profit", "total")
+#: What a crammed cell may hold, most specific first.
+NUMBERS = (
+    r"\$\s*\d+\.\d+",
+    r"\(\s*\$?\s*\d+\.\d+\s*\)",
+    r"\d+\.\d+\s*%",
+    r"\$\s*[\d,]+",
+    r"\(\s*\$?\s*[\d,]+\s*\)",
+    r"\d+\s*%",
+    r"\b\d{1,3}(?:,\d{3})*\.\d+\b",
+    r"\b\d{1,3}(?:,\d{3})*\b",
+)
+_YEARS = r"(?:19|20)\d\d"
+
+
+def spaced(value: str) -> str:
+    """`$1` as `$ 1` if there was a blank, `( 1 )` and `($1)` as `($ 1)`."""
+    value = re.sub(r"^\$\s+", "$ ", value.strip())
+    inner = re.fullmatch(r"\(\s*\$?\s*(.*?)\s*\)", value)
+    return f"($ {inner[1]})" if inner else value
 
 
 def split_numbers(cell: str) -> list[str]:
-    """The numbers of a cell in order of pattern; each find leaves the text before the next pattern; repeats go."""
+    """The numbers of a cell in order of pattern; each that is new leaves the text before the next pattern, repeats stay in it.
+
+    A cell without a number gives its words of more than one sign, an empty one the empty string.
+    """
     out: list[str] = []
     for p in NUMBERS:
-        for m in p.findall(cell):
-            value = re.sub(r"\s+", " ", m.strip())
-            if value not in out:
+        for found in re.findall(p, cell):
+            if (value := spaced(found)) not in out:
                 out.append(value)
-        cell = p.sub(" ", cell)
-    return out
+                cell = cell.replace(found, " ", 1)
+    return out or list(dict.fromkeys(w for w in cell.split() if len(w) > 1)) or [""]
 
 
 def cells_of(line: str) -> list[str]:
@@ -49,10 +83,11 @@ def is_separator(line: str) -> bool:
 
 
 def join_decimals(values: list[str]) -> list[str]:
+    """`$ 1` or a number of up to two digits, and a cell of two digits after it, are one value: `$ 1.96`, `1.96`."""
     out: list[str] = []
     for v in values:
-        if out and re.fullmatch(r"\$ \d+", out[-1]) and re.fullmatch(r"\d{2}", v):
-            out[-1] += f".{v}"
+        if out and re.fullmatch(r"\$\s*\d+|\d{1,2}", out[-1]) and re.fullmatch(r"\d{2}", v):
+            out[-1] = f"{re.sub(r'^[$]\s*', '$ ', out[-1])}.{v}"
         else:
             out.append(v)
     return out
@@ -66,36 +101,65 @@ def is_section(label: str, values: list[str]) -> bool:
     return known and (label.isupper() or label.istitle()) and not any(re.search(r"\d", v) for v in values)
 
 
+def is_money(v: str, label: str) -> bool:
+    """Whether a bare number is money: by the words of its label, else by its size and form."""
+    if not re.fullmatch(r"[(\d,.)]+", v) or not re.fullmatch(r"\d+\.?\d*|\.\d+", digits := re.sub(r"[^\d.]", "", v)):
+        return False
+    n, words = float(digits), set(label.lower().split())
+    share = bool(words & set(SHARE_WORDS)) and 100 <= n <= 50_000 and "." in v
+    if words & OTHER_WORDS or share or (n <= 100 and "." in v):
+        return False
+    return bool(words & MONEY_WORDS) or n >= 10_000 or (n >= 1000 and len(v.partition(".")[2]) == 2) or (n >= 100 and v[0] == "(" and v[-1] == ")")
+
+
+def money(v: str) -> str:
+    if re.fullmatch(r"\(\d+(?:,\d{3})*(?:\.\d+)?\)", v):
+        return f"($ {v[1:]}"
+    return f"$ {v}" if re.fullmatch(r"\d{1,3}(?:,\d{3})*(?:\.\d+)?", v) else v
+
+
 def clean_value(v: str, label: str) -> str | None:
-    """Single digits are fragments (None); a plain decimal between 0 and 100 is a share in per cent; shares of stock stay; else money."""
+    """Single digits are fragments (None); money gets its sign; a plain decimal between 0 and 100 that is left is per cent."""
     if re.fullmatch(r"\d", v):
         return None
-    if re.fullmatch(r"\d+\.\d+", v):
-        n = float(v)
-        if 0 < n < 100:
-            return f"{v} %"
-        if 100 <= n <= 50_000 and SHARE_WORDS & set(label.lower().split()):
-            return v
-    return money(v)
+    v = money(v) if is_money(v, label) else v
+    return f"{v} %" if re.fullmatch(r"\d+\.\d+", v) and 0 < float(v) < 100 else v
 
 
-def money(v: str) -> str:
-    if "$" in v or "%" in v:
+def in_money_row(v: str, label: str) -> str:
+    """A value in a row whose label has a part of ROW_PARTS: there plain, grouped and negative numbers are money too."""
+    low = label.lower()
+    has = lambda parts: any(p in low for p in parts)
+    if not v or not has(ROW_PARTS):
         return v
-    if re.fullmatch(r"\([\d,]+(\.\d+)?\)", v):
-        return f"($ {v[1:]}"
-    return f"$ {v}" if re.fullmatch(r"[\d,]*\d{3,}(\.\d+)?|\d+,[\d,]+(\.\d+)?", v) else v
+    v = money(v) if is_money(v, label) else v
+    plain = re.fullmatch(r"\d+", v) and int(v) >= 10 and has(PLAIN_PARTS)
+    grouped = re.fullmatch(r"\d{1,3}(?:,\d{3})+", v) and has(GROUPED_PARTS)
+    return f"$ {v}" if plain or grouped else money(v) if v[0] == "(" else v
+
+
+def is_header(line: str, below: str) -> bool:
+    """Before a separator, or with whole words of dates or a year by itself in two cells, and without other numbers."""
+    if is_separator(below):
+        return True
+    words = re.search(rf"(?i)\b(?:{'|'.join(DATE_WORDS)})\b", line)
+    return bool(words) and not re.search(r"\d", re.sub(rf"\b{_YEARS}\b|\b(?:{'|'.join(DATE_WORDS[3:])})\s+\d{{1,2}}\b", "", line.lower()))
 
 
 def fix_header(line: str) -> str:
-    """Years once each; `Months Ended` gets a line break before the year."""
-    seen, out = set(), []
-    for c in cells_of(line):
-        if re.fullmatch(r"(19|20)\d\d", c) and c in seen:
-            continue
-        seen.add(c)
-        out.append(re.sub(r"(Months Ended[^|]*?)\s+((?:19|20)\d\d)", r"\1<br/>\2", c))
-    return "|  | " + " | ".join(out) + " |"
+    """Cells stay in their columns; two years in one cell become two columns, repeated cells go, and years after `Months Ended` get a line break."""
+    text = line.strip()
+    cells = [c.strip() for c in text.removeprefix("|").removesuffix("|").split("|")]
+    if text.startswith("||"):
+        cells = ["", *(c for c in cells if c)]
+    out: list[str] = []
+    for c in cells:
+        two = re.fullmatch(rf"(.*?)({_YEARS})\s+({_YEARS})", c)
+        for x in (f"{two[1]}{two[2]}", f"{two[1]}{two[3]}") if two else (c,):
+            x = re.sub(rf"(Months Ended.*?)\s*({_YEARS})$", r"\1 <br/>\2", x)
+            if not x or x not in out:
+                out.append(x)
+    return "| " + " | ".join(out) + " |"
 
 
 def fix_row(line: str) -> str:
@@ -103,10 +167,11 @@ def fix_row(line: str) -> str:
     cells = cells_of(line)
     if not cells or not re.search(r"[^\W\d_]", cells[0]):
         return ""
-    label, values = cells[0], [v for c in cells[1:] for v in (split_numbers(c) if len(split_numbers(c)) > 1 else [c]) if v]
-    if is_section(label, values):
+    label = cells[0]
+    if is_section(label, cells[1:]):
         return f"| {label if label.startswith('**') else f'**{label}**'} |"
-    values = [c for v in join_decimals(values) if (c := clean_value(v, label)) is not None][:WIDTH]
+    values = [c for cell in cells[1:] for v in split_numbers(cell) if (c := clean_value(v, label)) is not None]
+    values = [in_money_row(v, label) for v in join_decimals(values)][:WIDTH]
     return "| " + " | ".join([label, *values, *[""] * (WIDTH - len(values))]) + " |"
 
 
@@ -120,7 +185,7 @@ def fix_text(text: str | None) -> str | None:
             out.append(line)
         elif is_separator(line):
             out.append("|" + "---|" * columns)
-        elif (i + 1 < len(lines) and is_separator(lines[i + 1])) or any(w in line.lower() for w in DATE_WORDS):
+        elif is_header(line, lines[i + 1] if i + 1 < len(lines) else ""):
             out.append(fix_header(line))
             columns = out[-1].count("|") - 1
         else:
