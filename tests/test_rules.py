@@ -213,7 +213,16 @@ def test_tables_are_repaired():
 def test_cleaning(spark):
     assert one(spark, cleaning.markdown_to_text(F.lit("## Head\n| a |  | b |\n|---|---|\n\n\n\n**bold** *it* `code`  x"))) == "Head\na | b\n--- | ---\n\nbold it code x"
     assert one(spark, cleaning.clean_nan(F.lit("| NaN | 1 | nan word\nbanana"))) == "| | 1 | word\nbanana"
-    assert one(spark, cleaning.currency_text(F.lit("(241)"))) == "($ 241)" and one(spark, cleaning.currency_text(F.lit("1,234"))) == "$ 1,234"
+    assert one(spark, cleaning.currency_text(F.lit("(241)"), F.lit(None).cast("string"))) == "($ 241)" and one(spark, cleaning.currency_text(F.lit(" 1,234 "), F.lit("Total cost"))) == "$ 1,234"
+    values = ["(241)", "1,234", "1.96", "12,345", "1,234.50", "(99)", "12.345.6", "$ 5", "5 %", "x", ",", "0", "250.75"]
+    labels = ["Net revenue", "Weighted average shares", "Depreciation", "Basic", "Growth rate", "S,G&A cost", ""]
+    got = spark.createDataFrame([(v, w) for v in values for w in labels], "v string, w string").select("v", "w", cleaning.is_money(F.col("v"), F.col("w")).alias("m")).collect()
+    assert [(r["v"], r["w"]) for r in got if r["m"] != tablefix.is_money(r["v"], r["w"])] == [] and {r["m"] for r in got} == {True, False}
+    assert one(spark, cleaning.currency_text(F.lit("1,234"), F.lit("Common stock issued"))) == "1,234" and one(spark, cleaning.currency_text(F.lit("56"), F.lit("Net revenue"))) == "$ 56"
+    sheet = spark.createDataFrame([(1, " a\n\n b|c", None), (2, None, "nan"), (3, None, " ")], "row long, `x|y` string, z string")
+    assert [r["line"] for r in cleaning.markdown_lines(sheet, "row").orderBy("part", "row").collect()] == ["| **x\\|y** | **z** |", "| --- | --- |", "| a<br>b\\|c |   |", "|   |   |", "|   |   |"]
+    assert "\n".join(r["line"] for r in cleaning.text_lines(sheet, "row", "s").orderBy("part", "row").collect()) == "Sheet: s\nDimensions: 3 rows × 2 columns\n\nCOLUMNS: x|y | z\n" + "-" * 17 + "\n  a |   b|c\n\nnan\n"
+    assert [r["line"] for r in cleaning.text_lines(sheet.where("row > 9"), "row", "s").collect()] == ["Sheet 's' contains no data."]
     assert cleaning.column_names(["\n a\xa0 b ", "", "x" * 60]) == ["a b", "Column_2", "x" * 47 + "..."]
     assert one(spark, cleaning.header_like(F.array(F.lit("nan"), F.lit("a"), F.lit("")))) is True
     assert one(spark, cleaning.markdown_row(F.array(F.lit("a|b"), F.lit(None).cast("string")))) == "| a\\|b |   |"

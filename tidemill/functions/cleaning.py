@@ -36,24 +36,48 @@ def separator_row(columns: Column) -> Column:
 
 #: Words of a label that make its numbers counts of shares.
 SHARE_WORDS = ("shares", "outstanding", "weighted", "dilution", "basic", "common")
+#: Words of a label whose numbers are no money.
+OTHER_WORDS = (
+    "shares", "outstanding", "weighted", "average", "dilution", "basic", "common", "preferred", "treasury", "issued", "authorized",
+    "margin", "rate", "ratio", "percentage", "%", "percent", "return", "yield", "growth", "change", "count", "number", "quantity", "units", "volume",
+    "multiple", "factor", "index", "score", "days", "months", "years", "quarters", "periods", "employees", "headcount", "locations", "stores",
+)
+#: Words of a label whose numbers are money.
+MONEY_WORDS = (
+    "revenue", "sales", "income", "earnings", "expense", "cost", "expenditure", "spending", "profit", "ebitda", "ebit", "software", "consulting", "infrastructure", "financing",
+    "hardware", "services", "products", "assets", "liabilities", "equity", "cash", "debt", "receivables", "inventory", "goodwill", "tax", "interest", "s,g&a", "r,d&e", "r&d",
+)
+
+
+def _has_word(label: Column, words: tuple[str, ...]) -> Column:
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(label), r"\s+"), F.array(*map(F.lit, words))), F.lit(False))
 
 
 def value_class(value: Column, shown: Column, label: Column) -> Column:
     """percentage, shares or currency, for a number as it is shown beside a label."""
-    words = F.split(F.lower(label), " ")
-    share = F.arrays_overlap(words, F.array(*map(F.lit, SHARE_WORDS)))
     point = shown.contains(".")
-    return F.when(shown.contains("%") | ((value >= 0) & (value <= 100) & point), "percentage").when(share & (value >= 100) & (value <= 50_000) & point, "shares").otherwise("currency")
-
-
-def currency_text(shown: Column) -> Column:
-    """`(241)` as `($ 241)`, `1,234` as `$ 1,234`; values that have a sign, and percentages, stay."""
-    return (
-        F.when(shown.contains("$") | shown.contains("%"), shown)
-        .when(shown.rlike(r"^\([\d,]+(\.\d+)?\)$"), F.regexp_replace(shown, r"^\(", r"(\$ "))
-        .when(shown.rlike(r"^[\d,]+(\.\d+)?$"), F.concat(F.lit("$ "), shown))
-        .otherwise(shown)
+    share = _has_word(label, SHARE_WORDS) & (value >= 100) & (value <= 50_000) & point
+    return F.when(shown.contains("%") | ((value >= 0) & (value <= 100) & point), "percentage").when(share, "shares").otherwise("currency")
+
+
+def is_money(shown: Column, label: Column) -> Column:
+    """Whether a bare number is money: by the words of its label (null: none), else by its size and form. Other text and null are not."""
+    n = F.regexp_replace(shown, r"[^\d.]", "").try_cast("double")
+    bare = shown.rlike(r"^[(\d,.)]+$") & n.isNotNull()
+    large = (n >= 10_000) | ((n >= 1000) & shown.rlike(r"^[^.]*\.[^.]{2}$")) | ((n >= 100) & shown.rlike(r"^\(.*\)$"))
+    out = bare & ~_has_word(label, OTHER_WORDS) & (value_class(n, shown, label) == "currency") & (_has_word(label, MONEY_WORDS) | large)
+    return F.coalesce(out, F.lit(False))
+
+
+def currency_text(shown: Column, label: Column) -> Column:
+    """What is money beside its label gets the sign, `(241)` as `($ 241)` and `1,234` as `$ 1,234`; the rest stays, without blanks around."""
+    v = F.regexp_replace(shown, r"^\s+|\s+$", "")
+    signed = (
+        F.when(v.rlike(r"^\(\d+(,\d{3})*(\.\d+)?\)$"), F.concat(F.lit("($ "), F.substr(v, F.lit(2))))
+        .when(v.rlike(r"^\d{1,3}(,\d{3})*(\.\d+)?$"), F.concat(F.lit("$ "), v))
+        .otherwise(v)
     )
+    return F.when(is_money(v, label), signed).otherwise(v)
 
 
 def clean_values(values: Column) -> Column:
@@ -94,11 +118,56 @@ def clean_table(df: DataFrame) -> DataFrame:
     return out.toDF(*column_names(out.columns))
 
 
+def _plain_lines(cell: Column) -> Column:
+    """Lines of a cell with a character in them, hard blanks as blanks, without blanks around."""
+    lines = F.split(F.replace(F.coalesce(cell, F.lit("")), F.lit("\xa0"), F.lit(" ")), "\n")
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def markdown_cell(cell: Column, line_end: str = "<br>") -> Column:
+    """Pipes escaped, lines joined, blanks squeezed; an empty cell, null and `nan` are the empty string."""
+    out = F.regexp_replace(F.replace(F.array_join(_plain_lines(cell), line_end), F.lit("|"), F.lit("\\|")), r"\s+", " ")
+    return F.when(out == "nan", "").otherwise(out)
+
+
 def markdown_row(cells: Column) -> Column:
-    """One table row: pipes escaped, line ends as <br>, blanks squeezed, empty cells as a blank."""
-    fix = lambda c: F.trim(F.regexp_replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")), F.lit("\xa0"), F.lit(" ")), " +", " "))
-    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.when(fix(c) == "", " ").otherwise(fix(c))), " | "), F.lit(" |"))
+    """One table row of clean cells, empty ones as a blank."""
+    shown = F.transform(cells, lambda c: F.when(markdown_cell(c) == "", " ").otherwise(markdown_cell(c)))
+    return F.concat(F.lit("| "), F.array_join(shown, " | "), F.lit(" |"))
 
 
 def text_row(cells: Column) -> Column:
-    return F.array_join(F.filter(cells, lambda c: c.isNotNull() & (c != "")), " | ")
+    """Cells that are not empty, those of several lines line by line and indented."""
+    several = lambda c: F.transform(_plain_lines(c), lambda x: F.concat(F.lit("  "), x))
+    parts = F.transform(cells, lambda c: F.when(c.contains("\n"), several(c)).otherwise(_plain_lines(c)))
+    return F.array_join(F.flatten(parts), " | ")
+
+
+def _sheet(df: DataFrame, order: str) -> tuple[list[str], Column, Column]:
+    names = [c for c in df.columns if c != order]
+    return names, F.array(*[df[c].cast("string") for c in names]), F.lit(None).cast(df.schema[order].dataType)
+
+
+def markdown_lines(df: DataFrame, order: str) -> DataFrame:
+    """(part, row, line) of a sheet as a markdown table: bold column names (part 0), separator (1), a line a row (2).
+
+    The lines of part 2 stand by `order`, which is no column of the sheet; no row is gathered. An empty sheet is its head.
+    """
+    names, cells, none = _sheet(df, order)
+    bold = F.concat(F.lit("| "), F.array_join(F.array(*[F.concat(F.lit("**"), markdown_cell(F.lit(n), " "), F.lit("**")) for n in names]), " | "), F.lit(" |"))
+    head = F.array(F.struct(F.lit(0).alias("part"), bold.alias("line")), F.struct(F.lit(1).alias("part"), F.lit("| " + " | ".join(["---"] * len(names)) + " |").alias("line")))
+    top = df.sparkSession.range(1).select(F.inline(head)).select("part", none.alias("row"), "line")
+    return top.unionAll(df.select(F.lit(2).alias("part"), df[order].alias("row"), markdown_row(cells).alias("line")))
+
+
+def text_lines(df: DataFrame, order: str, sheet: str) -> DataFrame:
+    """(part, row, line) of a sheet as text: its name, size and `COLUMNS:` line (part 0), then rows by `order` (1), each with a blank line after it.
+
+    Rows without a value have no line but count in the size; an empty sheet says that it has no data.
+    """
+    names, cells, none = _sheet(df, order)
+    columns = " | ".join(names)
+    size = F.concat(F.lit(f"Sheet: {sheet}\nDimensions: "), F.col("n").cast("string"), F.lit(f" rows × {len(names)} columns\n\nCOLUMNS: {columns}\n" + "-" * (len(columns) + 10)))
+    top = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("part"), none.alias("row"), F.when(F.col("n") == 0, f"Sheet '{sheet}' contains no data.").otherwise(size).alias("line"))
+    rows = df.select(F.lit(1).alias("part"), df[order].alias("row"), text_row(cells).alias("line")).where("line <> ''")
+    return top.unionAll(rows.withColumn("line", F.concat("line", F.lit("\n"))))

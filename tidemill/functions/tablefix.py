@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.cleaning import SHARE_WORDS
+from tidemill.functions.cleaning import MONEY_WORDS, OTHER_WORDS, SHARE_WORDS
 
 #: Documents below this length stay as they are.
 SHORT = 100
@@ -19,17 +19,6 @@ WIDTH = 4
 DATE_WORDS = ("months ended", "year ended", "quarter", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Words in the first cell of a section row.
 SECTION_WORDS = ("revenue", "gross profit", "expense", "income", "earnings", "shares outstanding", "discontinued operations", "cash flow", "balance sheet", "assets", "liabilities", "equity")
-#: Words of a label whose numbers are no money.
-OTHER_WORDS = frozenset((
-    "shares", "outstanding", "weighted", "average", "dilution", "basic", "common", "preferred", "treasury", "issued", "authorized",
-    "margin", "rate", "ratio", "percentage", "%", "percent", "return", "yield", "growth", "change", "count", "number", "quantity", "units", "volume",
-    "multiple", "factor", "index", "score", "days", "months", "years", "quarters", "periods", "employees", "headcount", "locations", "stores",
-))
-#: Words of a label whose numbers are money.
-MONEY_WORDS = frozenset((
-    "revenue", "sales", "income", "earnings", "expense", "cost", "expenditure", "spending", "profit", "ebitda", "ebit", "software", "consulting", "infrastructure", "financing",
-    "hardware", "services", "products", "assets", "liabilities", "equity", "cash", "debt", "receivables", "inventory", "goodwill", "tax", "interest", "s,g&a", "r,d&e", "r&d",
-))
 #: Parts of a label whose row is one of money, and whose plain or grouped numbers are.
 ROW_PARTS = ("revenue", "income", "profit", "expense", "cost", "tax", "software", "consulting", "infrastructure", "financing", "other", "total", "gross", "net", "s,g&a", "r,d&e", "interest")
 PLAIN_PARTS = ("other", "revenue", "income", "expense")
@@ -106,10 +95,10 @@ def is_money(v: str, label: str) -> bool:
     if not re.fullmatch(r"[(\d,.)]+", v) or not re.fullmatch(r"\d+\.?\d*|\.\d+", digits := re.sub(r"[^\d.]", "", v)):
         return False
     n, words = float(digits), set(label.lower().split())
-    share = bool(words & set(SHARE_WORDS)) and 100 <= n <= 50_000 and "." in v
-    if words & OTHER_WORDS or share or (n <= 100 and "." in v):
+    share = not words.isdisjoint(SHARE_WORDS) and 100 <= n <= 50_000 and "." in v
+    if not words.isdisjoint(OTHER_WORDS) or share or (n <= 100 and "." in v):
         return False
-    return bool(words & MONEY_WORDS) or n >= 10_000 or (n >= 1000 and len(v.partition(".")[2]) == 2) or (n >= 100 and v[0] == "(" and v[-1] == ")")
+    return not words.isdisjoint(MONEY_WORDS) or n >= 10_000 or (n >= 1000 and len(v.partition(".")[2]) == 2) or (n >= 100 and v[0] == "(" and v[-1] == ")")
 
 
 def money(v: str) -> str:

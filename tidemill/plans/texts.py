@@ -77,11 +77,22 @@ def classify_value(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cleaning.value_class(value, _shown(), label).alias("kind"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '($ ' || q || ')' WHEN 1 THEN '$ 1,' || q WHEN 2 THEN q || ' %' ELSE '$ ' || q END AS shown FROM (SELECT *, (l_quantity::INT)::VARCHAR AS q FROM lineitem)""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN k IN (2, 3) OR label = 1 THEN raw WHEN k = 0 AND (label = 0 OR q >= 25) THEN '($ ' || q * 4 || ')' WHEN k = 4 OR (k = 1 AND label = 0) THEN '$ ' || raw ELSE raw END AS shown
+FROM (SELECT *, CASE k WHEN 0 THEN '(' || q * 4 || ')' WHEN 1 THEN '1,' || lpad(q::VARCHAR, 3, '0') WHEN 2 THEN q || ' %' WHEN 3 THEN '$ ' || q ELSE '12,' || lpad(q::VARCHAR, 3, '0') || '.50' END AS raw
+FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, l_linenumber % 5 AS k, l_orderkey % 3 AS label FROM lineitem))""")
 def format_currency(spark, sf_dir):
-    q, k = F.round("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 4
-    raw = F.when(k == 0, F.concat(F.lit("("), q, F.lit(")"))).when(k == 1, F.concat(F.lit("1,"), q)).when(k == 2, F.concat(q, F.lit(" %"))).otherwise(F.concat(F.lit("$ "), q))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cleaning.currency_text(raw).alias("shown"))
+    """Money by the label's word, never beside a word of shares, else by size."""
+    q, k, label = F.round("l_quantity").cast("int"), F.col("l_linenumber") % 5, F.col("l_orderkey") % 3
+    digits = F.lpad(q.cast("string"), 3, "0")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("("), q * 4, F.lit(")")))
+        .when(k == 1, F.concat(F.lit("1,"), digits))
+        .when(k == 2, F.concat(q, F.lit(" %")))
+        .when(k == 3, F.concat(F.lit("$ "), q))
+        .otherwise(F.concat(F.lit("12,"), digits, F.lit(".50")))
+    )
+    words = F.when(label == 0, "Net revenue").when(label == 1, "Weighted average shares").otherwise("Depreciation")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cleaning.currency_text(raw, words).alias("shown"))
 
 
 @query("SELECT p_partkey, CASE WHEN length(s) = 2 THEN '$ 1.' || s || ';next' ELSE '$ 1;' || s || ';next' END AS cells FROM (SELECT p_partkey, p_size::VARCHAR AS s FROM part)")
@@ -113,15 +124,27 @@ def clean_table(spark, sf_dir):
     return cleaning.clean_table(c.select("c_custkey", "c_name", F.when(F.col("c_nationkey") >= 5, F.col("c_nationkey")).alias("nation"), F.lit(None).cast("string").alias("empty")))
 
 
-@query("SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || '\\|x | a<br>b |   |' AS line FROM nation")
+@query("""SELECT 0 AS part, NULL::BIGINT AS row, '| **o_orderkey** | **note \\| text** | **empty** |' AS line UNION ALL SELECT 1, NULL, '| --- | --- | --- |'
+UNION ALL SELECT 2, o_orderkey, '| ' || o_orderkey || ' | ' || o_orderpriority || '\\|x<br>a b |   |' FROM orders""")
 def rows_to_markdown(spark, sf_dir):
-    cells = F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit("|x")), F.lit("a\nb"), F.lit(None).cast("string"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", cleaning.markdown_row(cells).alias("line"))
+    """Orders as a sheet with a column of two lines and one of `nan`."""
+    note = F.concat("o_orderpriority", F.lit("|x \n\n a  b"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("row"), "o_orderkey", note.alias("note | text"), F.lit("nan").alias("empty"))
+    return cleaning.markdown_lines(o, "row")
 
 
-@query("SELECT n_nationkey, n_name || CASE WHEN n_regionkey > 2 THEN ' | ' || n_regionkey ELSE '' END AS line FROM nation")
+@query("""SELECT 0 AS part, NULL::BIGINT AS row, 'Sheet: orders' || chr(10) || 'Dimensions: ' || count(*) || ' rows × 3 columns' || chr(10) || chr(10) || 'COLUMNS: key | empty | note' || chr(10) || repeat('-', length('key | empty | note') + 10) AS line FROM orders
+UNION ALL SELECT 1, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || ' | ' ELSE '' END || '  ' || o_orderpriority || ' |   x' || chr(10) FROM orders WHERE o_orderkey % 3 <> 0""")
 def rows_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", cleaning.text_row(F.array(F.col("n_name"), F.lit(""), F.when(F.col("n_regionkey") > 2, F.col("n_regionkey").cast("string")))).alias("line"))
+    """Orders as a sheet; a third of them have no value."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(
+        key.cast("long").alias("row"),
+        F.when((key % 2 == 0) & (key % 3 != 0), key).alias("key"),
+        F.lit(" ").alias("empty"),
+        F.when(key % 3 != 0, F.concat("o_orderpriority", F.lit("\n\n x "))).alias("note"),
+    )
+    return cleaning.text_lines(o, "row", "orders")
 
 
 @query("SELECT conv_id, array_to_string(list('## ' || turn || chr(10) || text ORDER BY turn), chr(10) || chr(10)) AS text FROM conversations WHERE role <> 'system' GROUP BY 1")
