@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, fingerprints, langid, licenses, neardup, packing, quality, shards, urlgraph, warc
+from tidemill.llm import bpe, fingerprints, langid, licenses, neardup, packing, quality, shards, tokenfiles, urlgraph, warc
 from tidemill.llm.common import new_folder, table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -61,5 +61,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")), payload=False).drop("url", "payload")
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.read(spark, tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_fingerprints, op4_licenses, op5_langid, op6_packing, op7_urls, op8_neardup, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_fingerprints, op4_licenses, op5_langid, op6_packing, op7_urls, op8_neardup, op9_quality, op10_warc, op11_tokens)}
