@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, fingerprints, langid, licenses, neardup, packing, quality, shards, tokenfiles, urlgraph, variants, warc
+from tidemill.llm import bpe, collocations, fingerprints, langid, licenses, neardup, packing, quality, shards, tokenfiles, urlgraph, variants, warc
 from tidemill.llm.common import new_folder, table
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -65,9 +65,13 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(spark, tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), most_words=3, least=10, best=2000, share=50)
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.words(table(spark, sf_dir, "documents"), least_signs=6, least_count=5, spoil=199), times=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_fingerprints, op4_licenses, op5_langid, op6_packing, op7_urls, op8_neardup, op9_quality, op10_warc, op11_tokens, op13_variants)}
+    return {f.__name__: f for f in (op1_bpe, op2_shards, op3_fingerprints, op4_licenses, op5_langid, op6_packing, op7_urls, op8_neardup, op9_quality, op10_warc, op11_tokens, op12_collocations, op13_variants)}
