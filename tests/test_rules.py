@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import cleaning, formats, tablefix
-from tidemill.operators import changes, documents, geo, index, metrics, retrieve, sessions
+from tidemill.operators import changes, documents, geo, index, metrics, neighbours, retrieve, sessions
 from tidemill.plans import tables
 from tidemill.sources import files
-from tidemill.storage import work_folder
+from tidemill.storage import cut, work_folder
 from tidemill.streaming import feeds
 
 
@@ -157,20 +157,69 @@ def test_text_files_are_of_bounded_size(spark, monkeypatch):
     assert plain(spark, seen[0])[0].count() > 8
 
 
-def test_lsh_recall(spark):
-    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = {(r["query_id"], r["id"]): r["score"] for r in retrieve.similar_all(v, 5, 0.1, 64).collect()}
-    rows = v.collect()
+def _cosines(rows):
     x = np.array([r["vector"] for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T
+    s = np.round(x @ x.T, 6)
     np.fill_diagonal(s, -2)
+    return s
+
+
+def test_similar_vectors_of_all(spark):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = {(r["query_id"], r["id"]): r["score"] for r in neighbours.similar_all(v, 5, 0.1).collect()}
+    rows = v.collect()
+    s = _cosines(rows)
     exact = [(rows[i]["id"], rows[j]["id"]) for i in range(len(rows)) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.1]
     assert np.mean([p in found for p in exact]) >= 0.9
     at = {r["id"]: i for i, r in enumerate(rows)}
     assert all(abs(s[at[a], at[b]] - c) < 1e-5 for (a, b), c in found.items())
 
 
+def _clustered(n, dims=16, seed=0):
+    """Vectors around as many centres as there are tens of them."""
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal((max(n // 20, 1), dims))
+    return (c[rng.integers(len(c), size=n)] + 0.25 * rng.standard_normal((n, dims))).astype(np.float32)
+
+
+def test_similarity_search_grows_below_the_square(spark, monkeypatch):
+    """Comparisons over three sizes, and what the search finds against all pairs."""
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    work = []
+    for n in (900, 2700, 8100):
+        x = _clustered(n)
+        v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "id long, vector array<float>")
+        packed, kind = neighbours._packed(v)
+        search = neighbours.fit(cut(packed), kind, 5, 0.1, 0.95)
+        assert search.depth <= neighbours.SCAN * len(search.centres)
+        home = cut(retrieve.top(neighbours.compare(search.homes, search.homes, 5, 0.1, kind), "query_id", 5).drop("rank"))
+        visits = neighbours.visits(search, home, 5, 0.1).select("cell").unionByName(search.homes.select("cell"))
+        each = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("q")).join(search.homes.groupBy("cell").agg(F.count(F.lit(1)).alias("h")), "cell")
+        work.append(each.agg(F.sum(F.col("q") * F.col("h"))).first()[0] + n * len(search.centres))
+        if n == 2700:
+            got = {(r["query_id"], r["id"]) for r in neighbours.similar_all(v, 5, 0.1).collect()}
+            s = _cosines([{"vector": r} for r in x.astype(float)])
+            true = {(i, int(j)) for i in range(n) for j in np.argsort(-s[i], kind="stable")[:5] if s[i, j] >= 0.1}
+            assert len(got & true) / len(true) >= 0.9
+    assert all(b < a * 3**1.6 for a, b in zip(work, work[1:], strict=False)), work
+
+
+def test_similar_vectors_among_many_copies(spark, monkeypatch):
+    """A third of all vectors are one; others have none, no length, or a copy or two. All are scanned, so nothing is missed."""
+    monkeypatch.setattr(neighbours, "SCAN", -1)
+    rng = np.random.default_rng(2)
+    x = [[1.0, 2.0, 3.0, 4.0]] * 300 + rng.standard_normal((500, 4)).tolist() + [[2.0, 4.0, 6.0, 8.0], [0.0] * 4, None]
+    x += x[400:420]
+    rows = [(i, v) for i, v in enumerate(x)]
+    got = neighbours.similar_all(spark.createDataFrame([*rows, rows[5], rows[350], (None, [1.0, 1.0, 1.0, 1.0])], "id long, vector array<double>"), 4, 0.2).collect()
+    live = [{"id": i, "vector": v} for i, v in rows if v and any(v)]
+    s = _cosines(live)
+    want = {(live[i]["id"], live[j]["id"], k + 1) for i in range(len(live)) for k, j in enumerate(np.lexsort((np.arange(len(live)), -s[i]))[:4]) if s[i, j] >= 0.2}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want and len({(r["query_id"], r["rank"]) for r in got}) == len(want)
+    assert neighbours.similar_all(spark.createDataFrame([], "id long, vector array<float>"), 4, 0.2).count() == 0
+
+
 def test_places_across_the_date_line(spark):
     rng = np.random.default_rng(4)
     pts = [(i, float(rng.uniform(-180, 180)), float(rng.uniform(-85, 85))) for i in range(1500)] + [(5000, 179.99, 10.0), (5001, -179.99, 10.0)]

@@ -11,7 +11,6 @@ from functools import reduce
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -240,43 +239,3 @@ def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: fl
         return top(scored, "query_id", k)
 
     return by_blocks(asked, answer, 16 * QUERIES_AT_ONCE)
-
-
-def planes(dims: int, tables: int, bits: int, seed: int = 3) -> list[list[list[float]]]:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dims)).round(4).tolist()
-
-
-def similar_all(vectors: DataFrame, k: int, threshold: float, dims: int, tables: int = 56, bits: int = 6, block: int = 1024) -> DataFrame:
-    """(query_id, id, score, rank): for every vector its most similar others, by random-plane buckets and exact cosine.
-
-    Vectors in a bucket are compared in blocks of bounded size by matrix products; each block pair keeps the
-    k best of each vector, so no list of all pairs is made.
-    """
-    p = np.array(planes(dims, tables, bits))
-    weights = 1 << np.arange(bits)
-
-    @F.pandas_udf("array<long>")
-    def buckets(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, dims))
-        signs = np.einsum("tbd,nd->ntb", p, x) > 0
-        return pd.Series(((signs * weights).sum(2) + np.arange(tables) * (1 << bits)).tolist())
-
-    spread = vectors.select("id", "vector", F.explode(buckets("vector")).alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    own = spread.join(F.broadcast(sizes), "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
-    dealt = own.withColumn("at", F.explode(meet)).select("bucket", "at.i", "at.j", "id", "vector", (F.col("own") == F.col("at.i")).alias("left"))
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["vector"].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        ids, s = g["id"].to_numpy(), x @ x.T
-        np.fill_diagonal(s, -2)
-        n = min(k, len(ids))
-        best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        rows = np.repeat(np.arange(len(ids)), n)
-        out = pd.DataFrame({"query_id": ids[rows], "id": ids[best.ravel()], "score": s[rows, best.ravel()].round(6)})
-        return out[out["score"] >= threshold]
-
-    found = dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "query_id long, id long, score double").distinct()
-    return top(found, "query_id", k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import geo, index, retrieve
+from tidemill.operators import geo, index, neighbours, retrieve
 from tidemill.storage import cut, table
 
 QUERIES: dict = {}
@@ -134,7 +134,7 @@ def similar_documents(spark, sf_dir):
 @query()
 def similar_all_lsh(spark, sf_dir):
     v, _ = _vectors(spark, sf_dir)
-    return retrieve.similar_all(v, 5, 0.1, 64)
+    return neighbours.similar_all(v, 5, 0.1)
 
 
 @query(f"""WITH {_Q}, p AS (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY ALL),
