@@ -12,7 +12,7 @@ from tidemill.operators import changes, documents, geo, index, metrics, neighbou
 from tidemill.plans import tables
 from tidemill.sources import files
 from tidemill.storage import cut, work_folder
-from tidemill.streaming import feeds
+from tidemill.streaming import changesets, feeds
 
 
 def one(spark, column):
@@ -336,13 +336,13 @@ def test_dates_and_decimals_survive_a_round_trip(spark):
 def test_a_batch_that_runs_again_changes_nothing(spark):
     """Batches by hand, as a restarted stream gives them: the last one twice, with a new object for the table each time."""
     path, schema = work_folder(spark, "versions"), "k long, v string"
-    made = lambda: feeds.Versions(spark, path, spark.createDataFrame([], schema).schema, "k", 4)
+    made = lambda: changesets.ChangeSets(spark, path, spark.createDataFrame([], schema).schema, "k")
     made().start(spark.createDataFrame([(7, "start"), (8, "other")], schema))
 
     def apply(number, rows):
         t, new = made(), spark.createDataFrame(rows, schema)
-        parts = feeds._touched(t, new)
-        t.put(changes.upsert(t.now(number, parts), new.withColumn("seq", F.lit(number)), "k", "seq"), number, parts)
+        parts = t.touched(new, number)
+        t.put(changes.upsert(t.now(number, parts).join(new.select("k"), "k", "left_semi"), new.withColumn("seq", F.lit(number)), "k", "seq"), number)
 
     for number, rows in ((0, [(1, "a")]), (1, [(2, "b"), (7, "new")]), (1, [(2, "b"), (7, "new")])):
         apply(number, rows)
@@ -351,6 +351,38 @@ def test_a_batch_that_runs_again_changes_nothing(spark):
     assert {r["k"]: r["v"] for r in made().now().collect()} == {1: "a", 2: "other try", 7: "start", 8: "other"}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 28, 20_000])
+def test_change_sets_write_what_changes(spark, monkeypatch, part_bytes):
+    """Batches of random keys: what is written follows the batch, whatever the table's size; folds and splits keep every row; a batch runs again."""
+    monkeypatch.setattr(changesets, "PART_BYTES", part_bytes)
+    rng = np.random.default_rng(5)
+    path, schema = work_folder(spark, "sets"), "k long, v long"
+    t = changesets.ChangeSets(spark, path, spark.createDataFrame([], schema).schema, "k")
+    t.start(spark.range(20_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("v")))
+    want = {r["k"]: r["v"] for r in t.now().collect()}
+    assert len(want) == 20_000 and (len(t.live(t.listing(), None)) > 3) == (part_bytes < 1 << 28)
+    whole, written = t._bytes([path]), 0
+    for number in range(5):
+        keys = rng.choice(25_000, 100, replace=False).tolist()
+        rows, gone = [(k, number * 1000 + k) for k in keys[:80]], keys[80:]
+        for again in range(2 if number == 3 else 1):
+            before = {p: {k: set(v) for k, v in own.items()} for p, own in t.listing().items()} if again == 0 else before
+            t.put(spark.createDataFrame(rows if again or number != 3 else rows[:5], schema), number, spark.createDataFrame([(k, 0) for k in gone], schema))
+        now = t.listing()
+        assert all(number in ns or set(ns) <= before.get(p, {}).get(kind, set()) for p, own in now.items() for kind, ns in own.items())
+        written += sum(t._bytes([f"{path}/_part=p{p}/changes={number}"]) for p, own in now.items() if number in own["changes"])
+        want |= dict(rows)
+        for k in gone:
+            want.pop(k, None)
+        assert {r["k"]: r["v"] for r in t.now().collect()} == want
+    assert written < whole or part_bytes < 1 << 28
+    monkeypatch.setattr(changesets, "SHARE", 0.0)  # every batch folds what it touches
+    t.put(spark.createDataFrame([(1, 1)], schema), 5)
+    assert {r["k"]: r["v"] for r in t.now().collect()} == want | {1: 1}
+    assert {r["k"]: r["v"] for r in t.now(5).collect()} == want
+    assert any(5 in own["base"] for own in t.listing().values())
+
+
 def test_feeds_go_on_after_a_restart(spark):
     path, out, state = (work_folder(spark, x) for x in ("in", "out", "state"))
     schema = "k long, seq long, op string, v string"
@@ -425,11 +457,14 @@ def test_computed_values(spark):
     assert documents.find(df, {"s": {"$not": {"$regex": "^y"}}}).count() == 1
 
 
-def test_many_changes_of_a_key_are_folded_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr(changes, "SEQ_RANGE", 3)
+@pytest.mark.parametrize(("fan", "count", "apart"), [(3, 200, 1), (4, 200, 977), (1024, 100_000, 86_399_977)])
+def test_many_changes_of_a_key_are_composed_level_by_level(spark, monkeypatch, fan, count, apart):
+    """A third of the operations, or nearly all, are of one key; their numbers are far apart."""
+    monkeypatch.setattr(changes, "FAN", fan)
     rng = np.random.default_rng(11)
     start = {k: f"s{k}" for k in range(6)}
-    ops = [(int(rng.integers(0, 12)) if n % 3 else 0, n, str(rng.choice(["insert", "update", "delete", "upsert", "none"])), f"v{n}") for n in range(200)]
+    kinds = rng.choice(["insert", "update", "delete", "upsert", "none"], count).tolist()
+    ops = [(int(rng.integers(0, 12)) if n % (3 if count < 1000 else 50) == 1 else 0, n * apart - 7, kinds[n], f"v{n}") for n in range(count)]
     now, n = dict(start), dict.fromkeys(changes.KINDS, 0)
     for k, _, op, v in ops:
         if op == "upsert" or (op == "insert" and k not in now) or (op == "update" and k in now):
@@ -439,7 +474,11 @@ def test_many_changes_of_a_key_are_folded_in_ranges(spark, monkeypatch):
         else:
             continue
         n[op] += 1
-    t, c = spark.createDataFrame(list(start.items()), "k int, v string"), spark.createDataFrame(ops, "k int, seq int, op string, v string")
+    t, c = spark.createDataFrame(list(start.items()), "k int, v string"), spark.createDataFrame(ops, "k int, seq long, op string, v string")
+    lo, levels = changes._levels(c, "seq")
+    for level in range(levels):  # what is composed as one list
+        own = c.select("k", changes._place("seq", lo, level).alias("at")).distinct().groupBy("k", F.floor(F.col("at") / fan)).count()
+        assert own.agg(F.max("count")).first()[0] <= fan
     assert {r["k"]: r["v"] for r in changes.apply_changes(t, c, "k").collect()} == now
     assert changes.change_counts(t, c, "k").first().asDict() == {"inserted": n["insert"], "updated": n["update"], "deleted": n["delete"], "upserted": n["upsert"]}
     assert changes.apply_changes(t, c.limit(0), "k").count() == 6 and changes.change_counts(t, c.limit(0), "k").first()["deleted"] == 0
@@ -472,6 +511,24 @@ def test_names_are_unique(spark):
     assert got == want and len(set(got)) == len(got)
 
 
+def test_names_are_unique_where_a_stem_is_hot(spark):
+    """Many arrivals of one name, and many numbers that files brought for it: in blocks, with gaps, and with leading ones."""
+    names = ["a.txt"] * 700 + [f"a_{m}.txt" for m in (*range(1, 40), 41, 43, *range(100, 300), 5000)] + ["a_7.txt"] * 5
+    rng = np.random.default_rng(8)
+    rng.shuffle(names)
+    got = [r["unique"] for r in changes.unique_names(spark.createDataFrame(list(enumerate(names)), "n long, name string"), "name", "n", spread=8).orderBy("n").collect()]
+    brought, want, seen, free = set(names), [], set(), {}
+    for x in names:
+        if x in seen:
+            k = free.get(x, 1)
+            while f"{x[:-4]}_{k}.txt" in brought:
+                k += 1
+            free[x], x = k + 1, f"{x[:-4]}_{k}.txt"
+        seen.add(x)
+        want.append(x)
+    assert got == want and len(set(got)) == len(got)
+
+
 def test_json_paths(spark):
     df = spark.createDataFrame([('{"a": {"b": true, "c d": "x"}, "l": ["p", "q"]}',), ("broken",), (None,)], "j string")
     hits = lambda c: [r["v"] for r in df.select(c.alias("v")).collect()]

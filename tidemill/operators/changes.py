@@ -58,41 +58,62 @@ def delete_counts(df: DataFrame, where: Column) -> DataFrame:
     return df.agg(n.alias("deleted"), (F.count(F.lit(1)) - n).alias("left"))
 
 
-#: Operations of one key that are folded as one list, by ranges of seq; the lists' results are folded after that.
-SEQ_RANGE = 1000
+#: Operations, or composed ones, of one key that are composed as one list at most.
+FAN = 1024
 KINDS = ("insert", "update", "delete", "upsert")
 
 
+def _place(seq: str, lo: int | None, level: int) -> Column:
+    """The stretch of sequence numbers that an operation is in at a level: each has FAN of those below it. Null numbers are the first."""
+    own = F.coalesce(F.floor(F.col(seq)).cast("long") - F.lit(lo or 0) + 1, F.lit(0).cast("long"))
+    return F.floor(own / FAN**level).cast("long")
+
+
+def _levels(changes: DataFrame, seq: str) -> tuple[int | None, int]:
+    """(smallest sequence number, levels until all numbers are one stretch)."""
+    lo, hi = changes.agg(F.floor(F.min(seq)).cast("long"), F.floor(F.max(seq)).cast("long")).first()
+    levels, reach = 1, FAN
+    while lo is not None and reach <= hi - lo + 1:
+        levels, reach = levels + 1, reach * FAN
+    return lo, levels
+
+
 def _folded(target: DataFrame, changes: DataFrame, key: str, seq: str, op: str) -> DataFrame:
     """(key, _now, _s): each key's row before, and the state after: here, row, and how many operations of each kind took effect.
 
-    A range of operations is folded twice, for a key that is absent before it and for one that is there, so ranges of one key are
-    folded apart from each other and a hot key is many short lists.
+    An operation is a pair of transitions, one from a key that is absent and one from a key that is there, with what took effect; such
+    pairs compose to such pairs. They do so level by level over ever longer stretches of sequence numbers, of which one list never has
+    more than FAN, however many operations a key has and however far apart their numbers are (but for equal numbers of one key).
     """
     cols = [c for c in target.columns if c != key]
     kind = row_type(target, cols)
     row = F.struct(*cols)
-    zero = F.lit(0).cast("long")
-    begin = lambda here: F.struct(here.alias("here"), F.lit(True).alias("same"), F.lit(None).cast(kind).alias("row"), *[zero.alias(k) for k in KINDS])
+    begin = lambda here: F.struct(here.alias("here"), F.lit(True).alias("same"), F.lit(None).cast(kind).alias("row"), *[F.lit(0).cast("long").alias(k) for k in KINDS])
+    pair = lambda absent, there: F.struct(absent.alias("absent"), there.alias("there"))
 
-    def step(s: Column, o: Column) -> Column:
-        does = {"insert": (o["op"] == "insert") & ~s["here"], "update": (o["op"] == "update") & s["here"], "delete": (o["op"] == "delete") & s["here"], "upsert": o["op"] == "upsert"}
+    def one(here: bool) -> Column:
+        """The state that one operation leaves of a key that is there, or is not."""
+        at = F.col(op)
+        does = {"insert": (at == "insert") & F.lit(not here), "update": (at == "update") & F.lit(here), "delete": (at == "delete") & F.lit(here), "upsert": at == "upsert"}
         writes = does["insert"] | does["update"] | does["upsert"]
-        return F.struct(
-            ((s["here"] & ~does["delete"]) | writes).alias("here"), (s["same"] & ~writes & ~does["delete"]).alias("same"),
-            F.when(writes, o["row"].cast(kind)).when(~does["delete"], s["row"]).alias("row"), *[(s[k] + does[k].cast("long")).alias(k) for k in KINDS],
-        )
-
-    ranges = changes.where(F.col(op).isin(*KINDS)).groupBy(key, F.floor(F.col(seq) / SEQ_RANGE).alias("_range")).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(op).alias("op"), row.alias("row")))).alias("_ops"))
-    both = ranges.select(key, F.struct("_range", F.aggregate("_ops", begin(F.lit(False)), step).alias("absent"), F.aggregate("_ops", begin(F.lit(True)), step).alias("there")).alias("_f"))
-    lists = both.groupBy(key).agg(F.sort_array(F.collect_list("_f")).alias("_fs"))
+        return F.struct(((F.lit(here) & ~does["delete"]) | writes).alias("here"), (~writes & ~does["delete"]).alias("same"), F.when(writes, row.cast(kind)).alias("row"), *[does[k].cast("long").alias(k) for k in KINDS])
 
     def after(s: Column, f: Column) -> Column:
         g = F.when(s["here"], f["there"]).otherwise(f["absent"])
         return F.struct(g["here"].alias("here"), (s["same"] & g["same"]).alias("same"), F.when(g["same"], s["row"]).otherwise(g["row"]).alias("row"), *[(s[k] + g[k]).alias(k) for k in KINDS])
 
-    joined = target.select(key, row.alias("_now")).join(lists, key, "full")
-    state = F.aggregate(F.coalesce("_fs", F.array().cast(lists.schema["_fs"].dataType)), begin(F.col("_now").isNotNull()), after)
+    known = changes.where(F.col(op).isin(*KINDS))
+    lo, levels = _levels(known, seq)
+    # of equal numbers the operation and the row decide, as they always did
+    steps = known.select(key, _place(seq, lo, 0).alias("_at"), F.struct(F.col(seq).alias("seq"), F.col(op).alias("op"), row.alias("row")).alias("_by"), pair(one(False), one(True)).alias("_f"))
+    for level in range(1, levels + 1):
+        up = F.floor(F.col("_at") / FAN) if level < levels else F.lit(0)
+        lists = steps.groupBy(key, up.cast("long").alias("_up")).agg(F.sort_array(F.collect_list(F.struct("_at", "_by", "_f"))).alias("_fs"))
+        folded = F.aggregate("_fs", pair(begin(F.lit(False)), begin(F.lit(True))), lambda s, x: pair(after(s["absent"], x["_f"]), after(s["there"], x["_f"])))
+        steps = lists.select(key, F.col("_up").alias("_at"), F.lit(None).cast(steps.schema["_by"].dataType).alias("_by"), folded.alias("_f"))
+    joined = target.select(key, row.alias("_now")).join(steps.select(key, "_f"), key, "full")
+    start = begin(F.col("_now").isNotNull())
+    state = F.when(F.col("_f").isNull(), start).otherwise(after(start, F.col("_f")))
     return joined.select(key, F.col("_now").cast(kind).alias("_now"), state.alias("_s"))
 
 
@@ -119,18 +140,41 @@ def row_type(df: DataFrame, cols: list[str]) -> str:
 
 def unique_names(files: DataFrame, name: str, order: str, spread: int = 4096) -> DataFrame:
     """Adds unique: the name, or for a name that came before `stem_n.ext` with the smallest n, in order of arrival, that no file brought
-    with it. A hot name is numbered in parts of so many arrivals (order is a whole number): counts before, then within."""
+    with it.
+
+    A hot name is numbered in parts of so many arrivals (order is a whole number): counts before, then within. The numbers
+    that files brought leave stretches of free ones, and an arrival finds its stretch by a join on pieces of them, so neither the
+    arrivals nor the brought numbers of one name meet in one place.
+    """
     part = F.floor(F.col(order) / spread)
     sums = files.groupBy(name, part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
     before = sums.select(F.col(name).alias("_name"), F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = files.withColumn("_part", part).withColumn("_own", F.row_number().over(Window.partitionBy(name, "_part").orderBy(order)))
     n = own.join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_p"))).withColumn("_n", F.col("_before") + F.col("_own") - 1).drop("_part", "_p", "_own", "_before", "_name")
     pattern = r"^(.*)_([1-9]\d{0,8})(\.[^.]*)?$"
-    brought = files.select(F.regexp_extract(name, pattern, 1).alias("_stem"), F.regexp_extract(name, pattern, 2).alias("_m"), F.regexp_extract(name, pattern, 3).alias("_ext")).where("_m != ''").distinct()
-    taken = brought.groupBy(F.concat("_stem", "_ext").alias("_of")).agg(F.sort_array(F.collect_set(F.col("_m").cast("long"))).alias("_taken"))
-    # of the numbers that files brought, each that is among the first n moves the n-th free one up by one
-    up = F.size(F.filter(F.transform("_taken", lambda m, i: m - i - 1), lambda f: f < F.col("_n")))
+    at = lambda k: F.regexp_extract(name, pattern, k)
+    brought = files.select(F.concat(at(1), at(3)).alias("_of"), at(2).alias("_m")).where("_m != ''").select("_of", F.col("_m").cast("long").alias("_m")).distinct()
+    # the i-th brought number m, counted from 0 within its name, has m - i - 1 free ones before it: from there on i + 1 are to be skipped
+    block = F.floor(F.col("_m") / spread)
+    inside = Window.partitionBy("_of", "_b").orderBy("_m")
+    counted = brought.withColumn("_b", block)
+    earlier = counted.groupBy("_of", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_of").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = counted.withColumn("_i", F.row_number().over(inside)).join(earlier.drop("_c"), ["_of", "_b"])
+    skips = ranked.select("_of", (F.col("_m") - F.col("_before") - F.col("_i")).alias("_from"), (F.col("_before") + F.col("_i")).alias("_skip"))
+    skips = skips.groupBy("_of", "_from").agg(F.max("_skip").alias("_skip"))
+    # arrivals and steps of a name in order of their place, in pieces: the last step at or before the arrival, by sums of maxima
+    piece = lambda c: F.floor(F.col(c) / spread)
+    rows = n.select(F.col(name).alias("_of"), (F.col("_n") - 1).alias("_x"), F.lit(None).cast("long").alias("_skip"), F.struct(*n.columns).alias("_row"), F.lit(1).alias("_last"))
+    both = rows.unionByName(skips.select("_of", F.col("_from").alias("_x"), "_skip", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(0).alias("_last"))).withColumn("_piece", piece("_x"))
+    tops = both.where("_row is null").groupBy("_of", "_piece").agg(F.max("_skip").alias("_top"))
+    pieces = both.select("_of", "_piece").distinct().join(tops, ["_of", "_piece"], "left")
+    pieces = pieces.withColumn("_under", F.max("_top").over(Window.partitionBy("_of").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    within = F.max("_skip").over(Window.partitionBy("_of", "_piece").orderBy("_x", "_last").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("_within", within).where("_row is not null").withColumnRenamed("_of", "_name")
+    found = found.join(pieces.withColumnRenamed("_piece", "_p"), F.col("_name").eqNullSafe(F.col("_of")) & (F.col("_piece") == F.col("_p")))
+    up = F.coalesce(F.greatest("_within", "_under"), F.lit(0))
+    out = found.select("_row.*", up.alias("_up"))
     dot = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     stem = F.substring(name, 1, F.length(name) - F.length(dot))
-    numbered = F.concat(stem, F.lit("_"), F.col("_n") + F.when(F.col("_taken").isNull(), 0).otherwise(up), dot)
-    return n.join(taken, F.col(name) == F.col("_of"), "left").withColumn("unique", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).drop("_n", "_of", "_taken")
+    numbered = F.concat(stem, F.lit("_"), F.col("_n") + F.col("_up"), dot)
+    return out.withColumn("unique", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).drop("_n", "_up")

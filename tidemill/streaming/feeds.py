@@ -1,8 +1,7 @@
 """Streams: watching a folder of changes, keeping tables and sessions current, indexing what arrives.
 
-Tables that a stream keeps are folders of numbered versions: batch N reads the newest version before N and writes version N,
-so a batch that runs again, in the same process or after a restart, gives what it gave before. A table is dealt into parts by a
-hash of its key, and a version only holds the parts that its batch touches.
+Tables that a stream keeps are change sets (changesets.py): batch N reads what was there before N and writes the keys that it changes,
+so a batch that runs again, in the same process or after a restart, gives what it gave before.
 """
 
 from __future__ import annotations
@@ -14,11 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import changes, index
 from tidemill.storage import work_folder
-
-#: Parts of a table that a stream keeps, by a hash of the key.
-PARTS = 64
-#: Versions of a part that are kept besides the newest.
-OLDER = 2
+from tidemill.streaming.changesets import ChangeSets
 
 
 def folder_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int = 2) -> DataFrame:
@@ -57,69 +52,6 @@ def deltas(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(key, op.alias("op"), "before", "after")
 
 
-class Versions:
-    """A table as folders path/_part=P/_version=N; what holds for batch N is each part's newest version up to N.
-
-    The versions that there are come from the folder's listing, so nothing is lost when the process ends. Everything is
-    written before it shows, by a rename, so a batch that broke off leaves nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema, key: str, parts: int = PARTS):
-        self.spark, self.path, self.schema, self.key, self.parts = spark, path.rstrip("/"), schema, key, parts
-        self.root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def part(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
-
-    def _folders(self) -> dict[int, list[int]]:
-        """Part -> its versions, ascending."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path
-        found: dict[int, list[int]] = {}
-        for s in self.fs.globStatus(at(f"{self.path}/_part=*/_version=*")) or []:
-            p, v = s.getPath().getParent().getName(), s.getPath().getName()
-            found.setdefault(int(p.partition("=")[2]), []).append(int(v.partition("=")[2]))
-        return {p: sorted(v) for p, v in found.items()}
-
-    def now(self, before: int | None = None, parts: set[int] | None = None) -> DataFrame:
-        """The table, or the given parts of it, as it was before a batch, or as it is."""
-        newest = {p: max((v for v in vs if before is None or v < before), default=None) for p, vs in self._folders().items() if parts is None or p in parts}
-        paths = [f"{self.path}/_part={p}/_version={v}" for p, v in newest.items() if v is not None]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def put(self, df: DataFrame, batch: int, parts: set[int] | None = None) -> None:
-        """Write df as this batch's version of the given parts, of which it has all rows; by default of those it has rows of."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path
-        hidden = f"{self.path}/.new-{batch}"
-        self.fs.delete(at(hidden), True)
-        for p, versions in self._folders().items():  # what an earlier try of this batch, or of a later one, left
-            for v in versions:
-                if v >= batch:
-                    self.fs.delete(at(f"{self.path}/_part={p}/_version={v}"), True)
-        df.withColumn("_part", self.part()).write.partitionBy("_part").parquet(hidden)
-        for s in self.fs.globStatus(at(f"{hidden}/_part=*")) or []:
-            name = s.getPath().getName()
-            self.fs.mkdirs(at(f"{self.path}/{name}"))
-            target = at(f"{self.path}/{name}/_version={batch}")
-            self.fs.delete(target, True)
-            self.fs.rename(s.getPath(), target)
-        for p in (parts or set()) - {p for p, vs in self._folders().items() if batch in vs}:
-            self.fs.mkdirs(at(f"{self.path}/_part={p}/_version={batch}"))  # no row is left
-        self.fs.delete(at(hidden), True)
-        for p, versions in self._folders().items():
-            for v in versions[: -1 - OLDER]:
-                self.fs.delete(at(f"{self.path}/_part={p}/_version={v}"), True)
-
-    def start(self, df: DataFrame) -> None:
-        """df as version -1, if the table has none yet."""
-        if not self._folders():
-            self.put(df, -1)
-
-
-def _touched(table: Versions, batch: DataFrame) -> set[int]:
-    return {r[0] for r in batch.select(table.part()).distinct().collect()}  # as many as there are parts at most
-
-
 def apply_feed(stream: DataFrame, start: DataFrame, key: str, path: str | None = None, state: str | None = None) -> DataFrame:
     """start with all changes (key, seq, op, columns) of the stream applied, batch by batch; the table is in path.
 
@@ -130,19 +62,15 @@ def apply_feed(stream: DataFrame, start: DataFrame, key: str, path: str | None =
     spark = stream.sparkSession
     cols = [c for c in start.columns if c != key]
     seen = start.withColumn("_seq", F.lit(-1).cast("long")).withColumn("_gone", F.lit(False))
-    table = Versions(spark, path or work_folder(spark, "table"), seen.schema, key)
+    table = ChangeSets(spark, path or work_folder(spark, "table"), seen.schema, key)
     table.start(seen)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        parts = _touched(table, batch)
-        now = table.now(number, parts)
+        now = table.now(number, table.touched(batch, number)).join(batch.select(key).distinct(), key, "left_semi")
         fresh = batch.join(now.select(key, "_seq"), key, "left").where(F.col("seq") > F.coalesce("_seq", F.lit(-2))).drop("_seq")
         after = changes.apply_changes(now.where("not _gone").select(key, *cols), fresh, key)
-        newest = now.select(key, "_seq").unionByName(fresh.select(key, F.col("seq").cast("long").alias("_seq"))).groupBy(key).agg(F.max("_seq").alias("_seq"))
-        if parts:
-            table.put(newest.join(after.withColumn("_here", F.lit(True)), key, "left").select(key, *cols, "_seq", F.col("_here").isNull().alias("_gone")), number, parts)
-        batch.unpersist()
+        newest = fresh.groupBy(key).agg(F.max("seq").cast("long").alias("_seq"))
+        table.put(newest.join(after.withColumn("_here", F.lit(True)), key, "left").select(key, *cols, "_seq", F.col("_here").isNull().alias("_gone")), number)
 
     drain(stream, each, state=state)
     return table.now().where("not _gone").select(key, *cols)
@@ -152,13 +80,12 @@ def session_state(stream: DataFrame, key: str, ts: str, keep: list[str], path: s
     """The last image of each session and when it was last used, over all that the stream brought; kept in path."""
     spark = stream.sparkSession
     image = F.struct(ts, *keep)
-    table = Versions(spark, path or work_folder(spark, "sessions"), stream.select(key, image.alias("_image")).schema, key)
+    table = ChangeSets(spark, path or work_folder(spark, "sessions"), stream.select(key, image.alias("_image")).schema, key)
 
     def each(batch: DataFrame, number: int) -> None:
-        new = batch.select(key, image.alias("_image")).groupBy(key).agg(F.max("_image").alias("_image")).persist()
-        if parts := _touched(table, new):
-            table.put(table.now(number, parts).unionByName(new).groupBy(key).agg(F.max("_image").alias("_image")), number, parts)
-        new.unpersist()
+        new = batch.select(key, image.alias("_image")).groupBy(key).agg(F.max("_image").alias("_image"))
+        now = table.now(number, table.touched(batch, number)).join(new.select(key), key, "left_semi")
+        table.put(now.unionByName(new).groupBy(key).agg(F.max("_image").alias("_image")), number)
 
     drain(stream, each, state=state)
     return table.now().select(key, F.col("_image")[ts].alias("last_used"), *[F.col("_image")[c].alias(c) for c in keep])
@@ -173,15 +100,12 @@ def index_feed(stream: DataFrame, path: str, state: str | None = None, first: in
     """
     spark = stream.sparkSession
     empty = index.points(index.embed(index.windows(spark.createDataFrame([], "doc_id long, text string")), index.hash_embedder()))
-    table = Versions(spark, path, empty.schema, "doc_id")
+    table = ChangeSets(spark, path, empty.schema, "doc_id")
 
     def each(batch: DataFrame, number: int) -> None:
-        docs = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")).persist()
-        if parts := _touched(table, docs):
-            made = index.points(index.embed(index.windows(docs), index.hash_embedder()))
-            kept = table.now(first + number, parts).join(docs.select("doc_id"), "doc_id", "left_anti").select(*empty.columns)
-            table.put(kept.unionByName(made), first + number, parts)
-        docs.unpersist()
+        docs = batch.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+        made = index.points(index.embed(index.windows(docs), index.hash_embedder()))
+        table.put(made, first + number, docs.where(~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))))
 
     drain(stream, each, state=state)
     return table.now()
