@@ -236,6 +236,70 @@ def test_places_across_the_date_line(spark):
     assert got == want
 
 
+def _metres(lon1, lat1, lon2, lat2):
+    r = np.radians
+    a = np.sin((r(lat2) - r(lat1)) / 2) ** 2 + np.cos(r(lat1)) * np.cos(r(lat2)) * np.sin((r(lon2) - r(lon1)) / 2) ** 2
+    return np.round(2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(1, a))), 3)
+
+
+@pytest.mark.parametrize(("cell", "most"), [(256, None), (8, None), (8, 50_000.0)])
+def test_nearest_places_without_a_bound(spark, monkeypatch, cell, most):
+    """A dense city, a third of all points at one place, poles and the open sea; centres in and far from all of these."""
+    monkeypatch.setattr(geo, "CELL", cell)
+    rng = np.random.default_rng(6)
+    pts = [(i, 13.4 + 0.05 * float(rng.standard_normal()), 52.5 + 0.03 * float(rng.standard_normal())) for i in range(900)]
+    pts += [(1000 + i, -0.1, 51.5) for i in range(600)] + [(2000 + i, float(rng.uniform(-180, 180)), float(rng.uniform(-90, 90))) for i in range(300)] + [(3000, 0.0, 90.0), (3001, 77.0, -90.0), (3002, 180.0, 0.0), (3003, -180.0, 0.0)]
+    q = [(i, *p[1:]) for i, p in enumerate(pts[::60])] + [(500, -150.0, -40.0), (501, 13.4, 52.5), (502, -0.1, 51.5), (503, 10.0, 90.0), (504, 179.9, 0.1), (505, None, 1.0)]
+    p = spark.createDataFrame([*pts, (9000, None, 1.0), (None, 1.0, 1.0)], "id long, lon double, lat double")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in geo.near_many(spark.createDataFrame(q, "query_id long, lon double, lat double"), p, most, 7).collect()}
+    ids, lon, lat = (np.array(c) for c in zip(*pts, strict=True))
+    want = {}
+    for i, a, b in q[:-1]:
+        m = _metres(a, b, lon, lat)
+        order = [j for j in np.lexsort((ids, m))[:7] if most is None or m[j] <= most]
+        want |= {(i, k + 1): (int(ids[j]), -float(m[j])) for k, j in enumerate(order)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 0.0015 for k in want)
+
+
+def test_a_centre_meets_few_points_of_a_dense_city(spark, monkeypatch):
+    """A centre far out has the whole city beyond it, and still only meets a few leaves."""
+    monkeypatch.setattr(geo, "CELL", 16)
+    rng = np.random.default_rng(7)
+    pts = [(i, 13.4 + 0.05 * float(rng.standard_normal()), 52.5 + 0.03 * float(rng.standard_normal())) for i in range(4000)]
+    seen = []
+    top = geo.top
+    monkeypatch.setattr(geo, "top", lambda df, *a: (seen.append(df.count()), top(df, *a))[1])
+    q = spark.createDataFrame([(1, 13.4, 52.5), (2, 14.4, 52.5), (3, -100.0, -30.0)], "query_id long, lon double, lat double")
+    assert geo.near_many(q, spark.createDataFrame(pts, "id long, lon double, lat double"), None, 5).count() == 15
+    assert seen[0] < 3 * 40 * 16
+
+
+@pytest.mark.parametrize("hub", [10_000, 3])
+def test_links_are_followed_from_each_start(spark, monkeypatch, hub):
+    """More starts than a set has, a hub that most nodes link to and that links to many, loops, null ends, unknown and repeated starts."""
+    monkeypatch.setattr(sessions, "HUB", hub)
+    monkeypatch.setattr(sessions, "TOGETHER", 50)
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (500, 2))] + [(i, 1000) for i in range(0, 400, 2)] + [(1000, i) for i in range(0, 400, 7)] + [(5, 5)]
+    starts = [*range(0, 300, 2), 1000, 7777]
+    go = {}
+    for a, b in edges:
+        go.setdefault(a, set()).add(b)
+    want = set()
+    for s in starts:
+        depth, front = {s: 0}, {s}
+        for d in range(1, 4):
+            front = {b for a in front for b in go.get(a, ())} - depth.keys()
+            depth |= dict.fromkeys(front, d)
+        want |= {(s, n, d) for n, d in depth.items()}
+    e = spark.createDataFrame([*edges, edges[0], (None, 1), (1, None)], "a long, b long")
+    got = [tuple(r) for r in sessions.expand(e, spark.createDataFrame([(s,) for s in [*starts, 4, None]], "node long"), 3).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sessions.expand(e.limit(0), spark.createDataFrame([(1,)], "node long"), 3).collect() == [(1, 1, 0)]
+    assert sessions.expand(e, spark.createDataFrame([], "node long"), 3).count() == 0
+
+
 def test_tables_are_repaired():
     assert tablefix.split_numbers("$ 1,234 12.5 % (56) 789") == ["12.5 %", "$ 1,234", "($ 56)", "789"]
     assert tablefix.split_numbers("12.5 % 12.5 %") == ["12.5 %", "5 %", "12"]  # the rule leaves repeats to the patterns after

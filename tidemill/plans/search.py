@@ -184,3 +184,11 @@ SELECT * FROM (SELECT query_id, id, -m AS score, row_number() OVER (PARTITION BY
 def geo_join(spark, sf_dir):
     s = _placed(table(spark, sf_dir, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "query_id")
     return geo.near_many(s, _placed(table(spark, sf_dir, "customer"), "c_custkey").withColumnRenamed("c_custkey", "id"), 1_500_000.0, 5)
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS query_id, {_LON.format('s_suppkey')} AS a, {_LAT.format('s_suppkey')} AS b FROM supplier), c AS (SELECT c_custkey AS id, {_LON.format('c_custkey')} AS x, {_LAT.format('c_custkey')} AS y FROM customer)
+SELECT * FROM (SELECT query_id, id, -m AS score, row_number() OVER (PARTITION BY query_id ORDER BY m, id)::INT AS rank FROM (SELECT query_id, id, {_DIST.format('a', 'b', 'x', 'y')} AS m FROM s, c)) WHERE rank <= 20""")
+def geo_nearest(spark, sf_dir):
+    """The twenty nearest customers of each supplier, however far they are."""
+    s = _placed(table(spark, sf_dir, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "query_id")
+    return geo.near_many(s, _placed(table(spark, sf_dir, "customer"), "c_custkey").withColumnRenamed("c_custkey", "id"), None, 20)
