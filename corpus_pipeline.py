@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import langid, neardup, packing, quality
-from tidemill.llm.common import Scratch, cut, table
+from tidemill.llm.common import Scratch, keep, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, the only folder that stays; what a stage wrote goes when the next one has read it."""
     docs = table(spark, sf_dir, "documents")
-    with Scratch(spark) as s:
-        for name, stage in STAGES[:-1]:
-            made = s.cut(stage(spark, docs, sf_dir), name)
-            s.drop(docs)  # what the stage before wrote
+    with Scratch(spark) as stages:
+        for name, stage in STAGES:
+            with Scratch(spark, collect=True):
+                made = (keep if (name, stage) == STAGES[-1] else stages.cut)(stage(spark, docs, sf_dir), name)
+            stages.drop(docs)
             docs = made
-        name, stage = STAGES[-1]
-        return cut(stage(spark, docs, sf_dir), name)
+    return docs

@@ -41,8 +41,20 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Scratches that collect what operators cut without one of their own; the last counts.
+_collecting: list[Scratch] = []
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, work is done once, lost executors lose nothing."""
+    """Write df to the shared folder and read it back: lineage ends, work is done once, lost executors lose nothing.
+
+    The folder stays, unless a collecting Scratch is open.
+    """
+    return _collecting[-1].cut(df, what) if _collecting else keep(df, what)
+
+
+def keep(df: DataFrame, what: str = "kept") -> DataFrame:
+    """As cut, and the folder stays."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -54,12 +66,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Cuts that go together: with Scratch(spark) as s, all folders of s.cut are removed at the end."""
+    """Cuts that go together: with Scratch(spark) as s, all folders of s.cut are removed at the end; with collect=True also what
+    operators cut meanwhile without a Scratch of their own, which their results are read from."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, collect: bool = False):
+        self.spark, self.paths, self.collect = spark, {}, collect
 
     def __enter__(self) -> Scratch:
+        if self.collect:
+            _collecting.append(self)
         return self
 
     def cut(self, df: DataFrame, what: str = "cut") -> DataFrame:
@@ -77,6 +92,8 @@ class Scratch:
                 remove(self.spark, path)
 
     def __exit__(self, *_) -> None:
+        if self.collect:
+            _collecting.remove(self)
         for path, _df in self.paths.values():
             remove(self.spark, path)
 

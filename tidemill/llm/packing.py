@@ -9,6 +9,7 @@ any global sort, and the segment that holds the rank gives its sequence and offs
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,11 @@ TOGETHER = 512
 
 
 class WordTokenizer:
-    """A tokenizer that lower-cases, drops white space and marks the end of each piece: words are encoded once and
-    remembered as bytes. Words of letters alone, which are one piece each, go through it many in one text."""
+    """Ids of whole texts as the library gives them.
+
+    With a tokenizer that lower-cases, drops white space and marks the end of each piece, words are encoded once and remembered
+    as bytes; words of letters alone, which are one piece each, go through it many in one text. Any other tokenizer gets each text whole.
+    """
 
     def __init__(self, path: str):
         import os
@@ -42,6 +46,11 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         # texts with the string of a special token, which the library takes for that token, go through it whole
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True) and made["model"].get("end_of_word_suffix") == "</w>"
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -89,13 +98,13 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them without special tokens added. Nothing joins across a space or a
         line end, so the text is cut there."""
-        whole = [any(t in x for t in self.special) for x in texts]
+        whole = [not self.by_words or any(t in x for t in self.special) for x in texts]
         words = [[] if w else x.replace("\n", " ").split(" ") for x, w in zip(texts, whole, strict=True)]
         found = set().union(*words)
         if len(self.memo) > MEMO:  # what is still in use comes back from the older half
             self.older, self.memo = self.memo, {}
         new = found.difference(self.memo)
-        known = new.intersection(self.older)
+        known = [w for w in new if w in self.older]
         self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
         self.learn(new.difference(known))
         by_word = [np.frombuffer(b"".join(map(self.memo.__getitem__, ws)), "<u4") for ws in words]
