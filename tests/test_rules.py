@@ -59,6 +59,38 @@ def test_pipeline_stages(spark):
         documents.pipeline(df, [{"$merge": {}}])
 
 
+def test_filters_in_arrays_and_documents(spark):
+    rows = [(1, [("a", 3, ["x"]), ("b", 9, ["y", "z"])], [80, 90], ("Ulm", [1, 2])), (2, [("a", 9, [])], [70], ("Bonn", None)), (3, [], [], None), (4, None, None, ("Ulm", [2]))]
+    df = spark.createDataFrame(rows, "id int, items array<struct<name:string,qty:int,tags:array<string>>>, scores array<int>, home struct<city:string,codes:array<int>>")
+    ids = lambda spec: sorted(r["id"] for r in documents.find(df, spec).collect())
+    assert ids({"items": {"$elemMatch": {"name": "a", "qty": {"$gt": 5}}}}) == [2]
+    assert ids({"items.qty": {"$gt": 5}, "items.name": "b"}) == [1] and ids({"items.qty": 9}) == [1, 2] and ids({"items.0.qty": 3}) == [1]
+    assert ids({"items.tags": "z"}) == [1] and ids({"home.city": "Ulm"}) == [1, 4] and ids({"home.codes": {"$in": [2, 7]}}) == [1, 4]
+    assert ids({"scores": {"$elemMatch": {"$gte": 80, "$lt": 85}}}) == [1] and ids({"scores": {"$gte": 80, "$lt": 75}}) == []
+    assert ids({"scores": 70}) == [2] and ids({"scores": [80, 90]}) == [1] and ids({"scores": {"$all": [90, 80]}}) == [1] and ids({"scores": {"$size": 0}}) == [3]
+    assert ids({"scores": {"$ne": 70}}) == [1, 3, 4] and ids({"scores": {"$nin": [70, 80]}}) == [3, 4] and ids({"$nor": [{"id": 1}, {"scores": 70}]}) == [3, 4]
+    for bad in ({"id": {"$elemMatch": {"$gt": 1}}}, {"scores": {"$near": 1}}, {"items.none": 1}):
+        with pytest.raises(ValueError):
+            documents.find(df, bad)
+
+
+def test_unwind_bucket_and_facets(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], 5.0), (2, [], 15.0), (3, None, 25.0), (4, ["c"], None)], "id int, tags array<string>, v double")
+    run = lambda *stages: sorted((tuple(r) for r in documents.pipeline(df, list(stages)).collect()), key=repr)
+    assert run({"$unwind": "$tags"}, {"$project": {"id": 1, "tags": 1}}) == [(1, "a"), (1, "b"), (4, "c")]
+    assert run({"$unwind": {"path": "$tags", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "at"}}, {"$project": {"id": 1, "tags": 1, "at": 1}}) == [(1, "a", 0), (1, "b", 1), (2, None, None), (3, None, None), (4, "c", 0)]
+    assert run({"$unwind": "$v"}, {"$project": {"id": 1}}) == [(1,), (2,), (3,)]
+    assert run({"$bucket": {"groupBy": "$v", "boundaries": [0, 10, 20], "default": "other"}}) == [("0", 1), ("10", 1), ("other", 2)]
+    assert run({"$match": {"v": {"$lt": 20}}}, {"$bucket": {"groupBy": "$v", "boundaries": [0, 10, 20], "output": {"top": {"$max": "$v"}}}}) == [(0, 5.0), (10, 15.0)]
+    with pytest.raises(Exception, match="no bucket for 25"):
+        run({"$match": {"v": {"$gt": 20}}}, {"$bucket": {"groupBy": "$v", "boundaries": [0, 10, 20]}})
+    assert run({"$facet": {"n": [{"$count": "n"}], "ids": [{"$match": {"v": {"$lt": 10}}}, {"$project": {"id": 1}}]}}) == [("ids", '{"id":1}'), ("n", '{"n":4}')]
+    assert run({"$project": {"x": {"a": "$id", "b": "$v"}}}, {"$replaceRoot": {"newRoot": "$x"}}, {"$unset": "b"}) == [(1,), (2,), (3,), (4,)]
+    for bad in ({"$unwind": {"path": "$tags", "odd": 1}}, {"$bucket": {"groupBy": "$v", "boundaries": [3, 1]}}, {"$merge": "x"}):
+        with pytest.raises(ValueError):
+            run(bad)
+
+
 def test_lookup_null_matches_null(spark):
     a = spark.createDataFrame([(1,), (None,)], "k int")
     b = spark.createDataFrame([(None, "n"), (2, "two")], "f int, s string")

@@ -390,6 +390,32 @@ def agg_push(spark, sf_dir):
     return got.select(F.col("_id").alias("o_custkey"), F.array_join(F.transform("orders", lambda o: F.concat(o["key"].cast("string"), F.lit(":"), o["status"])), ",").alias("orders"))
 
 
+@query("""WITH o AS (SELECT o_custkey, list({'key': o_orderkey, 'status': o_orderstatus, 'price': o_totalprice}) AS orders FROM orders GROUP BY 1),
+c AS (SELECT c_custkey, c_mktsegment, c_acctbal, orders FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+f AS (SELECT * FROM c WHERE orders IS NULL OR len(list_filter(orders, lambda x: x.status = 'F' AND x.price > 150000)) > 0),
+b AS (SELECT CASE WHEN c_acctbal >= 0 AND c_acctbal < 2500 THEN 0 WHEN c_acctbal >= 2500 AND c_acctbal < 5000 THEN 2500 WHEN c_acctbal >= 5000 AND c_acctbal < 7500 THEN 5000 ELSE -1 END AS id, count(*) AS n FROM f GROUP BY 1),
+u AS (SELECT c_mktsegment, unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE orders END) AS x FROM f)
+SELECT 'balance' AS facet, '{"_id":' || id || ',"n":' || n || '}' AS document FROM b
+UNION ALL SELECT 'segment', '{"_id":"' || c_mktsegment || '","count":' || count(*) || '}' FROM f GROUP BY c_mktsegment
+UNION ALL SELECT 'orders', '{"_id":"' || c_mktsegment || '","rows":' || count(*) || ',"keys":' || count(x.key) || '}' FROM u GROUP BY c_mktsegment""")
+def agg_facets(spark, sf_dir):
+    """Customers with no order or a large finished one, by balance, by segment, and with an order a row: facets of one pipeline."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    stages = [
+        {"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "orders"}},
+        {"$match": {"$or": [{"orders": {"$size": 0}}, {"orders": {"$elemMatch": {"status": "F", "price": {"$gt": 150000}}}}]}},
+        {"$facet": {
+            "balance": [{"$bucket": {"groupBy": "$c_acctbal", "boundaries": [0, 2500, 5000, 7500], "default": -1, "output": {"n": {"$sum": 1}}}}],
+            "segment": [{"$sortByCount": "$c_mktsegment"}],
+            "orders": [
+                {"$unwind": {"path": "$orders", "preserveNullAndEmptyArrays": True}}, {"$addFields": {"has": {"$cond": [{"$eq": ["$orders.key", None]}, 0, 1]}}},
+                {"$group": {"_id": "$c_mktsegment", "rows": {"$sum": 1}, "keys": {"$sum": "$has"}}},
+            ],
+        }},
+    ]
+    return documents.pipeline(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), stages, {"orders": orders})
+
+
 @query("SELECT DISTINCT 'lang' AS field, lang AS value FROM documents UNION ALL SELECT DISTINCT 'word', w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) = 3")
 def distinct_values(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
