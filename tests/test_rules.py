@@ -1,6 +1,8 @@
 """Rules on small literals, with results worked out by hand."""
 
 import datetime
+import re
+from collections import Counter
 from decimal import Decimal
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import cleaning, formats, tablefix
-from tidemill.operators import changes, documents, geo, index, metrics, neighbours, retrieve, sessions
+from tidemill.operators import changes, documents, fulltext, geo, index, metrics, neighbours, retrieve, sessions
 from tidemill.plans import tables
 from tidemill.sources import files
 from tidemill.storage import cut, work_folder
@@ -157,11 +159,12 @@ def test_long_query_tables_go_block_by_block(spark, monkeypatch):
     texts = [(i, " ".join(rng.choice(words, 12))) for i in range(50)]
     asked = [(i, " ".join(rng.choice(words, 3))) for i in range(40)]
     t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
-    postings = index.postings(t.withColumnRenamed("id", "doc_id"), lengths=True)
-    run = lambda: [sorted(map(tuple, df.collect())) for df in (retrieve.semantic(v.withColumnRenamed("id", "query_id"), v, 5, 0.1), retrieve.keyword(q, t, 4), retrieve.bm25(q, postings, 4))]
+    built = fulltext.build(t.withColumnRenamed("id", "doc_id"))
+    run = lambda: [sorted(map(tuple, df.collect())) for df in (retrieve.semantic(v.withColumnRenamed("id", "query_id"), v, 5, 0.1), retrieve.keyword(q, t, 4), fulltext.search(q, built, 4))]
     whole = run()
     monkeypatch.setattr(retrieve, "QUERIES_AT_ONCE", 9)
     monkeypatch.setattr(retrieve, "TEXTS_AT_ONCE", 9)
+    monkeypatch.setattr(fulltext, "TEXTS_AT_ONCE", 9)
     assert run() == whole and all(whole)
     s = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)
     want = {(i, int(j)) for i in range(60) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.1}
@@ -514,6 +517,65 @@ def test_postings_are_counted_in_their_row(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("block", [2, 30, 10_000])
+def test_full_text_search_scores_all_that_can_be_among_the_best(spark, monkeypatch, block):
+    """The k best by the formula, for one index and several query tables; most blocks are never scored."""
+    monkeypatch.setattr(fulltext, "BLOCK_DOCS", block)
+    monkeypatch.setattr(fulltext, "FIRST", 1)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(rng.choice(words[: 300 if i % 3 else 20], int(rng.integers(0, 60))))) for i in range(200)] + [(500, None), (501, "x " * 50), (502, "rare words of one text, W7")]
+    built = fulltext.build(spark.createDataFrame(texts, "doc_id long, text string"))
+    toks = {i: [t for t in re.split(r"[^\w]+", (t or "").lower()) if 2 <= len(t) <= 15] for i, t in texts}
+    toks = {i: t for i, t in toks.items() if t}
+    mean, df = np.mean([len(t) for t in toks.values()]), Counter(x for t in toks.values() for x in set(t))
+
+    def score(q, t):
+        tf = Counter(t)
+        return sum(np.log(1 + (len(toks) - df[x] + 0.5) / (df[x] + 0.5)) * tf[x] * 2.2 / (tf[x] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x in set(q) if tf[x])
+
+    for queries in ([(1, "w1 w2 w290 w291"), (2, "rare words w7 w7"), (3, "nothing"), (4, None)], [(9, " ".join(words[::7]))]):
+        got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in fulltext.search(spark.createDataFrame(queries, "query_id long, query string"), built, 5).collect()}
+        want = {}
+        for q, text in queries:
+            ranked = sorted((-round(s, 5), i) for i, t in toks.items() if (s := score((text or "").split(), t)) > 0)[:5]
+            want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(ranked)}
+        assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 2e-5 for k in want)
+        assert sum(got[k][0] != want[k][0] for k in want) <= 1  # rounding may turn two around
+    empty = fulltext.build(spark.createDataFrame([], "doc_id long, text string"))
+    assert fulltext.search(spark.createDataFrame([(1, "w1")], "query_id long, query string"), empty, 5).count() == 0
+
+
+def test_chunks_in_tokens(spark):
+    """No chunk has more tokens than asked for; all text is in them in order; sentences stay whole where they fit."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    n = lambda x: len(own.encode(x, add_special_tokens=False).ids)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    texts += ["One. Two!  Three?\n\nFour five six seven eight nine ten eleven. Twelve", "x" * 900, "é你好" * 200, "a b c " * 300 + ". " + "d e. " * 50, "... !!! ???", "", None, " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((12, 4), (64, 0), (512, 100)):
+        got: dict[int, list[str]] = {}
+        for r in index.token_sentences(docs, path, size, overlap).orderBy("doc_id", "chunk_id").collect():
+            got.setdefault(r["doc_id"], []).append(r["text"])
+        for i, text in enumerate(texts):
+            spans, done = index.token_chunks(text or "", lambda x: own.encode(x, add_special_tokens=False).offsets, size, overlap), 0
+            chunks = [text[a:b] for a, b in spans]
+            assert chunks == got.get(i, []) and all(n(c) <= size for c in chunks)
+            starts = [a for a, _ in own.encode(text or "", add_special_tokens=False).offsets]
+            for a, b in spans:
+                assert not text[done:a].strip() and b > done  # nothing is left out, each goes on
+                assert sum(a <= x < done for x in starts) <= overlap
+                done = b
+            assert not (text or "")[done:].strip()
+            for sentence in re.findall(r"[^.!?\n]+[.!?\n]+", text or ""):
+                if overlap and n(sentence) < size // 2 and sentence.strip():
+                    assert any(sentence in c for c in chunks)
+
+
 def test_requests_are_checked(spark):
     rows = [(1, "semantic", 10, 0.0, 0.7), (2, "other", 0, 0.0, 0.7), (3, "keyword", 0, 0.0, 0.7), (4, "hybrid", 101, 2.0, 0.7), (5, "hybrid", 100, 1.5, 3.0), (6, "hybrid", 1, 1.0, -0.1), (7, None, 1, 0.0, 0.0), (8, "hybrid", None, 0.0, 0.0)]
     got = {r["query_id"]: r["error"] for r in retrieve.checked(spark.createDataFrame(rows, "query_id long, method string, limit int, threshold double, alpha double")).collect()}

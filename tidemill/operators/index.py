@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +110,85 @@ def postings(docs: DataFrame, text: str = "text", lengths: bool = False) -> Data
     With lengths also dl, the tokens of the row, and first, which holds for one posting of each row. Rows that share an id have
     postings each. Texts without a token, and null ones, have none.
     """
-    tokens = F.array_sort(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))
-    one = docs.select("doc_id", tokens.alias("_t")).where("size(_t) > 0")
-    # equal tokens stand together: each run from its start to that of the next
-    two = one.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", F.greatest(i - 1, F.lit(0))))))
-    runs = F.transform("_at", lambda i, j: F.struct(F.get("_t", i).alias("token"), (F.coalesce(F.get("_at", j + 1), F.size("_t")) - i).cast("long").alias("tf"), (i == 0).alias("first")))
-    out = two.select("doc_id", F.size("_t").cast("long").alias("dl"), F.inline(runs))
-    return out.select("token", "doc_id", "tf", *(["dl", "first"] if lengths else []))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["token", "doc_id", "tf", *(["dl", "first"] if lengths else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter([t for t in (x.as_py() or "").split("\n") if 2 <= len(t) <= 15]) for x in batch.column(1)]
+            at = 0
+            while at < len(found):  # about a million postings at a time
+                end, size = at, 0
+                while end < len(found) and size < 1_000_000:
+                    size, end = size + len(found[end]), end + 1
+                some = found[at:end]
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+                cols = [pa.array([t for c in some for t in c], pa.string()), batch.column(0).take(pa.array(np.repeat(np.arange(at, end), sizes))), pa.array([n for c in some for n in c.values()], pa.int64())]
+                if lengths:
+                    first = np.zeros(int(sizes.sum()), bool)
+                    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+                    cols += [pa.array(np.repeat([c.total() for c in some], sizes), pa.int64()), pa.array(first)]
+                yield pa.record_batch(cols, names)
+                at = end
+
+    # lower case and what separates tokens are Spark's, so queries are cut up the same way
+    ready = docs.select("doc_id", F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+", "\n").alias("_t"))
+    return ready.mapInArrow(run, f"token string, doc_id {kind}, tf long" + ", dl long, first boolean" * lengths)
+
+
+@cache
+def _tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def token_chunks(text: str, places: Callable[[str], list[tuple[int, int]]], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of chunks of a text: whole sentences packed up to size tokens, where places gives the tokens' (start, end); a longer sentence is cut between tokens.
+
+    The next chunk starts with the last sentences, or pieces, of this one, up to overlap tokens. No chunk has more than size
+    tokens when it is taken by itself: where tokens join otherwise than in the whole text, it ends a piece earlier.
+    """
+    starts = np.array([a for a, _ in places(text)], np.int64)
+    units: list[tuple[int, int]] = []
+    for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$", text):
+        a, b = m.span()
+        lo, hi = np.searchsorted(starts, (a, b))
+        cuts = [a, *dict.fromkeys(int(x) for x in starts[lo + size : hi : size] if a < x < b), b]
+        units += [(x, y) for x, y in pairwise(cuts) if text[x:y].strip()]
+    count = lambda a, b: int(np.searchsorted(starts, b) - np.searchsorted(starts, a))
+    out, first = [], 0
+    while first < len(units):
+        last = first
+        while last + 1 < len(units) and count(units[first][0], units[last + 1][1]) <= size:
+            last += 1
+        a, b = units[first][0], units[last][1]
+        while len(own := places(text[a:b])) > size:
+            if last > first:
+                last -= 1
+                b = units[last][1]
+            else:  # one piece that has more tokens by itself: what is beyond goes on as a piece of its own
+                b = a + max(own[size][0], 1)
+                units[first : first + 1] = [(a, b), *([(b, units[first][1])] if text[b : units[first][1]].strip() else [])]
+        out.append((a, b))
+        if last + 1 == len(units):
+            break
+        back = last + 1
+        while back - 1 > first and count(units[back - 1][0], b) <= overlap and count(units[back - 1][0], units[last + 1][1]) <= size:
+            back -= 1
+        first = back
+    return out
+
+
+def token_sentences(docs: DataFrame, tokenizer_path: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(doc_id, chunk_id, text): sentences packed by the tokens of a tokenizers file, as token_chunks does. Texts of white space have none."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        places = lambda x: _tokenizer(tokenizer_path).encode(x, add_special_tokens=False).offsets
+        return texts.map(lambda x: [x[a:b] for a, b in token_chunks(x or "", places, size, overlap)])
+
+    return docs.select("doc_id", F.posexplode(cut("text")).alias("chunk_id", "text"))

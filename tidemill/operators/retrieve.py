@@ -218,24 +218,3 @@ def rerank(hits: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     factor = F.when((n >= 100) & (n <= 1000), 1.1).when(n < 50, 0.9).otherwise(1.0)
     joined = hits.drop("rank").join(texts.select("id", "text"), "id").withColumn("score", F.round(F.col("score") * factor, 10)).drop("text")
     return top(joined, "query_id", k)
-
-
-def bm25(queries: DataFrame, postings: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over postings(token, doc_id, tf, dl), dl the tokens of the document.
-
-    Only postings of query words move, once for the sum by query and document; number and mean length of documents come from
-    the first posting of each.
-    """
-    asked = queries.select(F.col("query_id").cast("long"), F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda t: (F.length(t) >= 2) & (F.length(t) <= 15)))).alias("token"))
-    totals = postings.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-
-    def answer(terms: DataFrame) -> DataFrame:
-        words = F.broadcast(terms.select("token").distinct())
-        df = postings.join(words, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        known = terms.join(df, "token").join(F.broadcast(totals))  # as many rows as terms
-        scored = postings.join(F.broadcast(known), "token").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.round(F.sum(part), 5).alias("score"))
-        return top(scored, "query_id", k)
-
-    return by_blocks(asked, answer, 16 * QUERIES_AT_ONCE)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import geo, index, neighbours, retrieve
+from tidemill.operators import fulltext, geo, index, neighbours, retrieve
 from tidemill.storage import cut, table
 
 QUERIES: dict = {}
@@ -37,6 +38,12 @@ def chunk_sentences(spark, sf_dir):
     return index.sentences(table(spark, sf_dir, "documents"))
 
 
+@query()
+def chunk_tokens(spark, sf_dir):
+    """Sentences in chunks of 512 tokens at most."""
+    return index.token_sentences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def embed_hash(spark, sf_dir):
     return index.embed(index.sentences(table(spark, sf_dir, "documents")), index.hash_embedder())
@@ -142,7 +149,7 @@ t AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('query')}) AS token FROM
 s AS (SELECT query_id, doc_id AS id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 5) AS score FROM t JOIN p USING (token) JOIN df USING (token) JOIN l USING (doc_id), n GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 10""")
 def text_search_bm25(spark, sf_dir):
-    return retrieve.bm25(_questions(spark, sf_dir), cut(index.postings(table(spark, sf_dir, "documents"), lengths=True), "postings"), 10)
+    return fulltext.search(_questions(spark, sf_dir), fulltext.build(table(spark, sf_dir, "documents")), 10)
 
 
 _REQUESTS = """rq AS (SELECT query_id, item, CASE query_id // 50 % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' ELSE 'other' END AS method, query_id // 50 % 13 * 9 AS lim, query_id // 50 % 7 / 10.0 AS threshold, query_id // 50 % 11 / 8.0 AS alpha FROM pairs),
