@@ -100,22 +100,28 @@ def keyword_search(spark, sf_dir):
     return retrieve.keyword(_questions(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 10)
 
 
-# each query vector goes with the question of the same remainder
-_HY = f"""{_Q}, {_V}, {_KW}, pairs AS (SELECT query_id, query_id % (SELECT count(*) FROM benchmark) AS item FROM qv),
-sr AS (SELECT * FROM (SELECT query_id, id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, id) AS rank FROM v, qv WHERE {_COS} >= 0) WHERE rank <= 20),
-kq AS (SELECT pairs.query_id, id, score FROM kr JOIN pairs ON kr.query_id = item WHERE rank <= 10),
+# every question, with one of the query vectors
+_PAIRS = "pairs AS (SELECT query_id AS item, query_id % (SELECT count(*) FROM qv) * 50 AS vec FROM q)"
+_SR = f"sr AS (SELECT * FROM (SELECT item AS query_id, id, {_COS} AS score, row_number() OVER (PARTITION BY item ORDER BY {_COS} DESC, id) AS rank FROM v, qv JOIN pairs ON vec = qv.query_id WHERE {_COS} >= 0) WHERE rank <= {{}})"
+_HY = f"""{_Q}, {_V}, {_KW}, {_PAIRS}, {_SR.format(20)},
+kq AS (SELECT query_id, id, score FROM kr WHERE rank <= 10),
 hs AS (SELECT query_id, id, round(sum(s), 9) AS score FROM (SELECT query_id, id, score * 0.7 AS s FROM sr UNION ALL SELECT query_id, id, score * (1 - 0.7::DOUBLE) FROM kq) GROUP BY ALL),
 hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hs) WHERE rank <= 10),
 re AS (SELECT query_id, id, round(score * CASE WHEN length(text) BETWEEN 100 AND 1000 THEN 1.1::DOUBLE WHEN length(text) < 50 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END, 10) AS score FROM hr JOIN documents ON doc_id = id)"""
 
 
+def _asked(spark, sf_dir, q: DataFrame) -> DataFrame:
+    """(query_id, query, vector): every question with one of the query vectors, whose ids are multiples of 50."""
+    n = q.agg(F.count(F.lit(1)).alias("_n"))
+    items = _questions(spark, sf_dir).join(F.broadcast(n)).select("query_id", "query", (F.col("query_id") % F.col("_n") * 50).alias("_vec"))
+    return items.join(q.withColumnRenamed("query_id", "_vec"), "_vec").drop("_vec")
+
+
 def _hybrid(spark, sf_dir) -> DataFrame:
     v, q = _vectors(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
-    item = q.join(F.broadcast(n)).select("query_id", (F.col("query_id") % F.col("_n")).alias("item"))
-    asked = _questions(spark, sf_dir).withColumnRenamed("query_id", "item").join(item, "item").select("query_id", "query")
-    return retrieve.hybrid(retrieve.semantic(q, v, 20), retrieve.keyword(asked, texts, 10), 10), texts
+    asked = _asked(spark, sf_dir, q)
+    return retrieve.hybrid(retrieve.semantic(asked.select("query_id", "vector"), v, 20), retrieve.keyword(asked.select("query_id", "query"), texts, 10), 10), texts
 
 
 @query(f"WITH {_HY} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM re")
@@ -152,24 +158,21 @@ def text_search_bm25(spark, sf_dir):
     return fulltext.search(_questions(spark, sf_dir), fulltext.build(table(spark, sf_dir, "documents")), 10)
 
 
-_REQUESTS = """rq AS (SELECT query_id, item, CASE query_id // 50 % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' ELSE 'other' END AS method, query_id // 50 % 13 * 9 AS lim, query_id // 50 % 7 / 10.0 AS threshold, query_id // 50 % 11 / 8.0 AS alpha FROM pairs),
+_REQUESTS = """rq AS (SELECT item AS query_id, CASE item % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'keyword' WHEN 2 THEN 'hybrid' ELSE 'other' END AS method, item % 13 * 9 AS lim, item % 7 / 10.0 AS threshold, item % 11 / 8.0 AS alpha FROM pairs),
 rc AS (SELECT *, CASE WHEN method = 'other' THEN 'unknown method' WHEN lim NOT BETWEEN 1 AND 100 THEN 'limit is not from 1 to 100' WHEN threshold > 1 THEN 'threshold is not from 0 to 1' WHEN alpha > 1 THEN 'alpha is not from 0 to 1' END AS error FROM rq)"""
 
 
-@query(f"""WITH {_Q}, {_V}, {_KW}, pairs AS (SELECT query_id, query_id % (SELECT count(*) FROM benchmark) AS item FROM qv), {_REQUESTS},
-sr AS (SELECT * FROM (SELECT query_id, id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, id) AS rank FROM v, qv WHERE {_COS} >= 0) WHERE rank <= 100),
-sides AS (SELECT query_id, id, score, 'semantic' AS side FROM sr UNION ALL SELECT pairs.query_id, id, score, 'keyword' FROM kr JOIN pairs ON kr.query_id = item WHERE rank <= 100),
+@query(f"""WITH {_Q}, {_V}, {_KW}, {_PAIRS}, {_REQUESTS}, {_SR.format(100)},
+sides AS (SELECT query_id, id, score, 'semantic' AS side FROM sr UNION ALL SELECT query_id, id, score, 'keyword' FROM kr WHERE rank <= 100),
 bl AS (SELECT rc.query_id, id, lim, threshold, round(sum(score * CASE WHEN method <> 'hybrid' THEN 1.0::DOUBLE WHEN side = 'semantic' THEN alpha::DOUBLE ELSE 1 - alpha::DOUBLE END), 9) AS score FROM sides JOIN rc ON rc.query_id = sides.query_id AND error IS NULL AND (method = 'hybrid' OR side = method) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM bl WHERE score >= threshold)
 SELECT rc.query_id, method, rk.id, rk.score, rk.rank, error FROM rc LEFT JOIN rk ON rk.query_id = rc.query_id AND rank <= rk.lim""")
 def search_batch(spark, sf_dir):
-    """Each query by its own method, limit, threshold and weight; a request with a fault becomes an error row."""
+    """Each question by its own method, limit, threshold and weight; a request with a fault becomes an error row."""
     v, q = _vectors(spark, sf_dir)
-    n = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("_n"))
-    item = q.join(F.broadcast(n)).select("query_id", "vector", (F.col("query_id") % F.col("_n")).alias("item"))
-    k = F.floor(F.col("query_id") / 50)
+    k = F.col("query_id")
     method = F.when(k % 4 == 0, "semantic").when(k % 4 == 1, "keyword").when(k % 4 == 2, "hybrid").otherwise("other")
-    asked = item.join(_questions(spark, sf_dir).withColumnRenamed("query_id", "item"), "item").select("query_id", "vector", "query", method.alias("method"), (k % 13 * 9).alias("limit"), (k % 7 / 10.0).alias("threshold"), (k % 11 / 8.0).alias("alpha"))
+    asked = _asked(spark, sf_dir, q).select("query_id", "vector", "query", method.alias("method"), (k % 13 * 9).alias("limit"), (k % 7 / 10.0).alias("threshold"), (k % 11 / 8.0).alias("alpha"))
     return retrieve.search(asked, v, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
