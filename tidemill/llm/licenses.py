@@ -13,6 +13,7 @@ from functools import cache
 from importlib import resources
 from itertools import accumulate, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -105,18 +106,49 @@ class Scanner:
     def found(self, i: int, at: list[int], pairs: list[tuple[str, str]]) -> Iterator[tuple[float, float, str, int, int]]:
         """(shared times Dice, Dice, licence, first word, last word) of stretches like template i."""
         name, _, own = self.templates[i]
-        after = -1
-        for k in self.starts(at, pairs, own):
-            if k <= after:
-                continue
+        starts = self.starts(at, pairs, own)
+        if own.total() >= LONG:
+            for score, shared, k, j in self.long(at, pairs, own, starts) if starts else ():
+                yield shared * score, score, name, at[k], at[j] + 1
+            return
+        for k in starts:
             score, shared, j = self.best(at, pairs, own, k, 1)
-            if score < self.least:
+            if score >= self.least:
+                yield shared * score, score, name, at[k], at[j] + 1
+
+    def long(self, at: list[int], pairs: list[tuple[str, str]], own: Counter, starts: list[int]) -> Iterator[tuple[float, int, int, int]]:
+        """(Dice, shared, start, end) of stretches that do not begin within one another: each start's best end, and that end's best start.
+
+        All ends of a start are tried at once. A later start shares no more with any end than this one does, and its stretch is shorter by as
+        much as it is later: where nothing here is enough, this tells how much later a start must be, and those before it are not tried.
+        """
+        size = own.total()
+        most = math.floor(size / self.ratio + 1e-9)
+        place = {p: n for n, p in enumerate(own)}
+        which, where = np.array([place[pairs[x]] for x in at]), np.array(at)
+        most_of = np.array(list(own.values()))
+        # how often each pair has stood before each place
+        order = np.argsort(which, kind="stable")
+        runs = np.flatnonzero(np.r_[True, np.diff(which[order]) > 0])
+        nth = np.empty(len(at), np.int64)
+        nth[order] = np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))
+        before, done, after, least_at = np.zeros(len(own), np.int64), 0, -1, -1
+        for k in starts:
+            if k <= after or at[k] < least_at:
+                continue
+            before += np.bincount(which[done:k], minlength=len(own))
+            done = k
+            here = which[k : np.searchsorted(where, at[k] + most)]
+            shared = np.cumsum(nth[k : k + len(here)] - before[here] < most_of[here])
+            total = where[k : k + len(here)] - at[k] + 1 + size
+            score = 2 * shared / total
+            b = int(score.argmax())
+            if score[b] < self.least:
+                later = min(float((total - 2 * shared / self.least).min()), self.least * (most + size) / 2 - float(shared[-1]))
+                least_at = at[k] + max(1, math.ceil(later - 1e-6))
                 continue
-            if own.total() >= LONG:
-                # the best start for this end; what begins within is not looked at again
-                score, shared, k = self.best(at, pairs, own, j, -1)
-                after = j
-            yield shared * score, score, name, at[k], at[j] + 1
+            after = k + b
+            yield (*(x := self.best(at, pairs, own, after, -1))[:2], x[2], after)
 
     def scan(self, text: str) -> list[tuple[int, str, float]]:
         """(line, licence, score): the stretches of the text, across lines, that are like a template, and the lines that
