@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +108,24 @@ def remember(what: str, forget: Callable[[], object]) -> None:
     _remembered[what] = forget
 
 
+_c: list[ctypes.CDLL] = []
+
+
+def release() -> None:
+    """Give memory that is free in this Python worker back to the machine; a worker otherwise keeps the most that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if not _c:
+        _c.append(ctypes.CDLL(None))
+    if hasattr(_c[0], "malloc_trim"):  # glibc has it
+        _c[0].malloc_trim(0)
+
+
 def only(what: str) -> None:
     """At the start of an operator's task: a worker goes on from one operator to the next, so what others remember is let go."""
     for name, forget in _remembered.items():
         if name != what:
             forget()
+    release()
 
 
 @contextmanager

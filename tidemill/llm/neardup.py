@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, only, remember, short_batches, tasks, whole_numbers
+from tidemill.llm.common import Scratch, components, cut, free, join_groups, numbered, only, release, remember, short_batches, tasks, whole_numbers
 
 #: Coordinates of a band.
 BAND = 5
@@ -127,6 +127,8 @@ def sketches(docs: DataFrame, k: int, threshold: float, id_col: str = "doc_id",
                 made.append(short(s, t) if len(s) else None)
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
 
+        release()
+
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
 
 
@@ -157,6 +159,8 @@ def _groups(rows: DataFrame, schema: str, start: Callable, meet: Callable) -> Da
             cols = list(zip(*out, strict=True)) or [[]] * width
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in schema.split(", ")])
 
+        release()
+
     return dealt.mapInArrow(run, schema)
 
 

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import cut, only, remember, short_batches, tasks
+from tidemill.llm.common import cut, only, release, remember, short_batches, tasks
 
-MEMO = 300_000
+MEMO = 150_000
 
 
 #: A word's ASCII signs at its end are a piece of their own for the tokenizer; an apostrophe may not be.
@@ -144,6 +144,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_
                 types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], [id_col, "piece", "start", "length", "ids_crc32"])
 
+        release()
+
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
