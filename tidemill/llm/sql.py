@@ -102,5 +102,41 @@ q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to FROM q"""
 
 
+LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def collocations() -> str:
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_AZ}, '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(ws[1 : j], ' ') AS lp, array_to_string(ws[j + 1 : k], ' ') AS rp FROM c, (VALUES (1), (2)) t(j) WHERE j < k),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, x.n AS l, y.n AS r, (1000000::HUGEINT * a * a) // (x.n * y.n) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN longer USING (lang, phrase) WHERE b IS NULL OR 100 * b < 50 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM kept JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+def variants() -> str:
+    return rf"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) x(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER_AZ}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT less.word, d FROM less JOIN v ON v.word = d UNION SELECT d, less.word FROM less JOIN v ON v.word = d),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = other GROUP BY 1),
+up AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, at_) AS (SELECT word, word FROM up UNION ALL SELECT walk.word, up.form FROM walk JOIN up ON up.word = at_ WHERE up.form IS NOT NULL),
+root AS (SELECT walk.word, at_ AS root FROM walk JOIN up ON up.word = at_ WHERE up.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM up JOIN root USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_shards": shards(), "op7_urls": urls(), "op8_neardup": near_duplicates(), "op9_quality": quality_rules(), "op10_warc": warc()}
+    return {"op2_shards": shards(), "op7_urls": urls(), "op8_neardup": near_duplicates(), "op9_quality": quality_rules(), "op10_warc": warc(), "op12_collocations": collocations(), "op13_variants": variants()}
