@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import cleaning, formats, tablefix
 from tidemill.operators import changes, documents, fulltext, geo, index, metrics, neighbours, retrieve, sessions
 from tidemill.plans import tables
-from tidemill.sources import files
+from tidemill.sources import files, statements
 from tidemill.storage import cut, work_folder
 from tidemill.streaming import changesets, feeds
 
@@ -715,15 +715,56 @@ def test_exports(spark):
 
 
 def test_compaction_keeps_rows_and_place(spark):
-    path = work_folder(spark, "table")
+    path = work_folder(spark, "a table 1+1")
     spark.range(1000).withColumn("p", F.col("id") % 2).repartition(8).write.partitionBy("p").parquet(path)
     files_of = lambda p: spark.read.parquet(f"{path}/p={p}").select("_metadata.file_path").distinct().count()
-    files.compact(spark, path, 1, {"p": "1"})
+    assert files.compact(spark, path, order=["id"], partition={"p": "1"}) == 8
     assert (files_of(0) > 1, files_of(1)) == (True, 1) and spark.read.parquet(path).count() == 1000
-    files.compact(spark, path, 1)
+    assert [r["id"] for r in spark.read.parquet(f"{path}/p=1").collect()] == list(range(1, 1000, 2))
+    assert files.compact(spark, path) == 8 and files.compact(spark, path) == 0
     assert files_of(0) == 1 and sorted(r["id"] for r in spark.read.parquet(path).where("p = 0").collect()) == list(range(0, 1000, 2))
 
 
+def test_compaction_leaves_large_files_alone_and_ends_what_broke_off(spark, monkeypatch):
+    import os
+
+    path = work_folder(spark, "table")
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(path)
+    spark.range(200_000, 201_200).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(12).write.mode("append").parquet(path)
+    sizes = lambda: {f: os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-")}
+    before = sizes()
+    large, small = max(before, key=before.get), min(before.values())
+    assert files.compact(spark, path, 5 * small) == 12
+    after = sizes()
+    assert after[large] == before[large] and len(after) in (3, 4, 5) and not before.keys() - {large} & after.keys()
+    assert sorted(r["id"] for r in spark.read.parquet(path).select("id").collect()) == list(range(201_200))
+    # a break when all is certain, but nothing has moved yet
+    real = files.bins
+    spark.range(201_200, 201_300).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(3).write.mode("append").parquet(path)
+    jvm_list = spark.read.text
+    monkeypatch.setattr(type(spark.read), "text", lambda *a, **b: (_ for _ in ()).throw(OSError("broken off")))
+    with pytest.raises(OSError):
+        files.compact(spark, path, 100 * small)
+    monkeypatch.undo()
+    assert files.bins is real and jvm_list
+    files.compact(spark, path, 100 * small)
+    assert sorted(r["id"] for r in spark.read.parquet(path).select("id").collect()) == list(range(201_300)) and "_compact" not in os.listdir(path)
+
+
+def test_files_are_packed_by_best_fit():
+    got = files.bins({"a": 60, "b": 50, "c": 40, "d": 50, "e": 10, "f": 99, "g": 100}, 100)
+    assert sorted(map(sorted, got)) == [["a", "c"], ["b", "d"]] and files.bins({"a": 60, "b": 50}, 100) == [] and files.bins({}, 100) == []
+
+
+def test_views_of_the_user_stay(spark):
+    spark.range(3).createOrReplaceTempView("orders_view")
+    one_row = spark.range(1).withColumn("x", F.lit(5))
+    assert statements.run(spark, "SELECT x FROM orders_view", {"orders_view": one_row, "other_view": one_row}).first()["x"] == 5
+    assert metrics.evaluate({"orders_view": one_row}, {"m": "SELECT max(x) FROM orders_view WHERE x > 1"}).first()["value"] == 5.0
+    assert spark.table("orders_view").count() == 3 and not spark.catalog.tableExists("other_view")
+    spark.catalog.dropTempView("orders_view")
+
+
 def test_metrics_are_registered_and_evaluated(spark):
     now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     reg = spark.createDataFrame([("old", "SELECT 1 FROM t", "me")], "name string, formula string, created_by string").withColumn("created_at", now)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.operators import changes
+from tidemill.storage import named
 
 
 def validate(kpis: DataFrame, schema: dict[str, list[str]], formula: str = "formula") -> DataFrame:
@@ -52,9 +53,8 @@ def evaluate(tables: dict[str, DataFrame], formulas: dict[str, str]) -> DataFram
             simple.setdefault(m[2].lower(), {})[name] = m[1]
             continue
         spark = next(iter(tables.values())).sparkSession
-        for t, df in tables.items():
-            df.createOrReplaceTempView(t)
-        got = spark.sql(text)
+        with named(spark, tables):
+            got = spark.sql(text)
         parts.append(got.select(F.lit(name).alias("name"), F.col(f"`{got.columns[0]}`").cast("double").alias("value")))
     for t, own in simple.items():
         values = [F.struct(F.lit(n).alias("name"), F.expr(f).cast("double").alias("value")) for n, f in own.items()]

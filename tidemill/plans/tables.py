@@ -86,9 +86,9 @@ def jsonl_roundtrip(spark, sf_dir):
 @query("SELECT 'd' || (doc_id % 8) AS doc_id, count(*)::BIGINT AS n_docs FROM documents GROUP BY 1")
 def text_dir_ingest(spark, sf_dir):
     """Documents written as text files of bounded size in a folder per group, read back with the file's name kept."""
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id") % 8).alias("doc"), F.regexp_replace("text", r"[\r\n]", " ").alias("value"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id") % 8).alias("doc"), F.regexp_replace("text", r"[\r\n]", " ").alias("value"), "doc_id")
     path = work_folder(spark, "texts")
-    files.write_texts(docs, path, "doc", FILE_BYTES)
+    files.write_texts(docs, path, "doc", FILE_BYTES, "doc_id")
     good, _ = files.read_texts(spark, f"{path}/doc=*/*")
     named = good.select("text", F.input_file_name().alias("p"))
     lines = named.select(F.regexp_extract("p", "doc=([^/]+)/", 1).alias("doc_id"), (F.size(F.split("text", "\n")) - 1).cast("long").alias("n"))
@@ -151,7 +151,7 @@ def compact_table(spark, sf_dir):
     path = work_folder(spark, "many")
     table(spark, sf_dir, "events").repartition(16, F.rand(3)).withColumn("_file", F.spark_partition_id()).repartition(16, "_file").drop("_file").write.partitionBy("event_type").parquet(path)
     for kind in ("click", "view"):
-        files.compact(spark, path, 2, {"event_type": kind})
+        files.compact(spark, path, order=["event_id"], partition={"event_type": kind})
     e = spark.read.parquet(path)
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.min("ts").alias("first"), F.round(F.sum("value"), 4).alias("total"), (F.count_distinct("_metadata.file_path") <= 2).alias("few"))
 

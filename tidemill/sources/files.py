@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +19,16 @@ def read_texts(spark: SparkSession, folder: str, extension: str = ".txt") -> tup
     return named.where(valid), named.where(~valid).select("doc_id", F.lit("not UTF-8").alias("error"))
 
 
-def write_texts(lines: DataFrame, path: str, by: str, file_bytes: int) -> None:
+def write_texts(lines: DataFrame, path: str, by: str, file_bytes: int, key: str | None = None) -> None:
     """Write lines(by, value) as text, a folder for each by, in files of about file_bytes (a longer line is one file at least).
 
-    Each group's bytes give the number of its files; lines are dealt at random, so equal lines spread as others do.
+    Each group's bytes give the number of its files. A line's file follows from its value and its key, so a task that runs again deals
+    lines as before. Without a key the line's place in the input stands for it, which must then be the same in each run.
     """
     size = F.coalesce(F.octet_length("value"), F.lit(0)) + 1
     files = lines.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.sum(size) / file_bytes).alias("_files"))
-    dealt = lines.join(F.broadcast(files), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_file", F.floor(F.rand(7) * F.col("_files"))).select(by, "_file", "value")
+    keyed = lines.select(by, "value", (F.col(key) if key else F.monotonically_increasing_id()).alias("_key"))
+    dealt = keyed.join(files, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_file", F.pmod(F.xxhash64("value", "_key"), F.col("_files"))).select(by, "_file", "value")
     dealt.repartition(by, "_file").write.partitionBy(by, "_file").text(path)
 
 
@@ -82,27 +86,67 @@ def rebuild(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def compact(spark: SparkSession, path: str, files: int, partition: dict[str, str] | None = None) -> None:
-    """The same rows in `files` files, in the table's own place, for the whole table or one partition of it.
-
-    The rows are shuffled, so reading is as parallel as before and files are of one size. They are written beside the table and
-    take the old folder's place by renames when complete; a break between the two renames leaves the old rows in `<folder>.old`.
+def bins(sizes: dict[str, int], most: int) -> list[list[str]]:
+    """Files that go together, up to most bytes, the largest first into the fullest bin that has room; what stays alone is left out."""
+    out: list[tuple[int, list[str]]] = []
+    free: list[tuple[int, int]] = []  # (room, bin), ascending
+    for name in sorted(sizes, key=lambda n: (-sizes[n], n)):
+        at = bisect_left(free, (sizes[name], -1))
+        if at < len(free):
+            room, k = free.pop(at)
+            out[k] = out[k][0] + sizes[name], [*out[k][1], name]
+        else:
+            room, k = most, len(out)
+            out.append((sizes[name], [name]))
+        insort(free, (room - sizes[name], k))
+    return [names for _, names in out if len(names) > 1]
+
+
+def compact(spark: SparkSession, path: str, file_bytes: int = 128 << 20, order: list[str] | None = None, partition: dict[str, str] | None = None) -> int:
+    """Bring the small files of a Parquet table, or of one partition of it, together into files of about file_bytes; how many went.
+
+    Only files under file_bytes are read, those of a folder packed by best fit; files of that size or more, and one that nothing can go
+    with, stay as they are. With order the rows of a new file are sorted by it. New files are written hidden; a list of the old
+    ones, written last, makes it certain: from then on the old ones go and the new ones appear, by this call or, after a break,
+    by the next one. Readers should not be at it in between.
     """
-    folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in (partition or {}).items())])
     at = spark._jvm.org.apache.hadoop.fs.Path
-    fs = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = f"{work_folder(spark, 'compact')}", f"{path.rstrip('/')}.old"
-    rows = spark.read.parquet(folder)
-    inner = [c for c in spark.read.parquet(path).columns if c not in (partition or {})]
-    nested = [s.getPath().getName().partition("=")[0] for s in fs.listStatus(at(folder)) if "=" in s.getPath().getName()]
-    dealt = rows.select(*inner).repartition(files)
-    (dealt.write.partitionBy(nested[0]) if nested else dealt.write).parquet(new)
-    fs.delete(at(old), True)
-    fs.rename(at(folder), at(old))
-    if not fs.rename(at(new), at(folder)):
-        fs.rename(at(old), at(folder))
-        raise OSError(f"{new} cannot take the place of {folder}")
-    fs.delete(at(old), True)
+    root = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in (partition or {}).items())])
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    hidden = f"{root}/_compact"
+
+    def finish() -> None:
+        """What a list says: old files go, new ones take their places."""
+        if fs.exists(at(f"{hidden}/old")):
+            for r in spark.read.text(f"{hidden}/old").collect():  # as many as there were small files
+                fs.delete(at(r["value"]), False)
+            for s in fs.globStatus(at(f"{hidden}/new/_bin=*/part-*")) or []:
+                folder, _, k = s.getPath().getParent().getName().removeprefix("_bin=").rpartition("-")
+                fs.rename(s.getPath(), at(f"{bytes.fromhex(folder).decode() or root}/{s.getPath().getName().replace('part-', f'part-{k}-', 1)}"))
+        fs.delete(at(hidden), True)
+
+    finish()
+    small: dict[str, dict[str, int]] = {}
+    found = fs.listFiles(at(root), True)
+    while found.hasNext():
+        f = found.next()
+        name, folder = f.getPath().getName(), f.getPath().getParent().toString()
+        if name[0] not in "._" and "/_" not in folder.removeprefix(at(root).toString()) and f.getLen() < file_bytes:
+            small.setdefault(folder, {})[f.getPath().toString()] = f.getLen()
+    packed = [(name, f"{folder.encode().hex()}-{k}") for folder, sizes in small.items() for k, names in enumerate(bins(sizes, file_bytes)) for name in names]
+    if not packed:
+        return 0
+    # columns of the partition are in the folders' names, not in the files
+    inside = [c for c in spark.read.parquet(packed[0][0]).columns if f"/{c}=" not in packed[0][0]]
+    of = spark.createDataFrame(packed, "_file string, _bin string")  # a row a small file
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"^(\w+):/+", "$1:/")
+    rows = spark.read.parquet(*[n for n, _ in packed]).select(*[F.col(f"`{c}`") for c in inside], plain(F.col("_metadata.file_path")).alias("_file"))
+    rows = rows.join(of.withColumn("_file", plain(F.col("_file"))), "_file").drop("_file").repartition(len({b for _, b in packed}), "_bin")
+    rows.sortWithinPartitions("_bin", *(order or [])).write.partitionBy("_bin").parquet(f"{hidden}/new")
+    of.select(F.col("_file").alias("value")).coalesce(1).write.text(f"{hidden}/old.tmp")
+    fs.rename(at(f"{hidden}/old.tmp"), at(f"{hidden}/old"))
+    finish()
+    return len(packed)
 
 
 FORMS = ("csv", "text", "binary")

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,19 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     path = work_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def named(spark: SparkSession, tables: dict[str, DataFrame]) -> Iterator[None]:
+    """The tables by their names in SQL, for statements that are analysed meanwhile; views of these names that were there before are there again afterwards."""
+    before = {n: spark.table(n) for n in tables if spark.catalog.tableExists(n)}
+    kept = {n: df for n, df in before.items() if spark.catalog.dropTempView(n)}
+    try:
+        for n, df in tables.items():
+            df.createOrReplaceTempView(n)
+        yield
+    finally:
+        for n in tables:
+            spark.catalog.dropTempView(n)
+        for n, df in kept.items():
+            df.createOrReplaceTempView(n)
