@@ -109,14 +109,23 @@ def remember(what: str, forget: Callable[[], object]) -> None:
 
 
 _c: list[ctypes.CDLL] = []
+#: What mallopt() calls the size from which memory is taken from the machine by itself, and the number of arenas.
+MMAP_THRESHOLD, ARENA_MAX = -3, -8
 
 
 def release() -> None:
-    """Give memory that is free in this Python worker back to the machine; a worker otherwise keeps the most that it ever had."""
-    pa.default_memory_pool().release_unused()
+    """Give memory that is free in this Python worker back to the machine; a worker otherwise keeps the most that it ever had.
+
+    The first call also has batches and texts go back as soon as they are free, where the C library is glibc.
+    """
     if not _c:
         _c.append(ctypes.CDLL(None))
-    if hasattr(_c[0], "malloc_trim"):  # glibc has it
+        pa.set_memory_pool(pa.system_memory_pool())
+        if hasattr(_c[0], "mallopt"):
+            _c[0].mallopt(MMAP_THRESHOLD, 1 << 16)
+            _c[0].mallopt(ARENA_MAX, 1)
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c[0], "malloc_trim"):
         _c[0].malloc_trim(0)
 
 
@@ -129,7 +138,7 @@ def only(what: str) -> None:
 
 
 @contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+def short_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Rows go to Python workers in batches of so many at most: texts of 10,000 rows would stand in memory several times over."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
