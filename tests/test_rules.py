@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import cleaning, formats, tablefix
 from tidemill.operators import changes, documents, fulltext, geo, index, metrics, neighbours, retrieve, sessions
 from tidemill.plans import tables
-from tidemill.sources import files, statements
+from tidemill.sources import files, keyset, statements
 from tidemill.storage import cut, work_folder
 from tidemill.streaming import changesets, feeds
 
@@ -765,6 +765,46 @@ def test_views_of_the_user_stay(spark):
     spark.catalog.dropTempView("orders_view")
 
 
+def _database(path, rows):
+    import sqlite3
+
+    with sqlite3.connect(path) as c:
+        c.execute("CREATE TABLE IF NOT EXISTS events (seq INTEGER PRIMARY KEY, kind TEXT, value REAL)")
+        c.executemany("INSERT INTO events VALUES (?, ?, ?)", rows)
+    c.close()
+
+
+def test_tables_are_read_by_key(spark, tmp_path):
+    """Ranges of a table's own keys, in pages; several addresses, one without rows; names that are none are refused."""
+    rows = [(i * i, f"k{i % 3}", i / 4 if i % 5 else None) for i in range(1, 1001)]
+    for name, part in (("a", rows[:700]), ("b", rows[700:]), ("c", [])):
+        _database(tmp_path / name, part)
+    at = ",".join(str(tmp_path / n) for n in "abc")
+    df = keyset.read(spark, "seq long, value double, kind string", at, "events", "seq", page="7", range="100")
+    assert sorted(map(tuple, df.collect())) == [(s, v, k) for s, k, v in rows]
+    assert df.rdd.getNumPartitions() == 8 + 4 + 1
+    sizes = [n for n in df.rdd.glom().map(len).collect() if n]
+    assert max(sizes) == 100
+    assert keyset.read(spark, "kind string", at, "events", "seq").where("kind = 'k1'").count() == 334
+    with pytest.raises(Exception, match="no plain name"):
+        keyset.read(spark, "seq long", at, "events; DROP TABLE events", "seq").collect()
+
+
+def test_streams_go_on_from_a_key(spark, tmp_path):
+    """What is added between runs comes once, after restarts too; an address may get its first rows later."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    out, state = work_folder(spark, "out"), work_folder(spark, "state")
+    _database(a, [(i, "x", 1.0) for i in range(1, 51)])
+    _database(b, [])
+    for step, (path, seqs) in enumerate([(None, []), (a, range(51, 60)), (b, [5, 7]), (None, []), (b, [8])]):
+        if path:
+            _database(path, [(i, "y", 2.0) for i in seqs])
+        feeds.drain(keyset.stream(spark, "seq long, kind string", f"{a},{b}", "events", "seq", page="4", range="10"), path=out, state=state)
+        got = sorted(tuple(r) for r in spark.read.schema("seq long, kind string").parquet(out).collect())
+        want = [(i, "x") for i in range(1, 51)] + [(i, "y") for p, s in [(a, range(51, 60)), (b, [5, 7]), (None, []), (b, [8])][:step] if p for i in s]
+        assert got == sorted(want)
+
+
 def test_metrics_are_registered_and_evaluated(spark):
     now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     reg = spark.createDataFrame([("old", "SELECT 1 FROM t", "me")], "name string, formula string, created_by string").withColumn("created_at", now)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import formats
 from tidemill.operators import documents, metrics, profiles
-from tidemill.sources import files, jdbc, statements
+from tidemill.sources import files, jdbc, keyset, statements
 from tidemill.storage import table, work_folder
 
 #: Bytes of a text file, about, as each is one row when it is read.
@@ -60,6 +60,14 @@ def bulk_append_roundtrip(spark, sf_dir):
     return back.toDF(*[c.lower() for c in back.columns])
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def keyset_read(spark, sf_dir):
+    """Orders in a database spread over several addresses, read back in ranges and pages of the key."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").repartition(4, "o_orderkey")
+    at = keyset.write_shards(rows, work_folder(spark, "shards"), "orders", "o_orderkey")
+    return keyset.read(spark, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", at, "orders", "o_orderkey")
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS price,
   '{"status":"' || o_orderstatus || '","cust":' || o_custkey || '}' AS info FROM orders""")
 def copy_prepare(spark, sf_dir):
