@@ -14,7 +14,7 @@ from tidemill.operators import changes, documents, fulltext, geo, index, metrics
 from tidemill.plans import tables
 from tidemill.sources import files, keyset, statements
 from tidemill.storage import cut, work_folder
-from tidemill.streaming import changesets, feeds
+from tidemill.streaming import changesets, expiry, feeds
 
 
 def one(spark, column):
@@ -805,6 +805,23 @@ def test_streams_go_on_from_a_key(spark, tmp_path):
         assert got == sorted(want)
 
 
+def test_sessions_end_when_nothing_comes(spark):
+    """A session ends, is reported and goes; it may begin again; the next run goes on with those still open."""
+    path, out, state = (work_folder(spark, x) for x in ("in", "out", "state"))
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    waves = [[("a", 0), ("b", 5), ("a", 20), (None, 7)], [("c", 200), ("a", 90)], [("a", 300), ("c", 210)], [("d", 1000)], [("a", 1010)], [("d", 1300), ("a", 20)], [("d", 1301)]]
+    schema, before = "k string, t timestamp", spark.conf.get(expiry.PROVIDER)
+    try:
+        for i, rows in enumerate(waves):
+            spark.createDataFrame([(k, at(s)) for k, s in rows], schema).coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+            feeds.drain(expiry.ended_sessions(feeds.folder_stream(spark, f"{path}/*", schema, 1), "k", "t", 60, "150 seconds"), path=out, state=state)
+    finally:
+        spark.conf.set(expiry.PROVIDER, before)
+    got = sorted((r["k"], int((r["first_used"] - at(0)).total_seconds()), int((r["last_used"] - at(0)).total_seconds()), r["n"]) for r in spark.read.schema("k string, first_used timestamp, last_used timestamp, n long").parquet(out).collect())
+    # a's 300 came before the watermark, at 50 then, had passed its end at 150; the last 20 is behind the watermark; d is still open
+    assert got == [("a", 0, 300, 4), ("a", 1010, 1010, 1), ("b", 5, 5, 1), ("c", 200, 210, 2)]
+
+
 def test_metrics_are_registered_and_evaluated(spark):
     now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     reg = spark.createDataFrame([("old", "SELECT 1 FROM t", "me")], "name string, formula string, created_by string").withColumn("created_at", now)
