@@ -66,16 +66,19 @@ def directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
 def located(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     """rows (with _h) and their shard's _at (depth, p) and shard_bytes.
 
-    A row is in the one shard, among the depths in use, whose prefix it has. A directory of up to SEND shards is sent out, so rows
-    do not move; a larger one is joined, with the shards of many rows dealt in parts.
+    Shards are looked up by the bits that all of them have, the least depth in use: what begins so is a short list in order of the first
+    hashes, and a row's shard is the last that begins at or before its own. A directory of up to SEND shards is sent out, so rows do not
+    move; a larger one is joined, with the lists that many rows need dealt in parts.
     """
-    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())  # 61 at most
-    at = lambda depth, p: F.struct(depth.cast("int").alias("depth"), p.alias("p"))
-    tries = rows.withColumn("_at", F.explode(F.array(*[at(F.lit(d), prefix(F.col("_h"), F.lit(d))) for d in depths or [0]])))
-    keyed = leaves.select(at(F.col("depth"), F.col("p")).alias("_at"), "shard_bytes", "n")
-    if leaves.count() <= SEND:
-        return tries.join(F.broadcast(keyed.drop("n")), "_at")
-    return join_groups(tries, keyed, "_at", "_h", rows.count()).drop("n")
+    least = leaves.agg(F.coalesce(F.min("depth"), F.lit(0)).cast("int")).first()[0]
+    begins = F.call_function("shiftleft", "p", (F.lit(BITS) - F.col("depth")).cast("int"))
+    one = F.struct(begins.alias("begins"), F.col("depth").cast("int").alias("depth"), "p", "shard_bytes")
+    # hashes are even, so depths differ by little but for single documents or ids over the limit, which add 60 shards at most
+    lists = leaves.select(prefix(begins, F.lit(least)).alias("_bits"), one.alias("_one"), "n").groupBy("_bits").agg(F.sort_array(F.collect_list("_one")).alias("_own"), F.sum("n").alias("n"))
+    keyed = rows.withColumn("_bits", prefix(F.col("_h"), F.lit(least)))
+    met = keyed.join(F.broadcast(lists.drop("n")), "_bits") if leaves.count() <= SEND else join_groups(keyed, lists, "_bits", "_h", rows.count()).drop("n")
+    mine = met.withColumn("_mine", F.element_at(F.filter("_own", lambda x: x["begins"] <= F.col("_h")), -1))
+    return mine.select(*rows.columns, F.struct("_mine.depth", "_mine.p").alias("_at"), F.col("_mine.shard_bytes").alias("shard_bytes"))
 
 
 def name(at: Column) -> Column:
