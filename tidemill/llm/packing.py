@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, only, release, remember, short_batches, tasks
 
-MEMO = 100_000
+MEMO = 300_000
 
 
 #: A word's ASCII signs at its end are a piece of their own for the tokenizer; an apostrophe may not be.
