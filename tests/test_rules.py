@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import cleaning, formats, tablefix
-from tidemill.operators import changes, documents, fulltext, geo, index, metrics, neighbours, retrieve, sessions
+from tidemill.operators import changes, documents, fulltext, geo, index, metrics, neighbours, retrieve, sessions, substrings
 from tidemill.plans import tables
 from tidemill.sources import files, keyset, statements
 from tidemill.storage import cut, work_folder
@@ -151,6 +151,59 @@ def test_hybrid_extremes(spark):
     assert ids(1.0)[:2] == [10, 11] and ids(0.0)[:2] == [11, 12]
 
 
+def test_keyword_index_gives_what_a_scan_gives(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    part = lambda n: "".join(rng.choice(list("abÄß.x😀"), n))
+    texts = [(i, " ".join([*(part(int(rng.integers(1, 7))) for _ in range(int(rng.integers(0, 30)))), *["hot"] * (i % 3 > 0)])) for i in range(120)]
+    texts += [(500, None), (501, ""), (502, " \n\t "), (None, "hot"), (503, "hot\u00a0x\x0bend"), (504, "long" * 5000 + "needle" + "y" * 5000)]
+    asked = [(i, " ".join(part(int(rng.integers(1, 5))) for _ in range(6))) for i in range(30)]
+    asked += [(100, "hot HOT ab"), (101, "needle"), (102, ""), (103, None), (104, " "), (105, "nowhere"), (106, "t\u00a0x x\x0bend"), (107, "gnee dlex ngne"), (108, "😀")]
+    t, q = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    monkeypatch.setattr(substrings, "SHARD_TEXTS", 16)
+    monkeypatch.setattr(substrings, "PART_SHARDS", 3)
+    monkeypatch.setattr(substrings, "GATHERED", 50)
+    monkeypatch.setattr(substrings, "COUNTED", 7)
+    got = lambda df: sorted(map(tuple, df.collect()))
+    built = substrings.build(t)
+    want = got(retrieve.keyword(q, t.where("id is not null"), 5))
+    assert got(substrings.search(q, built, 5)) == want and {r[0] for r in want} >= {100, 101, 106, 107}
+    brute = []
+    for i, query in asked:
+        words = (query or "").lower().split(" ") if i != 106 else ["t\u00a0x", "x", "end"]
+        words = [w for w in words if w]
+        scores = sorted((-round(sum(w in text.lower() for w in words) / len(words), 6), j) for j, text in texts if text and j is not None and words)
+        brute += [(i, j, -n, rank) for rank, (n, j) in enumerate(scores[:5], 1) if n]
+    assert want == sorted(brute)
+    monkeypatch.setattr(substrings, "TEXTS_AT_ONCE", 7)
+    assert got(substrings.search(q, built, 5)) == want
+    none = substrings.build(t.limit(0))
+    assert got(substrings.search(q, none, 5)) == [] and got(substrings.search(q.limit(0), built, 5)) == []
+    # rows that share an id are one text
+    twice = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "alpha")], "id long, text string")
+    assert got(substrings.search(spark.createDataFrame([(1, "alp bet")], "query_id long, query string"), substrings.build(twice), 5)) == [(1, 1, 1.0, 1), (1, 2, 0.5, 2)]
+
+
+def test_keyword_index_reads_little_for_few_words(spark, tmp_path):
+    import shutil
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    built = substrings.build(docs, str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "zq7")], "query_id long, query string")
+    once = built.table("parts").where("not short and length(key) between 7 and 9").groupBy("key").count().orderBy("key").first()["key"]
+    q = q.union(spark.createDataFrame([(2, once)], q.schema))
+    want = sorted(map(tuple, substrings.search(q, built, 10).collect()))
+    assert want == sorted(map(tuple, retrieve.keyword(q, docs, 10).collect())) and want
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "index" / "postings").rglob("*.parquet"))
+    whole = size()
+    found = substrings.matches(spark.createDataFrame([(0, "zq7"), (1, once)], "t long, term string"), built)
+    needed = {r[0] for r in found.select(substrings._folder("key")).collect()}
+    for folder in (tmp_path / "index" / "postings").glob("_folder=*"):
+        if int(folder.name.split("=")[1]) not in needed:
+            shutil.rmtree(folder)
+    # the folders that no word leads to are not read, and those left are few
+    assert sorted(map(tuple, substrings.search(q, built, 10).collect())) == want and size() < whole / 10
+
+
 def test_long_query_tables_go_block_by_block(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((60, 8)).round(3)

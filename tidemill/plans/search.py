@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import fulltext, geo, index, neighbours, retrieve
+from tidemill.operators import fulltext, geo, index, neighbours, retrieve, substrings
 from tidemill.storage import cut, table
 
 QUERIES: dict = {}
@@ -100,6 +100,13 @@ def keyword_search(spark, sf_dir):
     return retrieve.keyword(_questions(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 10)
 
 
+@query(f"WITH {_Q}, {_KW} SELECT * FROM kr WHERE rank <= 10")
+def keyword_index(spark, sf_dir):
+    """As keyword_search, over an index of parts of words."""
+    built = substrings.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return substrings.search(_questions(spark, sf_dir), built, 10)
+
+
 # every question, with one of the query vectors
 _PAIRS = "pairs AS (SELECT query_id AS item, query_id % (SELECT count(*) FROM qv) * 50 AS vec FROM q)"
 _SR = f"sr AS (SELECT * FROM (SELECT item AS query_id, id, {_COS} AS score, row_number() OVER (PARTITION BY item ORDER BY {_COS} DESC, id) AS rank FROM v, qv JOIN pairs ON vec = qv.query_id WHERE {_COS} >= 0) WHERE rank <= {{}})"
