@@ -386,6 +386,15 @@ def test_distrust_does_not_depend_on_how_many_link(spark):
     assert got == want
 
 
+def test_very_long_pages_of_links(spark):
+    """Links are found to the end of a page; what looks like a link but is none, or never ends, is passed over."""
+    filler = "<p>href = no link // href='" * 40_000 + "x" * 300_000
+    rows = [("http://a.io/", filler + "'><a href='http://bad.com/x'>" + "<a href=" * 50_000), ("http://b.io/", filler + "'>" + "<a href='//bad.com/y'>" * 20_000), ("http://c.io/", filler), ("http://bad.com/", "")]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"]: r["verdict"] for r in urlgraph.judge(pages, {"bad.com/": "block"}).collect()}
+    assert got == {"a.io": "block", "b.io": "block", "c.io": "allow", "bad.com": "block"}
+
+
 def test_urls_by_sql(spark):
     """The query's SQL over a linked graph: cycles, several links, hosts without links out, parent domains, uncrawled targets."""
     import duckdb
@@ -406,11 +415,14 @@ def test_urls_by_sql(spark):
     assert urlgraph.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_host_scores_settle_as_a_plain_loop_does(spark):
+@pytest.mark.parametrize("cold", [256, 3])
+def test_host_scores_settle_as_a_plain_loop_does(spark, monkeypatch, cold):
+    """Also with hosts that most link to, or that link to most, dealt in parts."""
+    monkeypatch.setattr(common, "COLD_ROWS", cold)
     rng = random.Random(8)
     names = [f"h{i}.io" for i in range(60)]
     ruled = {h: ("allow" if i % 2 else "block") for i, h in enumerate(names[:12])}
-    pairs = [(a, b) for a in names for b in rng.sample(names, 4) if a != b]
+    pairs = [(a, b) for a in names for b in {*rng.sample(names, 4), names[20]} | ({*names[:40]} if a == names[30] else set()) if a != b]
     pages = spark.createDataFrame([(i, f"http://{a}/", f"<a href='http://{b}/'>") for i, (a, b) in enumerate(pairs)], "page_id long, url string, html string")
     named = pages.select(*(c.alias(n) for c, n in zip(urlgraph.parts(F.col("url")), ("host", "path"), strict=True)), "html")
     rules = {f"{h}/": v for h, v in ruled.items()}

@@ -8,7 +8,7 @@ surfer who starts at the host, follows links and gives up with 1 - DAMPING at ea
 personalised PageRank, ended at and summed over the blocked seeds; trust is the same against the links, for trusted seeds. Hosts
 link where a page has an absolute link to another host, and, in both directions, where one is the parent
 domain of the other. Means do not depend on how many other hosts link to the same one, so scores do not
-shrink as the graph grows. Everything is joins and sums of DataFrames, repeated until scores stay.
+shrink as the graph grows. Trust never blocks by its absence: a host that nothing is known of passes. Everything is joins and sums of DataFrames, repeated until scores stay.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import common
 from tidemill.llm.common import cut, join_groups
 
 HREF = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//"""
@@ -54,7 +55,7 @@ def ruling(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, C
     """Whether rules allow, and whether they block; an empty path is the root."""
     rule = rule_of(host, F.when(path == "", "/").otherwise(path), rules)
     allowed = rule.isin([r for r, v in rules.items() if v == "allow"])
-    return F.coalesce(allowed, F.lit(False)), F.coalesce(~allowed, F.lit(False))
+    return F.coalesce(allowed, F.lit(False)), F.coalesce(rule.isNotNull() & ~allowed, F.lit(False))  # without allow rules, isin is false for null too
 
 
 def edges(pages: DataFrame, host: str, html: str, rules: dict[str, str], names: DataFrame | None = None) -> DataFrame:
@@ -83,20 +84,27 @@ def host_scores(pages: DataFrame, links: DataFrame) -> DataFrame:
     known = links.select(F.col("dst").alias("host")).union(links.select("src")).distinct()
     hosts = judged.select("host", (F.col("allowed") / F.col("n")).alias("trust"), (F.col("blocked") / F.col("n")).alias("distrust"))
     hosts = hosts.join(known, "host", "full").na.fill(0.0, ["trust", "distrust"])
-    seeds = cut(hosts.select("host", F.lit(1) - F.col("trust") - F.col("distrust"), F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust"))).toDF("host", "open", "kind", "seed"), "seeds")
-    # the weight that each host takes from the score of another: distrust from where it links to, trust from where links come from
-    takes = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.lit("distrust").alias("kind")).union(links.select("dst", "src", "w", F.lit("trust")))
-    total = takes.groupBy("a", "kind").agg(F.sum("w").alias("all"))
-    shares = cut(takes.join(total, ["a", "kind"]).select("a", "b", "kind", (F.col("w") / F.col("all")).alias("share")), "shares")
-    score = seeds.select("host", "kind", F.col("seed").alias("s"))
-    moving = not shares.isEmpty()
+    # the weight with which each host takes the score of another: distrust from where it links to, trust from where links come from
+    takes = cut(links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w", F.lit("distrust").alias("kind")).union(links.select("dst", "src", "w", F.lit("trust"))), "takes")
+    total = takes.count()
+    # a host that many take from is dealt in parts; there are at most HOT_KEYS such hosts, so they may be sent out
+    most = max(common.COLD_ROWS, total // common.HOT_KEYS)
+    hot = cut(takes.groupBy("b", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("b", "kind", F.ceil(F.col("n") / most).alias("parts")), "hot")
+    parts = F.coalesce("parts", F.lit(1).cast("long")).alias("parts")
+    takes = cut(takes.join(F.broadcast(hot), ["b", "kind"], "left").select("a", "b", "kind", "w", F.pmod(F.xxhash64("a"), parts).alias("part")), "dealt")
+    seeds = hosts.select("host", F.lit(1) - F.col("trust") - F.col("distrust"), F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust"))).toDF("b", "open", "kind", "seed")
+    seeds = cut(seeds.join(F.broadcast(hot), ["b", "kind"], "left").select(F.col("b").alias("host"), "kind", "open", "seed", parts), "seeds")
+    score = seeds.select("host", "kind", "parts", F.col("seed").alias("s"))
+    moving = total > 0
     while moving:
-        before = score
+        before = score.select("host", "kind", F.col("s").alias("_s"))
         for _ in range(ROUNDS):
-            mean = shares.join(score.select(F.col("host").alias("b"), "kind", "s"), ["b", "kind"]).groupBy(F.col("a").alias("host"), "kind").agg(F.sum(F.col("s") * F.col("share")).alias("mean"))
-            score = seeds.join(mean, ["host", "kind"], "left").select("host", "kind", (F.col("seed") + F.col("open") * DAMPING * F.coalesce("mean", F.lit(0.0))).alias("s"))
+            given = score.select(F.col("host").alias("b"), "kind", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+            # every host that links know has a score, so the weights that meet one are all weights; summed within tasks first
+            mean = takes.join(given, ["b", "kind", "part"]).groupBy(F.col("a").alias("host"), "kind").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("mean"))
+            score = seeds.join(mean, ["host", "kind"], "left").select("host", "kind", "parts", (F.col("seed") + F.col("open") * DAMPING * F.coalesce("mean", F.lit(0.0))).alias("s"))
         score = cut(score, "scores")
-        change = score.join(before.withColumnRenamed("s", "_s"), ["host", "kind"]).agg(F.max(F.abs(F.col("s") - F.col("_s")))).first()[0]
+        change = score.join(before, ["host", "kind"]).agg(F.max(F.abs(F.col("s") - F.col("_s")))).first()[0]
         moving = change > TOLERANCE  # each round leaves DAMPING of the change at most
     s = F.round("s", 9)  # sums come in any order
     return score.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", s)).alias("trust"), F.max(F.when(F.col("kind") == "distrust", s)).alias("distrust"))
