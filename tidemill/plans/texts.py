@@ -159,8 +159,12 @@ def assemble_parts(spark, sf_dir):
 @query()
 def md_fix_tables(spark, sf_dir):
     """Order lines as broken markdown tables, repaired."""
-    line = F.concat(F.lit("| Item "), "l_linenumber", F.lit(" | "), F.round("l_quantity").cast("int"), F.lit(" | $ 1 | 96 | (241) |"))
-    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t"))))["t"], "\n").alias("rows"))
+    line = lambda x: F.concat(F.lit("| Item "), x["l_linenumber"], F.lit(" | "), x["q"], F.lit(" | $ 1 | 96 | (241) |"))
+    # numbers meet, and become text after that
+    each = F.collect_list(F.struct("l_linenumber", F.round("l_quantity").cast("int").alias("q")))
+    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(each.alias("x"))
+    lines = F.sort_array(F.transform("x", lambda x: F.struct(x["l_linenumber"], line(x).alias("t"))))
+    docs = docs.select("l_orderkey", F.array_join(lines["t"], "\n").alias("rows"))
     text = F.concat(F.lit("Three Months Ended June 30 and what follows it in the report of the year, as a table with some rows of values\n|  | 2024 | 2023 |\n|--|--|\n"), "rows")
     return docs.select("l_orderkey", tablefix.fix_tables()(text).alias("text"))
 
