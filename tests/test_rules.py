@@ -899,3 +899,25 @@ def test_lines_of_tables_that_come_again_are_repaired_once():
     assert got[0].split("\n")[3:] == [tablefix.fix_row(r) for r in rows[:5]] and got[0].split("\n")[1:3] == ["|  | 2024 | 2023 |", "|---|---|---|"]
     long = "| Year ended | " + "x" * 500 + " |"
     assert tablefix.fix_text(long + "\n| Revenue | $ 1 | 96 |").split("\n") == [tablefix.fix_header(long), tablefix.fix_row("| Revenue | $ 1 | 96 |")]
+
+
+def test_profile_of_tables_of_several_files(spark, tmp_path):
+    """The query agrees with its SQL however many files a table is in; the profile has their number."""
+    import shutil
+
+    import duckdb
+
+    from tidemill.operators import profiles
+    from tidemill.plans import tables
+
+    con = duckdb.connect()
+    for t in tables._TABLES:
+        if t in ("documents", "pages"):
+            spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+        else:
+            shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet{'/*.parquet' if t in ('documents', 'pages') else ''}'")
+    got = tables.db_profile(spark, str(tmp_path))
+    assert got.columns == [d[0] for d in con.execute(tables.SQL["db_profile"]).description]
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(tables.SQL["db_profile"]).fetchall())
+    assert [r["n_files"] for r in profiles.database_profile(spark, {t: f"{tmp_path}/{t}.parquet" for t in ("documents", "nation")}).collect()] == [3, 1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,8 +83,6 @@ def export_csv_roundtrip(spark, sf_dir):
     n, path = table(spark, sf_dir, "nation"), work_folder(spark, "export")
     for form in files.FORMS:
         files.export(n, f"{path}/{form}", form)
-    from functools import reduce
-
     return reduce(DataFrame.unionByName, [files.exported(spark, f"{path}/{form}", form, n.schema).select(F.lit(form).alias("form"), "*") for form in files.FORMS])
 
 
@@ -200,11 +200,19 @@ def table_profile(spark, sf_dir):
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::BIGINT AS n_rows, 1::BIGINT AS n_files, true AS has_bytes FROM {t}" for t in _TABLES))
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(files, bytes) of a table by its folder's listing."""
+    return spark.read.format("binaryFile").load(path).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+# SQL sees a table's rows, but not how many files they are in: these and their bytes are held against the listing of the files
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::BIGINT AS n_rows, true AS same_files, true AS same_bytes FROM {t}" for t in _TABLES))
 def db_profile(spark, sf_dir):
-    """Rows, files and bytes of each table."""
-    got = profiles.database_profile(spark, {t: f"{sf_dir}/{t}.parquet" for t in _TABLES})
-    return got.select("name", "n_rows", "n_files", (F.col("n_bytes") > 0).alias("has_bytes"))
+    """Rows of each table, and whether its files and bytes are those that are listed."""
+    paths = {t: f"{sf_dir}/{t}.parquet" for t in _TABLES}
+    listed = reduce(DataFrame.unionByName, [_listed(spark, p).withColumn("name", F.lit(t)) for t, p in paths.items()])
+    got = profiles.database_profile(spark, paths).join(F.broadcast(listed), "name")
+    return got.select("name", "n_rows", (F.col("n_files") == F.col("files")).alias("same_files"), (F.col("n_bytes") == F.col("bytes")).alias("same_bytes"))
 
 
 @query(f"SELECT {len(_TABLES)}::BIGINT AS n_tables, " + " + ".join(f"(SELECT count(*) FROM {t})" for t in _TABLES) + " AS n_rows, true AS same_bytes")
@@ -212,8 +220,6 @@ def db_totals(spark, sf_dir):
     """Tables, rows and megabytes of a database; the bytes are held against those of the files."""
     paths = {t: f"{sf_dir}/{t}.parquet" for t in _TABLES}
     got = profiles.database_totals(profiles.database_profile(spark, paths))
-    from functools import reduce
-
     files_ = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").load(p).select("length") for p in paths.values()]).agg(F.sum("length").alias("bytes"))
     return got.join(F.broadcast(files_)).select("n_tables", "n_rows", ((F.col("n_bytes") == F.col("bytes")) & (F.abs(F.col("megabytes") - F.col("bytes") / (1 << 20)) < 0.01)).alias("same_bytes"))
 
