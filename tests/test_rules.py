@@ -921,3 +921,24 @@ def test_profile_of_tables_of_several_files(spark, tmp_path):
     assert got.columns == [d[0] for d in con.execute(tables.SQL["db_profile"]).description]
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(tables.SQL["db_profile"]).fetchall())
     assert [r["n_files"] for r in profiles.database_profile(spark, {t: f"{tmp_path}/{t}.parquet" for t in ("documents", "nation")}).collect()] == [3, 1]
+
+
+def most_rows_at_once(spark, df, monkeypatch):
+    """The most rows that a task, run here over one batch of all rows, turns into Python's own objects before it gives some on."""
+    got: list[int] = []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: got.extend(b.num_rows for b in run(iter(self.toArrow().combine_chunks().to_batches()))) or self)
+    df()
+    return max(got)
+
+
+def test_workers_take_short_pieces(spark, monkeypatch):
+    """Batches of 10,000 texts stood in a worker several times over; results come a short piece of a batch at a time."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("One two. Three four.").alias("text"), F.lit("x").alias("path"), F.encode(F.lit("x" * 100), "utf-8").alias("content"))
+    assert most_rows_at_once(spark, lambda: index.sentences(docs, 2, 0), monkeypatch) <= 512  # two chunks each
+    assert most_rows_at_once(spark, lambda: index.postings(docs), monkeypatch) <= 4 * 256
+    assert most_rows_at_once(spark, lambda: index.embed(docs.select("doc_id", "text"), index.hash_embedder()), monkeypatch) <= 256
+    assert most_rows_at_once(spark, lambda: tablefix.parse_all(docs, lambda name, data: (name, "")), monkeypatch) <= 256
+    wide = docs.limit(100).withColumn("content", F.encode(F.repeat(F.lit("x"), 1 << 20), "utf-8"))
+    assert most_rows_at_once(spark, lambda: tablefix.parse_all(wide, lambda name, data: (name, "")), monkeypatch) <= 4
+
