@@ -942,3 +942,23 @@ def test_workers_take_short_pieces(spark, monkeypatch):
     wide = docs.limit(100).withColumn("content", F.encode(F.repeat(F.lit("x"), 1 << 20), "utf-8"))
     assert most_rows_at_once(spark, lambda: tablefix.parse_all(wide, lambda name, data: (name, "")), monkeypatch) <= 4
 
+
+def test_chunks_in_tokens_by_remembered_pieces():
+    """As through the library whole, for texts of odd white space and added tokens too, and in a part of the time."""
+    import random
+    import time
+
+    import public_tokenizers as P
+
+    tokens, chance = index.Tokens(P.path("byte_bpe_50k.json")), random.Random(4)
+    whole = lambda x: tokens.tokenizer.encode(x, add_special_tokens=False).offsets
+    signs = [*"ab'sé1 \n\n.!?  \t\x85\x1c　你-", "'re", " the", "<|endoftext|>"]
+    for k in range(600):
+        text = "".join(chance.choices(signs[: None if k % 5 == 0 else -1], k=chance.randint(0, 150)))
+        for size, overlap in ((5, 2), (40, 10)):
+            assert index.token_chunks(text, tokens, size, overlap) == index.token_chunks(text, whole, size, overlap), text
+    text = " ".join(f"This is sentence {k % 50} of a text of many." for k in range(20_000))
+    began = time.process_time()
+    fast = index.token_chunks(text, tokens, 512, 100)
+    between = time.process_time()
+    assert fast == index.token_chunks(text, whole, 512, 100) and 2 * (between - began) < time.process_time() - between
