@@ -962,3 +962,22 @@ def test_chunks_in_tokens_by_remembered_pieces():
     fast = index.token_chunks(text, tokens, 512, 100)
     between = time.process_time()
     assert fast == index.token_chunks(text, whole, 512, 100) and 2 * (between - began) < time.process_time() - between
+
+
+def test_centres_at_one_place_are_searched_once(spark, monkeypatch):
+    """A thousand centres at two places meet the points of two; a centre of two places has the best of both, repeated rows count once."""
+    from tidemill.operators import geo
+
+    asked, cuts = spark.range(1000).select(F.col("id").alias("query_id"), (F.col("id") % 2).cast("double").alias("lon"), F.lit(5.0).alias("lat")), {}
+    real = geo.cut
+    monkeypatch.setattr(geo, "cut", lambda df, what: cuts.setdefault(what, []).append(real(df, what)) or cuts[what][-1])
+    points = spark.range(3000).select("id", (F.col("id") % 50).cast("double").alias("lon"), (F.col("id") % 40).cast("double").alias("lat"))
+    got = geo.near_many(asked.union(asked).union(spark.createDataFrame([(0, 1.0, 5.0)], "query_id long, lon double, lat double")), points, None, 3)
+    assert max(df.count() for df in cuts["front"]) < 2 * 3000 and cuts["front"][0].count() == 2
+    rows = points.crossJoin(spark.createDataFrame([(0.0,), (1.0,)], "p double")).select("id", "p", (-F.round(geo.distance("p", F.lit(5.0), "lon", "lat"), 3)).alias("score")).collect()
+    best = {p: sorted((-r["score"], r["id"]) for r in rows if r["p"] == p)[:3] for p in (0.0, 1.0)}
+    want = {q: best[float(q % 2)] for q in range(1, 1000)} | {0: sorted(best[0.0] + best[1.0])[:3]}
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    assert found == want

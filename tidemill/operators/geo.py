@@ -98,7 +98,7 @@ def near_many(centres: DataFrame, points: DataFrame, most: float | None, k: int)
     most is the greatest distance, or None. Points are in an octree whose cells split where they are many. A centre goes down from the root: of the cells
     it has come to, those with the least greatest distances that have k points give it a bound, and cells that begin beyond it
     are left; so it only meets the points of a few leaves, of CELL points or fewer, in a dense city as in the open sea. Points at one place count by
-    their k smallest ids. Rows without a place or id are near to nothing.
+    their k smallest ids, and centres at one place go down as one. Rows without a place or id are near to nothing.
     """
     placed = lambda df, key: df.where(f"{key} is not null and lon is not null and lat is not null and not isnan(lon) and not isnan(lat)")
     part = F.pmod(F.xxhash64("id"), F.lit(64))
@@ -108,32 +108,35 @@ def near_many(centres: DataFrame, points: DataFrame, most: float | None, k: int)
     some = cut(some.select("id", "lon", "lat", *_xyz("lon", "lat")).withColumn("cell", _cell(LEVELS)), "points")
     nodes = tree(some)
     bound = F.lit(float("inf") if most is None else 2 * math.sin(min(most / EARTH_M, math.pi) / 2) + MARGIN)
-    asked = placed(centres, "query_id").select("query_id", F.col("lon").cast("double").alias("_lon"), F.col("lat").cast("double").alias("_lat"))
-    asked = asked.select("query_id", "_lon", "_lat", *[c.alias(n) for c, n in zip(_xyz("_lon", "_lat"), "xyz", strict=True)])
+    asked = placed(centres, "query_id").select("query_id", F.col("lon").cast("double").alias("_lon"), F.col("lat").cast("double").alias("_lat")).distinct()
+    places = asked.select("_lon", "_lat").distinct()
+    places = places.select("_lon", "_lat", *[c.alias(n) for c, n in zip(_xyz("_lon", "_lat"), "xyz", strict=True)])
 
     def kept(rows: DataFrame) -> DataFrame:
         """Without cells that begin beyond where k points are sure to be."""
         low, high = _reach(F.col("level"), F.col("cell"))
-        w = Window.partitionBy("query_id", "_lon", "_lat")
+        w = Window.partitionBy("_lon", "_lat")
         rows = rows.withColumn("_low", low).withColumn("_high", high)
         rows = rows.withColumn("_before", F.coalesce(F.sum("n").over(w.orderBy("_high", "level", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         rows = rows.withColumn("_all", F.sum("n").over(w)).withColumn("_sure", F.max(F.when(F.col("_before") < k, F.col("_high"))).over(w))
         return rows.where(F.col("_low") <= F.least(bound, F.when(F.col("_all") >= k, F.col("_sure")).otherwise(F.lit(float("inf"))))).drop("_low", "_high", "_before", "_all", "_sure")
 
     root = nodes.where("level = 0").select("level", "cell", "n", "leaf")
-    front = cut(asked.distinct().join(F.broadcast(root)), "front")  # one row
+    front = cut(places.join(F.broadcast(root)), "front")  # one row
     down = nodes.select("level", "parent", F.col("cell").alias("_cell"), F.col("n").alias("_n"), F.col("leaf").alias("_leaf"))
     for level in range(1, LEVELS + 1):
         inner = front.where("not leaf")
         if inner.isEmpty():
             break
         below = inner.drop("level").join(down.where(F.col("level") == level), F.col("cell") == F.col("parent"))
-        below = below.select("query_id", "_lon", "_lat", "x", "y", "z", "level", F.col("_cell").alias("cell"), F.col("_n").alias("n"), F.col("_leaf").alias("leaf"))
+        below = below.select("_lon", "_lat", "x", "y", "z", "level", F.col("_cell").alias("cell"), F.col("_n").alias("n"), F.col("_leaf").alias("leaf"))
         front = cut(kept(front.where("leaf").unionByName(below)), "front")
     leaves = nodes.where("leaf").select(F.col("level").alias("_level"), F.col("cell").alias("_cell"), "n")
     depth = [r[0] for r in leaves.select("_level").distinct().collect()]  # LEVELS + 1 rows at most
     at = F.explode(F.array(*[F.struct(F.lit(d).alias("level"), F.call_function("shiftright", "cell", F.lit(3 * (LEVELS - d))).alias("cell")) for d in depth or [0]]))
     keyed = some.select("id", "lon", "lat", at.alias("_at")).join(leaves.select(F.struct(F.col("_level").alias("level"), F.col("_cell").alias("cell")).alias("_at")), "_at", "left_semi")
-    met = front.select("query_id", "_lon", "_lat", F.struct("level", "cell").alias("_at")).join(keyed, "_at")
+    met = front.select("_lon", "_lat", F.struct("level", "cell").alias("_at")).join(keyed, "_at")
     scored = met.withColumn("score", -F.round(distance(F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat")), 3))
-    return top((scored if most is None else scored.where(F.col("score") >= -most)).select("query_id", "id", "score"), "query_id", k)
+    found = (scored if most is None else scored.where(F.col("score") >= -most)).select(F.struct("_lon", "_lat").alias("_place"), "id", "score")
+    best = cut(top(found, "_place", k).select("_place._lon", "_place._lat", "id", "score"), "nearest")
+    return top(asked.join(best, ["_lon", "_lat"]).select("query_id", "id", "score"), "query_id", k)
