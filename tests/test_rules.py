@@ -245,6 +245,35 @@ def test_text_files_are_of_bounded_size(spark, monkeypatch):
     assert plain(spark, seen[0])[0].count() > 8
 
 
+def test_rows_without_direction_take_no_place_of_a_hit(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.2]), (3, [0.0, 0.0]), (5, None), (6, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, [-1.0, 0.0])], "query_id long, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in retrieve.semantic(q, v, 2, 0.1).collect())
+    assert got == [(7, 1, 0), (7, 2, 1), (9, 1, 6)]
+
+
+def test_a_scan_of_all_vectors_needs_one_python_worker_a_task(spark, monkeypatch):
+    """Vectors stay packed up to the task that compares them, and it makes a bounded number of scores at once."""
+    monkeypatch.setattr(neighbours, "SCAN", -1)
+    monkeypatch.setattr(retrieve, "SCORES", 500)
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(_clustered(200).tolist())], "id long, vector array<float>")
+    packed, kind = neighbours._packed(v)
+    found = neighbours._search(cut(packed), kind, 5, 0.1, 0.95)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    s = _cosines(v.collect())
+    want = {(i, int(j)) for i in range(200) for j in np.lexsort((np.arange(200), -s[i]))[:5] if s[i, j] >= 0.1}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == want
+    most, add = [0], retrieve.Best.add
+    best = retrieve.Best(3, 2)
+    for at in range(0, 40, 4):
+        add(best, np.arange(at, at + 4), np.tile(np.arange(at, at + 4, dtype=float)[:, None], 3), 0.0, 6)
+        most[0] = max(most[0], best.size)
+    best.settle()
+    assert most[0] <= 6 and best.id.tolist() == [39, 38] * 3 and best.q.tolist() == [0, 0, 1, 1, 2, 2]
+
+
 def _cosines(rows):
     x = np.array([r["vector"] for r in rows], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -16,12 +16,13 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators.retrieve import semantic, top
+from tidemill.operators.retrieve import SCORES, semantic, top
 from tidemill.storage import cut
+from tidemill.workers import pieces
 
 #: Vectors that centres are fitted on, about, and the least of them for each cell.
 SAMPLE, EACH = 65_536, 8
@@ -70,7 +71,7 @@ def _packed(vectors: DataFrame) -> tuple[DataFrame, str]:
     kind = "<f4" if vectors.schema["vector"].dataType.simpleString() == "array<float>" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             data = [None if v is None or not any(v) else np.array(v, kind).tobytes() for v in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], ["id", "vector"])
 
@@ -85,10 +86,12 @@ def fit(distinct: DataFrame, kind: str, k: int, threshold: float, recall: float)
     cells = max(1, min(2 * int(n**0.5), len(sample) // EACH))
     c = centres(matrix(sample, kind), cells) if sample else np.zeros((1, 1))
 
+    step = max(1, SCORES // cells)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+        for batch in pieces(batches, SCORES):
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 near = matrix(part.column(1).to_pylist(), kind) @ c.T
                 cell = near.argmax(1)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(cell), pa.array(near[np.arange(len(cell)), cell])], ["id", "vector", "cell", "near"])
@@ -97,8 +100,7 @@ def fit(distinct: DataFrame, kind: str, k: int, threshold: float, recall: float)
     asked = seldom(ASKED, 2).toArrow()
     if not asked.num_rows:
         return Search(homes, c, 1, kind)
-    unpacked = lambda df: df.select(F.col("id"), _list("vector", kind).alias("vector"))
-    truth = semantic(unpacked(seldom(ASKED, 2)).withColumnRenamed("id", "query_id"), unpacked(distinct), k + 1, threshold).where("id != query_id")
+    truth = semantic(seldom(ASKED, 2).withColumnRenamed("id", "query_id"), distinct, k + 1, threshold, kind).where("id != query_id")
     where = truth.join(homes.select("id", "cell"), "id").select("query_id", "cell").toArrow()  # (k + 1) times ASKED rows or twice that
     order = np.argsort(-(matrix(asked["vector"].to_pylist(), kind) @ c.T), axis=1)
     place = np.empty_like(order)
@@ -109,14 +111,6 @@ def fit(distinct: DataFrame, kind: str, k: int, threshold: float, recall: float)
     return Search(homes, c, depth, kind)
 
 
-def _list(column: str, kind: str) -> Column:
-    @F.pandas_udf("array<double>")
-    def read(v: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, kind).astype(float) for x in v])
-
-    return read(column)
-
-
 def visits(s: Search, found: DataFrame | None, k: int, threshold: float) -> DataFrame:
     """(id, vector, cell): the cells that each vector is still to be compared in. found: the k best of each so far."""
     sizes = s.homes.groupBy("cell").agg(F.min("near").alias("far")).toArrow()  # a row a cell
@@ -125,11 +119,12 @@ def visits(s: Search, found: DataFrame | None, k: int, threshold: float) -> Data
     least = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
     rows = s.homes.join(least, "id", "left").select("id", "vector", "cell", F.when(F.col("_n") >= k, F.greatest(F.col("_kth"), F.lit(threshold))).otherwise(F.lit(float(threshold))).alias("least"))
     c, depth, kind = s.centres, s.depth, s.kind
+    step = max(1, SCORES // len(c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+        for batch in pieces(batches, SCORES):
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 near = matrix(part.column(1).to_pylist(), kind) @ c.T
                 own, least = part.column(2).to_numpy(), part.column(3).to_numpy()
                 # the best that a cell can have: its centre's angle less its radius
@@ -175,8 +170,8 @@ def compare(asking: DataFrame, homes: DataFrame, k: int, threshold: float, kind:
 def _search(distinct: DataFrame, kind: str, k: int, threshold: float, recall: float) -> DataFrame:
     s = fit(distinct, kind, k, threshold, recall)
     if s.depth > SCAN * len(s.centres):
-        every = s.homes.select("id", _list("vector", kind).alias("vector"))
-        hits = semantic(every.withColumnRenamed("id", "query_id"), every, k + 1, threshold)
+        every = s.homes.select("id", "vector")
+        hits = semantic(every.withColumnRenamed("id", "query_id"), every, k + 1, threshold, kind)
         return top(hits.where("id != query_id").drop("rank"), "query_id", k)
     at_home = cut(top(compare(s.homes, s.homes, k, threshold, kind), "query_id", k).drop("rank"), "at_home")
     further = compare(cut(visits(s, at_home, k, threshold), "visits"), s.homes, k, threshold, kind)

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.storage import cut
+from tidemill.workers import pieces
 
 #: Rows of a queries table, about, that are sent to every task at once; longer tables go block by block.
 QUERIES_AT_ONCE = 4096
 #: Queries by words whose word counts are sent to every task at once.
 TEXTS_AT_ONCE = 512
+#: Scores of rows and queries that a task makes at once.
+SCORES = 1_000_000
 #: Different words of texts that a task remembers at most, and the length up to which it does.
 REMEMBERED, LONGEST = 200_000, 60
 #: Bounds of a search request.
@@ -53,63 +56,80 @@ class Best:
     def __init__(self, n: int, k: int):
         self.n, self.k = n, k
         self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, least: float) -> None:
-        """scores: a row for each id, a column for each query; those below least do not count."""
-        if len(ids) > self.k:
-            kth = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
-            least = np.maximum(least, np.where(np.isnan(kth), -np.inf, kth))
-        row, q = np.nonzero(scores >= least)
-        q, at, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids[row]]), np.concatenate([self.score, scores[row, q]])
+        # the k-th best score of each query when it was last looked at; rows found since then
+        self.kth, self.held, self.size = np.full(n, -np.inf), [], 0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, least: float, digits: int | None = None) -> None:
+        """scores: a row for each id, a column for each query; those below least do not count, nan never. With digits, scores are rounded where they may count."""
+        rounded = (lambda x: x) if digits is None else (lambda x: np.round(x, digits))
+        bar = np.maximum(least, self.kth)
+        if len(ids) > self.k and len(open_ := np.flatnonzero(np.isneginf(self.kth))):
+            kth = rounded(np.partition(scores[:, open_], len(ids) - self.k, axis=0)[len(ids) - self.k])
+            bar[open_] = np.maximum(bar[open_], np.where(np.isnan(kth), -np.inf, kth))
+        row, q = np.nonzero(scores >= (bar if digits is None else bar - 10.0**-digits))
+        score = rounded(scores[row, q])
+        row, q, score = (x[score >= bar[q]] for x in (row, q, score))
+        self.held.append((q, ids[row], score))
+        self.size += len(q)
+        if self.size > self.n * self.k:
+            self.settle()
+
+    def settle(self) -> None:
+        q, at, score = (np.concatenate(x) for x in zip((self.q, self.id, self.score), *self.held, strict=True))
         order = np.lexsort((at, -score, q))
         q, at, score = q[order], at[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         self.q, self.id, self.score = (x[place < self.k] for x in (q, at, score))
+        self.kth[q[place == self.k - 1]] = score[place == self.k - 1]
+        self.held, self.size = [], 0
 
     def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        self.settle()
         return pa.record_batch([pa.array(names[self.q], pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score, pa.float64())], ["query_id", "id", "score"])
 
 
-def _scan(rows: DataFrame, names: np.ndarray, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], least: float) -> DataFrame:
+def _scan(rows: DataFrame, names: np.ndarray, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], least: float, digits: int | None = None) -> DataFrame:
     """The k best of each query over all rows: each task's best first, then those of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(names), k)
-        for batch in batches:
+        for batch in pieces(batches, max(1, SCORES // len(names))):
             for ids, scores in score(batch):
-                best.add(ids, scores, least)
+                best.add(ids, scores, least, digits)
         yield best.batch(names)
 
     return top(rows.mapInArrow(run, "query_id long, id long, score double"), "query_id", k)
 
 
-def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+def _unit(vectors: pa.Array, kind: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(which of vectors, lists or packed, have a direction, these scaled to length 1)."""
+    x = np.frombuffer(b"".join(vectors.to_pylist()), kind).reshape(len(vectors), -1).astype(float) if kind else np.array(vectors.to_pylist(), float)
+    n = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+    has = np.flatnonzero(n > 0)
+    return has, x[has] / n[has, None]
+
+
+def semantic(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 0.0, kind: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): cosine of queries(query_id, vector) and vectors(id, vector), at least threshold.
 
-    Rows without a vector, and vectors of length 0, are like nothing.
+    Rows without a vector, and vectors of length 0, are like nothing. kind: the numbers of vectors that are packed as bytes.
     """
     q = queries.where("vector is not null").select(F.col("query_id").cast("long"), "vector")
     v = vectors.where("vector is not null").select(F.col("id").cast("long"), "vector")
 
-    def unit(x: list) -> np.ndarray:
-        x = np.array(x, float)
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(n == 0, np.nan, n)
-
     def answer(block: DataFrame) -> DataFrame:
-        asked = block.collect()  # at most about QUERIES_AT_ONCE rows
-        if not asked:
+        asked = block.toArrow()  # at most about QUERIES_AT_ONCE rows
+        has, matrix = _unit(asked["vector"].combine_chunks(), kind) if asked.num_rows else (np.zeros(0, int), None)
+        if not len(has):
             return top(v.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")), "query_id", k)
-        names, matrix = np.array([r["query_id"] for r in asked]), unit([r["vector"] for r in asked])
-        sent = v.sparkSession.sparkContext.broadcast(matrix)
+        names, sent = asked["query_id"].to_numpy()[has], v.sparkSession.sparkContext.broadcast(matrix)
 
         def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            size = max(1, 4_000_000 // len(names))
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                yield part.column(0).to_numpy(), np.round(unit(part.column(1).to_pylist()) @ sent.value.T, 6)
+            has, rows = _unit(batch.column(1), kind)
+            if len(has):
+                yield batch.column(0).to_numpy()[has], rows @ sent.value.T
 
-        return _scan(v, names, k, score, threshold)
+        return _scan(v, names, k, score, threshold, 6)
 
     return by_blocks(q, answer)
 
@@ -162,11 +182,8 @@ def keyword(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             words, of, total = sent.value
             if not finders:
                 finders.append(Finder(words))
-            size = max(1, 1_000_000 // len(names))
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                hits = np.stack([of[finders[0](t.as_py())].sum(0, dtype=float) for t in part.column(1)])
-                yield part.column(0).to_numpy(), np.round(hits / total, 6)
+            hits = np.stack([of[finders[0](t.as_py())].sum(0, dtype=float) for t in batch.column(1)])
+            yield batch.column(0).to_numpy(), np.round(hits / total, 6)
 
         return _scan(rows, names, k, score, np.nextafter(0, 1))
 
