@@ -145,6 +145,22 @@ def test_phrases_against_a_plain_loop(spark, monkeypatch, every, held, bits):
     assert collocations.mine(df.limit(0)).count() == 0
 
 
+def test_each_different_word_of_a_batch_is_looked_at_once():
+    """What is counted in a block is its different words and phrases, not each of their places."""
+    texts = ["a b a b c", "a b a b", "x", "b a b c"] * 50
+    batch = pa.record_batch([pa.array(["en"] * 200), pa.array(texts), pa.array([0, 2, 0, 0] * 50, pa.int32()), pa.array([1, 2, 3, 4] * 50, pa.int64())], ["lang", "chunk", "context", "n"])
+    (block,) = collocations.blocks(batch)
+    assert sorted(block.known.to_pylist()) == [b".", b"a", b"b", b"c", b"x"] and len(set(collocations.mixed_bytes(block.known))) == 5
+    want = defaultdict(int)
+    for text, context, n in [("a b a b c", 0, 1), ("a b a b", 2, 2), ("x", 0, 3), ("b a b c", 0, 4)]:
+        words = text.split()
+        for k in range(1, 6):
+            for i in range(min(len(words) - k + 1, len(words) - context)):
+                want[k, " ".join(words[i : i + k]).encode()] += 50 * n
+    got = [((k, p), n) for k, found, total in collocations.phrases(block, np.r_[block.whole, False], 5) for p, n in zip(found.to_pylist(), total.tolist(), strict=True)]
+    assert dict(got) == want and len(got) == len(want)
+
+
 def test_phrase_arithmetic_is_exact(spark):
     """Counts whose products pass 64 bits."""
     big = 3_000_000_019

@@ -29,8 +29,8 @@ from tidemill.llm.common import Scratch, cut, only, remember, short_batches
 EVERY = 16
 #: Bits of the map, a power of two: 8 MiB.
 MAP_BITS = 1 << 26
-#: Phrases that a counting task holds before it gives their sums on.
-HELD = 200_000
+#: Phrases, and pairs of words, that a counting task gathers from batches before it gives their sums on.
+HELD = 1_000_000
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 200_000
 #: Parts that a language's candidates are ranked in first.
@@ -107,12 +107,27 @@ def dictionary(docs: DataFrame, most_words: int, text_col: str = "text", group_c
     return rows.mapInArrow(run, "lang string, chunk string, context int").groupBy("lang", "chunk", "context").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mixed_bytes(words: pa.BinaryArray) -> np.ndarray:
+    """Hash of each word from its bytes in the Arrow array, never 0; that of a break is 0. For the map alone, where words that share a hash do no harm."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        h = np.add.reduceat((data + np.uint64(1)) * powers[place], starts) if len(data) else np.zeros(0, np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) | np.uint64(1)
+    h[pa.compute.equal(words, BREAK).to_numpy(zero_copy_only=False)] = 0
+    return h
+
+
 class Block(NamedTuple):
-    """Chunks of one group in a row, breaks between them."""
+    """Chunks of one group in a row, breaks between them. Each different word is looked at once; the words in a row are its numbers."""
 
     lang: str
-    words: list[bytes]
-    hashes: np.ndarray
+    known: pa.BinaryArray  # the different words
+    ids: np.ndarray  # the words in a row, as places in known
     weights: np.ndarray  # of the phrases that begin at each word; 0 for what is the next chunk's, and for breaks
     pairs: np.ndarray  # hash of each word, the next and the group
     whole: np.ndarray  # whether there is such a pair
@@ -122,17 +137,35 @@ def blocks(batch: pa.RecordBatch) -> Iterator[Block]:
     lang, chunk, context, n = batch.columns
     for one in lang.unique():
         at = np.flatnonzero(pa.compute.equal(lang, one).to_numpy(zero_copy_only=False))
-        texts = chunk.take(pa.array(at)).cast(pa.binary()).to_pylist()
-        sizes = np.array([t.count(b" ") + 1 for t in texts])
-        words = b" . ".join(texts).split(b" ")
-        h = hashed(words)
+        texts = chunk.take(pa.array(at)).cast(pa.binary())
+        sizes = pa.compute.count_substring(texts, " ").to_numpy() + 1
+        split = pa.compute.split_pattern(pa.array([b" . ".join(texts.to_pylist())], pa.binary()), " ").flatten().dictionary_encode()
+        known, ids = split.dictionary, split.indices.to_numpy().astype(np.int64)
+        h = mixed_bytes(known)[ids]
         own, weight = context.to_numpy()[at], n.to_numpy()[at]
         # each chunk's words, then a break, but for the last
-        within = np.arange(len(words)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)[: len(words)]
-        weights = np.where(within < np.repeat(sizes - own, sizes + 1)[: len(words)], np.repeat(weight, sizes + 1)[: len(words)], 0)
+        within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)[: len(ids)]
+        weights = np.where(within < np.repeat(sizes - own, sizes + 1)[: len(ids)], np.repeat(weight, sizes + 1)[: len(ids)], 0)
         weights[h == 0] = 0
         mixed, whole = windows(h, 2)
-        yield Block(one.as_py(), words, h, weights, mixed ^ np.uint64(xxhash.xxh3_64_intdigest(one.as_py())), whole)
+        yield Block(one.as_py(), known, ids, weights, mixed ^ np.uint64(xxhash.xxh3_64_intdigest(one.as_py())), whole)
+
+
+def phrases(b: Block, may: np.ndarray, most_words: int) -> Iterator[tuple[int, pa.BinaryArray, np.ndarray]]:
+    """(words, phrases, occurrences): the different phrases of each length from 1 in a block; of two words and more, where may holds for all their pairs."""
+    total = np.zeros(len(b.known), np.int64)
+    np.add.at(total, b.ids, b.weights)
+    seen = np.flatnonzero(total)
+    yield 1, b.known.take(pa.array(seen)), total[seen]
+    at = np.flatnonzero(may & (b.weights > 0))
+    code = b.ids[at]  # numbers what stands at each place so far
+    for k in range(2, most_words + 1):
+        _, first, code = np.unique(code * len(b.known) + b.ids[at + k - 1], return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, code, b.weights[at])
+        yield k, pa.compute.binary_join_element_wise(*(b.known.take(pa.array(b.ids[at[first] + i])) for i in range(k)), b" "), total
+        on = may[at + k - 1]
+        at, code = at[on], code[on]
 
 
 def frequent_map(chunked: DataFrame, least: int) -> np.ndarray:
@@ -140,14 +173,23 @@ def frequent_map(chunked: DataFrame, least: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("collocations")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            key, weight = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            held.clear()
+            order = np.argsort(key)
+            key, weight = key[order], weight[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            return pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(np.add.reduceat(weight, first) if len(key) else weight)], ["pair", "n"])
+
         for batch in batches:
             for b in blocks(batch):
                 at = np.flatnonzero(b.whole & (b.weights[:-1] > 0))
-                key, weight = b.pairs[at], b.weights[at]
-                order = np.argsort(key)
-                key, weight = key[order], weight[order]
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-                yield pa.record_batch([pa.array(key[first].view(np.int64)), pa.array(np.add.reduceat(weight, first) if len(key) else weight)], ["pair", "n"])
+                held.append((b.pairs[at], b.weights[at]))
+            if sum(len(key) for key, _ in held) > HELD:
+                yield out()
+        yield out()
 
     place = F.pmod("pair", F.lit(MAP_BITS))
     often = chunked.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -165,37 +207,26 @@ def counts(chunked: DataFrame, most_words: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("collocations")
-        held: dict[tuple[str, int], dict[bytes, int]] = {}
-        bits = known.value
+        names, held, bits = ["lang", "words", "phrase", "n"], [], known.value
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, k, p, n) for (lang, k), own in held.items() for p, n in own.items()]
+        def rows(lang: str, k: int, found: pa.BinaryArray, total: np.ndarray) -> pa.Table:
+            return pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(found)), pa.repeat(pa.scalar(k, pa.int32()), len(found)), found, pa.array(total, pa.int64())], names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(held).group_by(names[:3], use_threads=False).aggregate([("n", "sum")])
             held.clear()
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()).cast(pa.string()), pa.array(cols[3], pa.int64())], ["lang", "words", "phrase", "n"])
+            yield from pa.table([*summed.columns[:2], summed["phrase"].cast(pa.string()), summed["n_sum"]], names).to_batches()
 
         for batch in batches:
             for b in blocks(batch):
-                one = held.setdefault((b.lang, 0), {b"": 0})
-                one[b""] += int(b.weights.sum())
-                own = held.setdefault((b.lang, 1), {})
-                at = np.flatnonzero(b.weights)
-                words = b.words
-                for w, n in zip(map(words.__getitem__, at.tolist()), b.weights[at].tolist(), strict=True):
-                    own[w] = own.get(w, 0) + n
+                held.append(rows(b.lang, 0, pa.array([b""], pa.binary()), b.weights.sum()[None]))
                 place = (b.pairs.view(np.int64) % MAP_BITS).astype(np.int64)
                 may = np.r_[b.whole & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool), False]
-                on = may & (b.weights > 0)
-                for k in range(2, most_words + 1):
-                    own = held.setdefault((b.lang, k), {})
-                    at = np.flatnonzero(on)
-                    for a, n in zip(at.tolist(), b.weights[at].tolist(), strict=True):
-                        p = b" ".join(words[a : a + k])
-                        own[p] = own.get(p, 0) + n
-                    on = on & np.r_[may[k - 1 :], np.zeros(min(k - 1, len(may)), bool)]
-            if sum(map(len, held.values())) > HELD:
-                yield out()
-        yield out()
+                held += [rows(b.lang, *found) for found in phrases(b, may, most_words)]
+            if sum(t.num_rows for t in held) > HELD:
+                yield from out()
+        if held:
+            yield from out()
 
     found = chunked.mapInArrow(run, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return found.where(f"n >= {least} or words = 0")
