@@ -6,6 +6,7 @@ from collections import Counter
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,21 @@ def test_keyword_index_gives_what_a_scan_gives(spark, monkeypatch):
     assert got(substrings.search(spark.createDataFrame([(1, "alp bet")], "query_id long, query string"), substrings.build(twice), 5)) == [(1, 1, 1.0, 1), (1, 2, 0.5, 2)]
 
 
+def test_a_shard_of_the_keyword_index_is_gathered_in_one_pass(monkeypatch):
+    """Words and short runs with their texts from rows shard by shard; rows that share an id are one text."""
+    monkeypatch.setattr(substrings, "KEYS", 3)
+    rows = [(0, 7, "ab abc\tab"), (0, 9, "b\x0bx😀"), (0, 7, "q"), (0, 8, ""), (4, 5, "ab"), (4, 2**40, "ab c")] + [(5, i, "hot" if i % 2 else "b") for i in range(20)]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[a:b], strict=True)], ["shard", "id", "text"]) for a, b in ((0, 2), (2, 9), (9, 26))]
+    got = [(r["key"], r["short"], r["shard"], tuple(sorted(r["ids"]))) for b in substrings.gather(iter(batches)) for r in b.to_pylist()]
+    want = {}
+    for shard, i, text in rows:
+        for w in re.split(r"[ \t\x0b]", text):
+            for key, short in [(w, False), *((w[a : a + n], True) for n in (1, 2) for a in range(len(w) - n + 1))]:
+                if key:
+                    want.setdefault((key, short, shard), set()).add(i)
+    assert sorted(got) == sorted((*k, tuple(sorted(v))) for k, v in want.items())
+
+
 def test_keyword_index_reads_little_for_few_words(spark, tmp_path):
     import shutil
 

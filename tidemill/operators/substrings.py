@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.retrieve import TEXTS_AT_ONCE, Best, by_blocks, top
 from tidemill.storage import cut, work_folder
+from tidemill.workers import pieces
 
 #: Folders of each table; texts of a shard, about; shards of a part: a word has so many rows of postings at most in a part.
 FOLDERS, SHARD_TEXTS, PART_SHARDS = 32, 1024, 4096
@@ -26,8 +27,10 @@ FOLDERS, SHARD_TEXTS, PART_SHARDS = 32, 1024, 4096
 FILE_RUNS = 4_000_000
 #: Characters of the runs by which words are found; shorter words of a query are runs themselves.
 RUN = 3
-#: Pairs of text and word that a task gathers before repeated ones go; pairs whose queries are counted at once.
-GATHERED, COUNTED = 4_000_000, 8192
+#: Shards whose texts a task of the build sorts, about; keys whose lists are made at once.
+SHARDS_AT_ONCE, KEYS = 8, 4096
+#: Pairs of text and word that a task gathers before repeated ones go; terms whose queries are counted at once.
+GATHERED, COUNTED = 4_000_000, 2048
 
 
 class Index(NamedTuple):
@@ -50,6 +53,52 @@ def _folder(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FOLDERS)).alias("_folder")
 
 
+class Shard:
+    """The words of a shard's texts, each with the texts that have it as bits of a number."""
+
+    def __init__(self, shard: int):
+        self.shard, self.places, self.words = shard, {}, {}
+
+    def add(self, id_: int, text: str) -> None:
+        bit = 1 << self.places.setdefault(id_, len(self.places))
+        words = self.words
+        for w in set(text.encode().split()):  # at ASCII white space
+            words[w] = words.get(w, 0) | bit
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        ids, size = np.fromiter(self.places, np.int64, len(self.places)), -(-len(self.places) // 8)
+        short: dict[str, int] = {}
+        for word, bits in self.words.items():
+            w = word.decode()
+            for run in {w[i : i + n] for n in range(1, RUN) for i in range(len(w) - n + 1)}:
+                short[run] = short.get(run, 0) | bits
+        for is_short, found in ((False, self.words), (True, short)):
+            keys = list(found)
+            for at in range(0, len(keys), KEYS):
+                some = keys[at : at + KEYS]
+                bits = np.frombuffer(b"".join([found[k].to_bytes(size, "little") for k in some]), np.uint8).reshape(len(some), size)
+                key, byte = np.nonzero(bits)  # most words are in few texts
+                at_byte, bit = np.nonzero(np.unpackbits(bits[key, byte][:, None], axis=1, bitorder="little"))
+                key, place = key[at_byte], byte[at_byte] * 8 + bit
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(some) + 1)), pa.int32()), pa.array(ids[place]))
+                columns = [pa.array([k if is_short else k.decode() for k in some], pa.string()), pa.array(np.full(len(some), is_short)), pa.array(np.full(len(some), self.shard)), lists]
+                yield pa.record_batch(columns, ["key", "short", "shard", "ids"])
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, short, shard, ids) of rows (shard, id, text) that come shard by shard."""
+    now: Shard | None = None
+    for piece in pieces(batches):
+        for shard, id_, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+            if now is None or now.shard != shard:
+                if now:
+                    yield from now.batches()
+                now = Shard(shard)
+            now.add(id_, text)
+    if now:
+        yield from now.batches()
+
+
 def build(texts: DataFrame, path: str | None = None) -> Index:
     """Write the index of texts(id, text). Null texts are none; rows that share an id are one text."""
     spark = texts.sparkSession
@@ -57,12 +106,10 @@ def build(texts: DataFrame, path: str | None = None) -> Index:
     written = Index(spark, path)
     rows = texts.where("text is not null and id is not null").select(F.col("id").cast("long"), F.lower("text").alias("text"))
     shards = max(1, rows.count() // SHARD_TEXTS)
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
-    of = lambda found, short: F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("key"), F.lit(short).alias("short")))
-    runs = lambda n: F.regexp_extract_all("text", F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1))
-    keys = F.concat(of(F.split("text", r"\s+"), False), *(of(runs(n), True) for n in range(1, RUN)))
-    found = rows.select("id", shard, F.explode(keys).alias("_k")).select("id", "shard", "_k.*").where("key != ''")
-    lists = found.groupBy("key", "short", "shard").agg(F.collect_set("id").alias("ids"))  # SHARD_TEXTS ids, about
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # a shard is gathered by one task, and a task sorts the texts of about SHARDS_AT_ONCE shards
+    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, -(-shards // SHARDS_AT_ONCE)), "shard").sortWithinPartitions("shard")
+    lists = dealt.select("shard", "id", "text").mapInArrow(gather, "key string, short boolean, shard long, ids array<long>")
     placed = lists.select("key", "short", F.floor(F.col("shard") / PART_SHARDS).alias("part"), "shard", "ids", _folder("key"))
     placed.repartition("_folder", "part").sortWithinPartitions("_folder", "key", "shard").write.partitionBy("_folder").parquet(f"{path}/postings")
     parts = written.table("postings").select("key", "short", "part", "_folder").distinct()
@@ -118,20 +165,31 @@ def search(queries: DataFrame, index: Index, k: int) -> DataFrame:
             best, held, size, current = Best(len(names), k), [], 0, None
 
             def distinct() -> np.ndarray:
-                return np.unique(np.concatenate(held), axis=0)
+                found = np.concatenate(held)
+                ids, doc = np.unique(found[:, 0], return_inverse=True)
+                both = np.unique(doc * (len(start) - 1) + found[:, 1])
+                return np.stack([ids[both // (len(start) - 1)], both % (len(start) - 1)], axis=1)
 
             def close() -> None:
                 if not held:
                     return
-                found = distinct()
+                found = np.concatenate(held)
                 ids, doc = np.unique(found[:, 0], return_inverse=True)
-                counts = np.zeros(len(ids) * len(names))
-                for at in range(0, len(found), COUNTED):
-                    d, t = doc[at : at + COUNTED], found[at : at + COUNTED, 1]
-                    n = start[t + 1] - start[t]
-                    each = np.repeat(start[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    counts += np.bincount(np.repeat(d, n) * len(names) + who[each], minlength=len(counts))
-                best.add(ids, np.round(counts.reshape(len(ids), len(names)) / of, 6), np.nextafter(0, 1))
+                order = np.argsort(found[:, 1], kind="stable")
+                doc, t = doc[order], found[order, 1]
+                terms = np.flatnonzero(np.bincount(t, minlength=len(start) - 1))  # of the shard
+                edges = np.searchsorted(t, np.append(terms, len(start)))
+                counts = np.zeros((len(ids), len(names)))
+                for at in range(0, len(terms), COUNTED):
+                    some = terms[at : at + COUNTED]
+                    has = np.zeros((len(ids), len(some)), np.float32)
+                    here = slice(edges[at], edges[at + len(some)])
+                    has[doc[here], np.searchsorted(some, t[here])] = 1
+                    n = start[some + 1] - start[some]
+                    each = np.repeat(start[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    asks = np.bincount(np.repeat(np.arange(len(some)), n) * len(names) + who[each], minlength=len(some) * len(names))
+                    counts += has @ asks.reshape(len(some), len(names)).astype(np.float32)
+                best.add(ids, np.round(counts / of, 6), np.nextafter(0, 1))
                 held.clear()
 
             for batch in batches:
