@@ -644,6 +644,37 @@ def test_full_text_search_scores_all_that_can_be_among_the_best(spark, monkeypat
     assert fulltext.search(spark.createDataFrame([(1, "w1")], "query_id long, query string"), empty, 5).count() == 0
 
 
+def test_full_text_search_has_more_tasks_for_more_postings_and_not_larger_ones(spark, monkeypatch):
+    """Two words that all documents have: a task sorts a bounded number of postings, in the build and in a search."""
+    most = 500
+    monkeypatch.setattr(fulltext, "POSTINGS", most, raising=False)
+    monkeypatch.setattr(fulltext, "HITS", most, raising=False)
+    monkeypatch.setattr(fulltext, "BLOCK_DOCS", 20)
+    built = fulltext.build(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("both words"), F.repeat(F.lit(" both"), (F.col("id") % 7).cast("int"))).alias("text")))
+    written = built.table("postings").groupBy(F.input_file_name()).count().toPandas()["count"]
+    assert written.sum() == 6000 and written.max() <= 2 * most
+    got = fulltext.search(spark.createDataFrame([(1, "both words"), (2, "words")], "query_id long, query string"), built, 3)
+    assert re.search(r"hashpartitioning\(block#\d+L, 12\)", got._jdf.queryExecution().executedPlan().toString())
+    mean, idf = 2 + np.mean([i % 7 for i in range(3000)]), np.log(1 + 0.5 / 3000.5)
+    score = lambda i, counts: round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (2 + i % 7) / mean)) for tf in counts), 5)
+    want = [sorted((-score(i, counts(i)), i) for i in range(3000))[:3] for counts in (lambda i: (1 + i % 7, 1), lambda _: (1,))]
+    assert [(r["query_id"], -r["score"], r["id"]) for r in got.orderBy("query_id", "rank").collect()] == [(q, *x) for q, found in zip((1, 2), want, strict=True) for x in found]
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date", "decimal(20,0)"])
+def test_full_text_search_keeps_the_kind_of_the_ids(spark, monkeypatch, kind):
+    """Ids that rows share are one hit with the sum of their scores; no id, no hit; a query's rows are one query."""
+    monkeypatch.setattr(fulltext, "BLOCK_DOCS", 2)
+    made = {"string": "'d' || i", "date": "date_add(date'2020-01-01', i)"}.get(kind, f"cast(i as {kind})")
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (2, "one two"), (3, "two"), (None, "one two"), (4, "zero")], "i int, text string")
+    built = fulltext.build(docs.selectExpr(f"{made} as doc_id", "text"))
+    got = fulltext.search(spark.createDataFrame([(7, "one"), (7, "ONE two"), (None, "two")], "query_id long, query string"), built, 3)
+    assert got.schema["id"].dataType.simpleString() == kind
+    rows = got.orderBy("rank").collect()
+    ids = [r[0] for r in docs.where("i is not null").selectExpr(f"{made} as d", "i").distinct().orderBy("i").collect()]
+    assert [(r["query_id"], r["id"]) for r in rows] == [(7, i) for i in ids[:3]] and abs(rows[0]["score"] - 2 * rows[1]["score"]) < 2e-5
+
+
 def test_chunks_in_tokens(spark):
     """No chunk has more tokens than asked for; all text is in them in order; sentences stay whole where they fit."""
     import public_tokenizers as P

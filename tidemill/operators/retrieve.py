@@ -83,9 +83,10 @@ class Best:
         self.kth[q[place == self.k - 1]] = score[place == self.k - 1]
         self.held, self.size = [], 0
 
-    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+    def batch(self, names: np.ndarray, kind: pa.DataType | None = None) -> pa.RecordBatch:
+        """What is left; kind: the type of the ids, where they are not long."""
         self.settle()
-        return pa.record_batch([pa.array(names[self.q], pa.int64()), pa.array(self.id, pa.int64()), pa.array(self.score, pa.float64())], ["query_id", "id", "score"])
+        return pa.record_batch([pa.array(names[self.q], pa.int64()), pa.array(self.id.tolist(), kind or pa.int64()), pa.array(self.score, pa.float64())], ["query_id", "id", "score"])
 
 
 def _scan(rows: DataFrame, names: np.ndarray, k: int, score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], least: float, digits: int | None = None) -> DataFrame:
