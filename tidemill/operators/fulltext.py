@@ -53,11 +53,11 @@ def build(docs: DataFrame, path: str | None = None, k1: float = 1.2, b: float =
     written = Index(spark, path, docs.schema["doc_id"].dataType.simpleString())
     n, mean = written.table("totals").first()
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // BLOCK_DOCS)))
-    rows = raw.select("token", "doc_id", block.alias("block"), gain.alias("gain"), F.pmod(F.xxhash64("token"), F.lit(FOLDERS)).alias("_folder"))
-    # a token that most documents have is dealt by its blocks too
-    order, tasks = ("_folder", "token", "block"), max(spark.sparkContext.defaultParallelism, -(-raw.count() // POSTINGS))
-    rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write.partitionBy("_folder").parquet(f"{path}/postings")
+    block, folder = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // BLOCK_DOCS))), F.pmod(F.xxhash64("token"), F.lit(FOLDERS))
+    # a token that most documents have is dealt by its blocks too; what follows from the rest is made after the shuffle
+    dealt = raw.select("token", "doc_id", "tf", "dl").repartitionByRange(max(spark.sparkContext.defaultParallelism, -(-raw.count() // POSTINGS)), folder, "token", block)
+    rows = dealt.select("token", "doc_id", block.alias("block"), gain.alias("gain"), folder.alias("_folder"))
+    rows.sortWithinPartitions("_folder", "token", "block").write.partitionBy("_folder").parquet(f"{path}/postings")
     return written
 
 
